@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import cross_entropy, ngram_join
+from . import cross_entropy, decontaminate, language, license_scan, ngram_join, token_file, toxicity
 
 QUERIES = {
     "op2_cross_entropy_difference": cross_entropy.query,
+    "op3_token_file": token_file.query,
+    "op5_toxicity_nnpu": toxicity.query,
     "op6_ngram_jaccard_join": ngram_join.query,
+    "op7_language_bigru": language.query,
+    "op8_decontamination_tiling": decontaminate.query,
+    "op10_license_scan": license_scan.query,
 }
 SQL = {
     "op2_cross_entropy_difference": cross_entropy.SQL,
