@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import n_batches, read, with_batch
 from .exchange import counted, tally
-from .kernels import U64, doc_words, mix
+from .kernels import NON_SPACE, U64, doc_words, mix, segments, text_buffers, word_spans
 
 #: Weight of the word model inside the bigram model.
 LAMBDA = 4.0
@@ -39,65 +40,77 @@ def _parts(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words, mix(left ^ _LEFT), mix(left * _PAIR + words)
 
 
-def _vocabulary(docs: DataFrame, text: str, target: str) -> tuple[int, int, int]:
-    """(distinct words, words, words of target documents): each task sends a distinct word once for each range of rows."""
+def _vocabulary(docs: DataFrame) -> tuple[int, int]:
+    """(distinct words, words): each task sends a distinct word once for each range of rows."""
 
     def each(batches):
         for batch in batches:
-            for a, words, first in doc_words(batch.column(0)):
-                of = np.repeat(batch.column(1).slice(a, len(first) - 1).fill_null(False).to_numpy(zero_copy_only=False), np.diff(first))
-                found, (n, t) = tally(words, [np.ones(len(words), np.int64), of.astype(np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], names=["w", "n", "t"])
+            for _, words, _ in doc_words(batch.column(0)):
+                found, (n,) = tally(words)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
 
-    rows = docs.select(text, target).mapInArrow(each, "w long, n long, t long")
-    got = rows.groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).agg(F.count("w"), F.sum("n"), F.sum("t")).first()
-    return tuple(int(x or 0) for x in got)
+    got = docs.select("text").mapInArrow(each, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).agg(F.count("w"), F.sum("n")).first()
+    return int(got[0] or 0), int(got[1] or 0)
 
 
-def score(docs: DataFrame, target: Column, text: str = "text", key: str = "doc_id", lam: float = LAMBDA) -> DataFrame:
-    """docs scored against the model of those rows for which ``target`` holds.
+def _target_words(docs: DataFrame, targets: DataFrame) -> int:
+    """Words of the target documents, by their ids and counts alone."""
 
-    Returns doc_id, n_words, target_bits, background_bits (bits a word under either model) and score, the target's less the background's."""
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    v, n_all, n_target = _vocabulary(docs, "text", "target")
-    batched = with_batch(docs, n_batches(docs))
+    def each(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in segments(offsets):
+                first = word_spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE)[2]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first))], names=["doc_id", "n"])
+
+    return int(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long").join(targets, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0)
+
+
+def score(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "doc_id", lam: float = LAMBDA) -> DataFrame:
+    """docs scored against the model of those whose id is in ``targets`` (a column doc_id).
+
+    Returns doc_id, n_words, target_bits, background_bits (bits a word under either model) and score, the target's less the background's.
+    Texts are shuffled once, into batches, to which the targets' ids come beside them."""
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    targets = targets.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
+    (v, n_all), n_target = _vocabulary(docs), _target_words(docs, targets)
+    n = n_batches(docs)
 
-    def keys(table: pa.Table):
-        flags = table["target"].combine_chunks().to_numpy(zero_copy_only=False)
+    def keys(table: pa.Table, side: pa.Table):
+        flags = pa.compute.is_in(table["doc_id"], value_set=side["doc_id"].combine_chunks()).to_numpy()
         for a, words, first in doc_words(table["text"]):
             yield a, first, np.repeat(flags[a : a + len(first) - 1], np.diff(first)), _parts(words, first)
 
-    def items(table: pa.Table, _):
-        got = [(np.concatenate(parts), np.tile(of, 3)) for _, _, of, parts in keys(table)]
+    def items(table: pa.Table, side: pa.Table):
+        got = [(np.concatenate(parts), np.tile(of, 3)) for _, _, of, parts in keys(table, side)]
         if not got:
             return np.zeros(0, U64), [np.zeros(0, np.uint32)] * 2
         all_keys, of = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
         return tally(all_keys, [np.ones(len(of), np.int64), of.astype(np.int64)])
 
-    def answer(table: pa.Table, _, found: np.ndarray, totals: list[np.ndarray]) -> pa.Table:
+    def answer(table: pa.Table, side: pa.Table, found: np.ndarray, totals: list[np.ndarray]) -> pa.Table:
         n_words = np.zeros(table.num_rows, np.int64)
         bits = np.zeros((2, table.num_rows))
-        for a, first, _, parts in keys(table):
+        for a, first, _, parts in keys(table, side):
             if not len(parts[0]):
                 continue
             at = [np.searchsorted(found, k) for k in parts]
             b = a + len(first) - 1
             n_words[a:b] = np.diff(first)
-            for m, n in ((0, n_target), (1, n_all)):
+            for m, size in ((0, n_target), (1, n_all)):
                 c = totals[1 - m].astype(np.float64)
-                one = (c[at[0]] + 1.0) / (n + v)
+                one = (c[at[0]] + 1.0) / (size + v)
                 sums = np.concatenate(([0.0], np.cumsum(-np.log2((c[at[2]] + lam * one) / (c[at[1]] + lam)))))
                 bits[m, a:b] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))
         return pa.table({"doc_id": table["doc_id"], "n_words": n_words, "target_bits": bits[0], "background_bits": bits[1], "score": bits[0] - bits[1]})
 
-    return counted(batched, None, items, answer, "doc_id long, n_words long, target_bits double, background_bits double, score double", kinds=2)
+    schema = "doc_id long, n_words long, target_bits double, background_bits double, score double"
+    return counted(with_batch(docs, n), with_batch(targets, n), items, answer, schema, kinds=2)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled of good quality. Scores to five places."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    out = score(docs.join(good, "doc_id", "left"), F.col("good"))
+    out = score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter("quality = 1"))
     return out.select("doc_id", "n_words", *(F.round(c, 5).alias(c) for c in ("target_bits", "background_bits", "score")))
 
 
