@@ -33,17 +33,17 @@ NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_POWERS: list[np.ndarray] = []
+_CACHE: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _CACHE or len(_CACHE[0]) < n:
         size = max(n, 1 << 20)
         factors = [np.full(size, r, U64) for r in (_R, _R_INV)]
         for f in factors:
             f[0] = 1
-        _POWERS[:] = [np.cumprod(f, dtype=U64) for f in factors]
-    return _POWERS[0][:n], _POWERS[1][:n]
+        _CACHE[:] = [np.cumprod(f, dtype=U64) for f in factors]
+    return _CACHE[0][:n], _CACHE[1][:n]
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """64-bit hash of each word; A-Z counts as a-z if ``lower``."""
     if not len(starts):
         return np.zeros(0, U64)
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.empty(len(data) + 1, U64)
     sums[0] = 0
     np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:-1], out=sums[1:])

@@ -8,7 +8,7 @@ edge in proportion to its share: an exact draw from the distribution over all se
 
 A piece has marks only at its front or consists of marks. A lattice can thus be cut before each mark that follows another
 character: no piece spans such a cut, the parts are independent, and each distinct part is filtered once for a
-batch. Draws come from a counter-based hash of (row key, part's place, end of the edge) and the seed: the same key and
+group of texts. Draws come from a counter-based hash of (row key, part's place, end of the edge) and the seed: the same key and
 text give the same segmentation wherever and whenever they are processed.
 
 Decoding is lossless: a mark in the text itself is spelled in bytes, so that every other mark means a space, and byte
@@ -29,18 +29,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import read
-from .kernels import U64, mix
+from .kernels import U64, mix, powers
 
 MARK = "▁"
 ALPHA = 2.0
 SEED = 17
-#: Distinct parts whose lattices a worker keeps before it starts anew.
-CACHE_PARTS = 100_000
 #: Characters of texts that are drawn at once.
-GROUP_CHARS = 1 << 18
+GROUP_CHARS = 1 << 20
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _hashed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the code points before each place, times powers, and the inverse powers: any substring's hash is a difference."""
+    up, down = powers(len(points) + 1)
+    sums = np.zeros(len(points) + 1, U64)
+    np.cumsum(mix(points.astype(U64) + U64(1)) * up[:-1], out=sums[1:])
+    return sums, down
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Vocabulary:
     """Pieces with costs, from a SentencePiece model file."""
 
@@ -54,7 +64,7 @@ class Vocabulary:
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.byte_ids = np.full(256, -1, np.int64)
         self.spelled: list[bytes] = []
-        self.ids: dict[str, int] = {}
+        plain = []
         for i, piece in enumerate(self.pieces):
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
@@ -62,36 +72,35 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.spelled.append(b"")
             else:
-                self.ids[piece] = i
+                plain.append(i)
                 self.spelled.append(piece.replace(MARK, " ").encode())
         self.cost = 1.0 + np.arange(size) / size
-        self.longest = max(map(len, self.ids))
+        #: By length in characters: sorted hashes of the pieces, their ids, and a sieve over the hashes' upper bits.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in sorted({len(self.pieces[i]) for i in plain}):
+            own = [i for i in plain if len(self.pieces[i]) == length]
+            sums, down = _hashed(_points("".join(self.pieces[i] for i in own)))
+            at = np.arange(len(own)) * length
+            hashes = (sums[at + length] - sums[at]) * down[at]
+            order = np.argsort(hashes)
+            sieve = np.zeros(1 << 18, bool)
+            sieve[hashes >> U64(46)] = True
+            self.by_length[length] = hashes[order], np.array(own)[order], sieve
 
     @classmethod
     def get(cls, path: str) -> Vocabulary:
+        """One for each worker process and file."""
         if path not in cls._open:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def edges(self, part: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """By end: (begin, number of pieces, ids) of the edges. Marks of the part are spaces; a mark of the text itself is _LITERAL here (see ``escape``)."""
-        out = [[] for _ in range(len(part) + 1)]
-        ids, longest = self.ids, self.longest
-        for a in range(len(part)):
-            char = part[a]
-            for b in range(a + 1, min(a + longest, len(part)) + 1):
-                i = ids.get(part[a:b])
-                if i is not None:
-                    out[b].append((a, 1, (i,)))
-            if char not in ids:
-                raw = (MARK if char == _LITERAL else char).encode()
-                out[a + 1].append((a, len(raw), tuple(int(self.byte_ids[x]) for x in raw)))
-        return out
-
     def decode(self, ids) -> str:
         """The text of a sequence of ids: without the leading space that ``escape`` adds as a mark."""
-        raw = b"".join(map(self.spelled.__getitem__, ids))
-        return raw[1:].decode()
+        return b"".join(map(self.spelled.__getitem__, ids))[1:].decode()
+
+    def bytes_of(self, point: int) -> list[int]:
+        """Ids of the byte pieces that spell a character."""
+        return self.byte_ids[list((MARK if point == ord(_LITERAL) else chr(point)).encode())].tolist()
 
 
 #: Stands for a mark that a text itself has: a lone surrogate, which no text from Arrow can have.
@@ -103,107 +112,122 @@ def escape(text: str) -> str:
 
 
 class Lattices:
-    """Filtered lattices of distinct parts, in flat arrays: nodes (part, end), and for each node its edges with running sums of their shares."""
-
-    def __init__(self, vocabulary: Vocabulary, alpha: float):
-        self.v, self.alpha = vocabulary, alpha
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.base, self.length = [], []
-        self.first, self.share, self.begin, self.piece = [0], [], [], []
-        self.spelled: list[tuple[int, ...]] = []
-        self.arrays = None
-
-    def add(self, part: str) -> int:
-        """Forward filtering: log sums of the weights of all paths to each end."""
-        by_end = self.v.edges(part)
-        log = [0.0]
-        number = self.number[part] = len(self.base)
-        self.base.append(len(self.first) - 1)
-        self.length.append(len(part))
-        self.first.append(len(self.share))
-        for end in range(1, len(part) + 1):
-            weights = [log[a] - self.alpha * (self.v.cost[ids[0]] if n == 1 else 2.0 * n) for a, n, ids in by_end[end]]
-            most = max(weights)
-            each = np.exp(np.array(weights) - most)
-            total = each.sum()
-            log.append(most + float(np.log(total)))
-            self.share += (np.cumsum(each) / total).tolist()
-            for a, n, ids in by_end[end]:
-                self.begin.append(a)
-                self.piece.append(ids[0] if n == 1 else -1 - len(self.spelled))
-                if n > 1:
-                    self.spelled.append(ids)
-            self.share[-1] = 1.0
-            self.first.append(len(self.share))
-        self.arrays = None
-        return number
-
-    def numbers(self, parts: list[str]) -> np.ndarray:
-        known = self.number
-        for part in set(parts).difference(known):
-            self.add(part)
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-
-    def drawn(self, numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Backward sampling of all parts at once: (part's place, end, edge) of each piece drawn, ordered."""
-        if self.arrays is None:
-            self.arrays = [np.array(x, d) for x, d in ((self.base, np.int64), (self.length, np.int64), (self.first, np.int64), (self.share, np.float64), (self.begin, np.int64))]
-            # running sums of node + share ascend over all nodes: one search finds any node's edge
-            base, length, first, share, begin = self.arrays
-            self.arrays.append(share + np.repeat(np.arange(len(first) - 1), np.diff(first)))
-        base, length, first, share, begin, ladder = self.arrays
-        at, end = np.arange(len(numbers)), length[numbers]
-        places, ends, edges = [], [], []
+    """Filtered lattices of distinct parts, in flat arrays. A part of n characters has n + 1 nodes from ``base`` on; a node
+    has the edges first[node] to first[node + 1], each with the node where it begins, its piece (or -1 - code point, for a
+    character in bytes) and the running sum of the node's shares."""
+
+    def __init__(self, v: Vocabulary, parts: list[str], alpha: float):
+        points = _points("".join(parts))
+        self.length = np.fromiter(map(len, parts), np.int64, len(parts))
+        start = np.cumsum(self.length) - self.length
+        part = np.repeat(np.arange(len(parts)), self.length)
+        self.base = start + np.arange(len(parts))
+        place = np.arange(len(points))
+        rest = (start + self.length)[part] - place
+        sums, down = _hashed(points)
+        covered = np.zeros(len(points), bool)
+        begins, ends, ids, costs = [], [], [], []
+        for length, (hashes, own, sieve) in v.by_length.items():
+            if length > 1:
+                place = place[rest[place] >= length]
+            h = (sums[place + length] - sums[place]) * down[place]
+            maybe = np.flatnonzero(sieve[h >> U64(46)])
+            k = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+            real = hashes[k] == h[maybe]
+            at, k = place[maybe[real]], k[real]
+            if length == 1:
+                covered[at] = True
+            begins.append(at)
+            ends.append(at + length)
+            ids.append(own[k])
+            costs.append(v.cost[own[k]])
+        bare = np.flatnonzero(~covered)
+        begins.append(bare)
+        ends.append(bare + 1)
+        ids.append(-1 - points[bare].astype(np.int64))
+        wide = points[bare]
+        costs.append(2.0 * np.where(wide == ord(_LITERAL), 3, 1 + (wide >= 0x80) + (wide >= 0x800).astype(int) + (wide >= 0x10000)))
+        begin, end, ids, cost = (np.concatenate(x) for x in (begins, ends, ids, costs))
+        shift = part[begin]
+        begin, end = begin + shift, end + shift
+        order = np.argsort(end, kind="stable")
+        self.begin, self.piece, weight, end = begin[order], ids[order], -alpha * cost[order], end[order]
+        nodes = len(points) + len(parts)
+        self.first = np.searchsorted(end, np.arange(nodes + 1))
+        self.share = np.empty(len(end))
+        self._filter(weight, end, nodes)
+
+    def _filter(self, weight: np.ndarray, end: np.ndarray, nodes: int) -> None:
+        """Forward filtering, of all parts side by side: log sums over all paths to the nodes at one distance after the other."""
+        depth = np.arange(nodes) - np.repeat(self.base, self.length + 1)
+        log = np.zeros(nodes)
+        by_depth = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[by_depth], np.arange(1, depth.max(initial=0) + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            node = by_depth[a:b]
+            count = self.first[node + 1] - self.first[node]
+            head = np.cumsum(count) - count
+            edge = np.repeat(self.first[node] - head, count) + np.arange(count.sum())
+            x = log[self.begin[edge]] + weight[edge]
+            most = np.maximum.reduceat(x, head)
+            x = np.exp(x - np.repeat(most, count))
+            run = np.cumsum(x)
+            before = np.concatenate(([0.0], run))[head]
+            total = run[head + count - 1] - before
+            log[node] = most + np.log(total)
+            self.share[edge] = (run - np.repeat(before, count)) / np.repeat(total, count)
+
+    def drawn(self, numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward sampling of one path for each of the numbered parts: (place in numbers, piece) from left to right."""
+        at, end = np.arange(len(numbers)), self.length[numbers]
+        base = self.base[numbers]
+        places, ends, pieces = [], [], []
         while len(at):
             u = (mix(keys[at] + end.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(11)).astype(np.float64) * 2.0**-53
-            node = base[numbers[at]] + end
-            single = first[node + 1] - first[node] == 1
-            edge = first[node]
-            many = np.flatnonzero(~single)
-            edge[many] = np.minimum(np.maximum(np.searchsorted(ladder, node[many] + u[many], "right"), first[node[many]]), first[node[many] + 1] - 1)
+            node = base[at] + end
+            edge, last = self.first[node], self.first[node + 1] - 1
+            open_ = np.flatnonzero(edge < last)
+            while len(open_):
+                open_ = open_[self.share[edge[open_]] <= u[open_]]
+                edge[open_] += 1
+                open_ = open_[edge[open_] < last[open_]]
             places.append(at)
             ends.append(end)
-            edges.append(edge)
-            end = begin[edge]
+            pieces.append(self.piece[edge])
+            end = self.begin[edge] - base[at]
             left = end > 0
             at, end = at[left], end[left]
-        place, end, edge = (np.concatenate(x) for x in (places, ends, edges))
+        place, end, piece = (np.concatenate(x) for x in (places, ends, pieces))
         order = np.lexsort((end, place))
-        return place[order], end[order], edge[order]
-
-    def segment(self, texts: list[str], keys: list[int], seed: int) -> list[np.ndarray]:
-        """Ids of one sampled segmentation of each text."""
-        if len(self.number) > CACHE_PARTS:
-            self.clear()
-        parts, counts = [], []
-        for text in texts:
-            own = _PARTS.findall(escape(text))
-            parts += own
-            counts.append(len(own))
-        counts = np.array(counts, np.int64)
-        numbers = self.numbers(parts)
-        row = np.repeat(np.arange(len(texts)), counts)
-        within = np.arange(len(parts)) - np.repeat(np.cumsum(counts) - counts, counts)
-        own = mix(np.array(keys, np.int64).view(U64) ^ mix(np.array([seed], U64)))
-        keys = mix(own[row] + within.astype(U64))
-        if not len(parts):
-            return [np.zeros(0, np.int32)] * len(texts)
-        place, _, edge = self.drawn(numbers, keys)
-        piece = np.array(self.piece, np.int64)[edge]
-        spelled = np.flatnonzero(piece < 0)
-        if len(spelled):
-            sizes = np.ones(len(piece), np.int64)
-            sizes[spelled] = [len(self.spelled[-1 - p]) for p in piece[spelled].tolist()]
-            at = np.repeat(np.arange(len(piece)), sizes)
-            offset = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            place = place[at]
-            bytes_at = np.flatnonzero(piece[at] < 0)
-            piece = piece[at]
-            piece[bytes_at] = [self.spelled[-1 - p][o] for p, o in zip(piece[bytes_at].tolist(), offset[bytes_at].tolist(), strict=True)]
-        return np.split(piece.astype(np.int32), np.searchsorted(row[place], np.arange(1, len(texts))))
+        return place[order], piece[order]
+
+
+def segment(v: Vocabulary, texts: list[str], keys: list[int], alpha: float = ALPHA, seed: int = SEED) -> list[np.ndarray]:
+    """Ids of one sampled segmentation of each text."""
+    parts, counts = [], []
+    for text in texts:
+        own = _PARTS.findall(escape(text))
+        parts += own
+        counts.append(len(own))
+    if not parts:
+        return [np.zeros(0, np.int32) for _ in texts]
+    known = {part: k for k, part in enumerate(dict.fromkeys(parts))}
+    numbers = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+    counts = np.array(counts, np.int64)
+    row = np.repeat(np.arange(len(texts)), counts)
+    within = np.arange(len(parts)) - np.repeat(np.cumsum(counts) - counts, counts)
+    own = mix(np.array(keys, np.int64).view(U64) ^ mix(np.array([seed], U64)))
+    place, piece = Lattices(v, list(known), alpha).drawn(numbers, mix(own[row] + within.astype(U64)))
+    row = row[place]
+    bare = np.flatnonzero(piece < 0)
+    if len(bare):
+        spelled = [v.bytes_of(-1 - p) for p in piece[bare].tolist()]
+        sizes = np.ones(len(piece), np.int64)
+        sizes[bare] = [len(x) for x in spelled]
+        row, in_bytes = np.repeat(row, sizes), np.repeat(piece < 0, sizes)
+        piece = np.repeat(piece, sizes)
+        piece[in_bytes] = np.concatenate(spelled)
+    return np.split(piece.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))
 
 
 def _groups(texts: list[str]):
@@ -221,11 +245,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
     """docs with a column ids (array of int): a segmentation of the whole text, drawn by its key. A null key draws as 0."""
 
     def each(batches):
-        lattices = Lattices(Vocabulary.get(model), alpha)
+        v = Vocabulary.get(model)
         for batch in batches:
             texts, keys = [x or "" for x in batch[text].to_pylist()], [x or 0 for x in batch[key].to_pylist()]
             for a, b in _groups(texts):
-                rows = lattices.segment(texts[a:b], keys[a:b], seed)
+                rows = segment(v, texts[a:b], keys[a:b], alpha, seed)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], names=[*batch.schema.names, "ids"])
 
@@ -249,11 +273,10 @@ def digested(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id
 
     def each(batches):
         v = Vocabulary.get(model)
-        lattices = Lattices(v, alpha)
         for batch in batches:
             texts, keys = [x or "" for x in batch.column(1).to_pylist()], [x or 0 for x in batch.column(0).to_pylist()]
             for a, b in _groups(texts):
-                rows = lattices.segment(texts[a:b], keys[a:b], seed)
+                rows = segment(v, texts[a:b], keys[a:b], alpha, seed)
                 back = [v.decode(r.tolist()) == t for r, t in zip(rows, texts[a:b], strict=True)]
                 crcs = [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(r) for r in rows], pa.int64()), pa.array(crcs, pa.int64()), pa.array(back, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
