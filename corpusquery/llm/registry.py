@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import cross_entropy, decontaminate, language, license_scan, ngram_join, token_file, toxicity
+from . import cross_entropy, decontaminate, fingerprint, language, license_scan, ngram_join, quotes, sampled_pieces, token_file, toxicity
 
 QUERIES = {
+    "op1_quotation_linking": quotes.query,
     "op2_cross_entropy_difference": cross_entropy.query,
     "op3_token_file": token_file.query,
+    "op4_canonical_digest": fingerprint.query,
     "op5_toxicity_nnpu": toxicity.query,
     "op6_ngram_jaccard_join": ngram_join.query,
     "op7_language_bigru": language.query,
     "op8_decontamination_tiling": decontaminate.query,
+    "op9_sampled_pieces": sampled_pieces.query,
     "op10_license_scan": license_scan.query,
 }
 SQL = {
+    "op1_quotation_linking": quotes.SQL,
     "op2_cross_entropy_difference": cross_entropy.SQL,
     "op6_ngram_jaccard_join": ngram_join.SQL,
 }

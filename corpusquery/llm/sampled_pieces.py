@@ -35,7 +35,7 @@ MARK = "▁"
 ALPHA = 2.0
 SEED = 17
 #: Characters of texts that are drawn at once.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 17
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
