@@ -102,8 +102,8 @@ p AS (SELECT *, lower(trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'))) AS passa
 f AS (SELECT conv_id, passage, min(turn) AS origin FROM p WHERE level = 0 AND passage <> '' GROUP BY 1, 2),
 k AS (SELECT p.conv_id, p.turn, p.level, f.origin, count(*) AS n FROM p JOIN f ON f.conv_id = p.conv_id AND f.passage = p.passage WHERE p.level > 0 AND f.origin < p.turn GROUP BY 1, 2, 3, 4),
 r AS (SELECT conv_id, turn, sum(n)::BIGINT AS n_linked, max(CASE WHEN level = 1 THEN {'n': n, 'origin': origin} END).origin AS reply_to FROM k GROUP BY 1, 2),
-t AS (SELECT DISTINCT conv_id, turn AS start, turn AS at, 0 AS depth FROM m UNION ALL SELECT t.conv_id, t.start, r.reply_to, t.depth + 1 FROM t JOIN r ON r.conv_id = t.conv_id AND r.turn = t.at WHERE r.reply_to IS NOT NULL),
-o AS (SELECT conv_id, start, min(at) AS root, max(depth) AS depth FROM t GROUP BY 1, 2),
+t AS (SELECT DISTINCT conv_id, turn AS start, turn AS here, 0 AS depth FROM m UNION ALL SELECT t.conv_id, t.start, r.reply_to, t.depth + 1 FROM t JOIN r ON r.conv_id = t.conv_id AND r.turn = t.here WHERE r.reply_to IS NOT NULL),
+o AS (SELECT conv_id, start, min(here) AS root, max(depth) AS depth FROM t GROUP BY 1, 2),
 b AS (SELECT id, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0), ''), ' ' || chr(10) || chr(9) || chr(13)) AS body, count(*) FILTER (WHERE level > 0 AND passage <> '') AS n_quoted FROM p GROUP BY 1)
 SELECT m.conv_id, m.turn, m.role, b.body, b.n_quoted, coalesce(r.n_linked, 0)::BIGINT AS n_linked, r.reply_to, o.root, o.depth::BIGINT AS depth,
   row_number() OVER (PARTITION BY m.conv_id ORDER BY o.root, m.turn // 256, m.turn, m.role, b.body) - 1 AS position
