@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from .common import crc_fold, read
 from .kernels import text_buffers
@@ -263,7 +263,7 @@ def predict(docs: DataFrame, model: BiGru | None, text: str = "text", spans: boo
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     if spans:
-        schema = schema.add("lang_spans", "array<struct<start: long, end: long, lang: string>>")
+        schema = schema.add("lang_spans", ArrayType(StructType().add("start", LongType()).add("end", LongType()).add("lang", StringType())))
     return docs.mapInArrow(each, schema)
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from .common import read
 from .kernels import U64, mix, powers
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], names=[*batch.schema.names, "ids"])
 
-    return docs.mapInArrow(each, StructType([*docs.schema.fields]).add("ids", "array<int>"))
+    return docs.mapInArrow(each, StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())))
 
 
 def decode(coded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -265,7 +265,7 @@ def decode(coded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
             texts = pa.array([v.decode(x or []) for x in batch[ids].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
-    return coded.mapInArrow(each, StructType([*coded.schema.fields]).add("decoded", "string"))
+    return coded.mapInArrow(each, StructType([*coded.schema.fields]).add("decoded", StringType()))
 
 
 def digested(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
