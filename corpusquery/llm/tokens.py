@@ -28,17 +28,6 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 _WIDE = re.compile("[^\x00-ɏ]")
 
 
-class _Words(dict):
-    """Ids of words as bytes; a word that isn't there yet is encoded."""
-
-    def __init__(self, whole):
-        self.whole = whole
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = out = self.whole([word])[0]
-        return out
-
-
 class Encoder:
     """Texts to arrays of ids as bytes, in the narrowest little-endian unsigned type that holds the vocabulary."""
 
@@ -53,7 +42,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache = _Words(self._whole)
+        self.cache: dict[str, bytes] = {}
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -69,6 +58,8 @@ class Encoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         cut = [None if _WIDE.search(t) else _SPLIT.findall(t) for t in texts]
+        new = list(set().union(*filter(None, cut)).difference(self.cache))
+        self.cache.update(zip(new, self._whole(new), strict=True))
         wide = iter(self._whole([t for t, words in zip(texts, cut, strict=True) if words is None]))
         get = self.cache.__getitem__
         return [next(wide) if words is None else b"".join(map(get, words)) for words in cut]
