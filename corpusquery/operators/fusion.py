@@ -14,12 +14,11 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = K) -> DataFrame:
 
     A side without the chunk has rank -1 and score 0. Equal scores: dense results in their order, then the others in the sparse order.
     A chunk twice in a list counts each rank; its last one is shown."""
-    side = lambda df, name: df.select("query_id", "chunk_id", "rank", "score", F.lit(name).alias("side"))
-    own = lambda name, col: F.when(F.col("side") == name, F.col(col))
-    term = lambda name: F.coalesce(F.sum(1.0 / (k + own(name, "rank"))), F.lit(0.0))
-    shown = lambda name: F.max(F.when(F.col("side") == name, F.struct("rank", "score")))
-    both = side(dense, "dense").unionByName(side(sparse, "sparse"))
-    out = both.groupBy("query_id", "chunk_id").agg((term("dense") + term("sparse")).alias("rrf_score"), shown("sparse").alias("s"), shown("dense").alias("d"))
+    def side(ranked: DataFrame, name: str) -> DataFrame:
+        return ranked.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias(f"{name}_term"), F.max(F.struct("rank", "score")).alias(name))
+
+    out = side(dense, "d").join(side(sparse, "s"), ["query_id", "chunk_id"], "full_outer")
+    out = out.withColumn("rrf_score", F.coalesce("d_term", F.lit(0.0)) + F.coalesce("s_term", F.lit(0.0)))
     out = out.select(
         "query_id", "chunk_id", "rrf_score", F.coalesce("s.rank", F.lit(-1)).alias("sparse_rank"), F.coalesce("s.score", F.lit(0.0)).alias("sparse_score"), F.coalesce("d.rank", F.lit(-1)).alias("dense_rank"), F.coalesce("d.score", F.lit(0.0)).alias("dense_score")
     )
