@@ -1,11 +1,15 @@
 """Cross-entropy difference: how much likelier is a document under a target model than under the background.
 
 Both models are bigram models over one shared vocabulary (all distinct words of the corpus). The background is counted on
-all documents, the target on those a condition selects. With c(v w) bigrams inside a document (a start mark before its
-first word), c(v) the occurrences of v as a left neighbour, c(w) words, N all words and V the vocabulary's size:
+all documents, the target on those a table names. With c(v w) bigrams inside a document, c(w) words, N all words and V the
+vocabulary's size:
 
     P1(w) = (c(w) + 1) / (N + V)        P(w | v) = (c(v w) + L * P1(w)) / (c(v) + L)
 
+An occurrence of v is followed by a word or by the document's end, so c(v) is the count of v as a left neighbour too; the
+first word's left neighbour is a start mark, which is counted as often as there are documents with a word. The end of a
+document isn't scored.
+
 The score is the mean over the words of log2 P_background - log2 P_target: negative values are nearer to the target.
 
 Words are runs of bytes other than space and 0x09-0x0D, with A-Z as a-z. Null and empty texts have no words: n_words 0 and
@@ -28,16 +32,20 @@ from .kernels import NON_SPACE, U64, doc_words, mix, segments, text_buffers, wor
 #: Weight of the word model inside the bigram model.
 LAMBDA = 4.0
 _START = U64(0x5851F42D4C957F2D)
-_PAIR, _LEFT = U64(0xD6E8FEB86659FD93), U64(0x2545F4914F6CDD1D)
+_PAIR = U64(0xD6E8FEB86659FD93)
+
+
+def _heads(first: np.ndarray) -> np.ndarray:
+    """Places of the first words."""
+    return first[:-1][np.diff(first) > 0]
 
 
-def _parts(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of each word, of its left neighbour as a context, and of the pair."""
+def _parts(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each word and of its pair with its left neighbour."""
     left = np.empty_like(words)
     left[1:] = words[:-1]
-    heads = first[:-1][np.diff(first) > 0]
-    left[heads] = _START
-    return words, mix(left ^ _LEFT), mix(left * _PAIR + words)
+    left[_heads(first)] = _START
+    return words, mix(left * _PAIR + words)
 
 
 def _vocabulary(docs: DataFrame) -> tuple[int, int]:
@@ -53,8 +61,8 @@ def _vocabulary(docs: DataFrame) -> tuple[int, int]:
     return int(got[0] or 0), int(got[1] or 0)
 
 
-def _target_words(docs: DataFrame, targets: DataFrame) -> int:
-    """Words of the target documents, by their ids and counts alone."""
+def _sizes(docs: DataFrame, targets: DataFrame) -> tuple[int, int, int]:
+    """Documents with a word; of the targets, such documents and their words. By ids and counts alone."""
 
     def each(batches):
         for batch in batches:
@@ -63,7 +71,10 @@ def _target_words(docs: DataFrame, targets: DataFrame) -> int:
                 first = word_spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NON_SPACE)[2]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first))], names=["doc_id", "n"])
 
-    return int(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long").join(targets, "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0)
+    rows = docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n long").filter("n > 0")
+    mine = F.col("mine").isNotNull()
+    got = rows.join(targets.withColumn("mine", F.lit(True)), "doc_id", "left").agg(F.count("*"), F.count_if(mine), F.sum(F.when(mine, F.col("n")))).first()
+    return tuple(int(x or 0) for x in got)
 
 
 def score(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "doc_id", lam: float = LAMBDA) -> DataFrame:
@@ -73,7 +84,7 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "d
     Texts are shuffled once, into batches, to which the targets' ids come beside them."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     targets = targets.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
-    (v, n_all), n_target = _vocabulary(docs), _target_words(docs, targets)
+    (v, n_all), (docs_all, docs_target, n_target) = _vocabulary(docs), _sizes(docs, targets)
     n = n_batches(docs)
 
     def keys(table: pa.Table, side: pa.Table):
@@ -82,7 +93,7 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "d
             yield a, first, np.repeat(flags[a : a + len(first) - 1], np.diff(first)), _parts(words, first)
 
     def items(table: pa.Table, side: pa.Table):
-        got = [(np.concatenate(parts), np.tile(of, 3)) for _, _, of, parts in keys(table, side)]
+        got = [(np.concatenate(parts), np.tile(of, 2)) for _, _, of, parts in keys(table, side)]
         if not got:
             return np.zeros(0, U64), [np.zeros(0, np.uint32)] * 2
         all_keys, of = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
@@ -97,10 +108,12 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "d
             at = [np.searchsorted(found, k) for k in parts]
             b = a + len(first) - 1
             n_words[a:b] = np.diff(first)
-            for m, size in ((0, n_target), (1, n_all)):
-                c = totals[1 - m].astype(np.float64)
-                one = (c[at[0]] + 1.0) / (size + v)
-                sums = np.concatenate(([0.0], np.cumsum(-np.log2((c[at[2]] + lam * one) / (c[at[1]] + lam)))))
+            for m, size, starts in ((0, n_target, docs_target), (1, n_all, docs_all)):
+                word, pair = (totals[1 - m][x].astype(np.float64) for x in at)
+                left = np.empty_like(word)
+                left[1:] = word[:-1]
+                left[_heads(first)] = starts
+                sums = np.concatenate(([0.0], np.cumsum(-np.log2((pair + lam * (word + 1.0) / (size + v)) / (left + lam)))))
                 bits[m, a:b] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))
         return pa.table({"doc_id": table["doc_id"], "n_words": n_words, "target_bits": bits[0], "background_bits": bits[1], "score": bits[0] - bits[1]})
 
@@ -121,7 +134,7 @@ WITH w AS (
         FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
                      doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents))),
 one AS (SELECT word, count(*)::DOUBLE AS nb, count(*) FILTER (WHERE good)::DOUBLE AS nt FROM w GROUP BY 1),
-ctx AS (SELECT prev, count(*)::DOUBLE AS nb, count(*) FILTER (WHERE good)::DOUBLE AS nt FROM w GROUP BY 1),
+ctx AS (SELECT word AS prev, nb, nt FROM one UNION ALL SELECT '', count(*)::DOUBLE, count(*) FILTER (WHERE good)::DOUBLE FROM w WHERE prev = ''),
 two AS (SELECT prev, word, count(*)::DOUBLE AS nb, count(*) FILTER (WHERE good)::DOUBLE AS nt FROM w GROUP BY 1, 2),
 n AS (SELECT count(*)::DOUBLE AS v, sum(nb) AS nb, sum(nt) AS nt FROM one),
 s AS (SELECT w.doc_id, count(*) AS n_words,
