@@ -61,7 +61,7 @@ def test_prompts(spark):
     rows = spark.createDataFrame([(0, 2, "b", "two\nlines"), (0, 1, "a", "one")], "query_id long, rank int, chunk_id string, text string")
     got = prompts.ordered_texts(rows).select(prompts.answer(F.col("results"), F.lit("why?")), prompts.rerank(F.col("results"), F.lit("why?"))).first()
     assert "[Chunk 1 - ID: a]\none\n\n[Chunk 2 - ID: b]\ntwo\nlines" in got[0] and "[0] one\n[1] two lines" in got[1]
-    chat = rows.limit(1).select(prompts.flattened_chat(F.lit("p"), F.expr("array(struct('user' as role, 'hi' as content), struct(cast(null as string), cast(null as string)))"), F.lit("sys"))).first()[0]
+    chat = rows.limit(1).select(prompts.flattened_chat(F.lit("p"), F.expr("array(struct('user' as role, 'hi' as content), struct(cast(null as string) as role, cast(null as string) as content))"), F.lit("sys"))).first()[0]
     assert chat == "sys\n\nuser: hi\n\nuser: \n\np"
 
 

@@ -34,7 +34,7 @@ def test_ties_and_k(spark):
 
 
 def test_maxsim(spark):
-    x = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0]]
+    x = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
     docs = spark.createDataFrame([("m1", [x[0], x[0], x[0]]), ("m2", [x[0], x[1], x[2]]), ("m3", [x[2], x[2], x[2]]), ("none", [])], "chunk_id string, embeddings array<array<float>>")
     asked = spark.createDataFrame([(0, [x[0], x[1]])], "query_id long, embeddings array<array<float>>")
     got = dense.maxsim_search(docs, asked, 3).orderBy("rank").collect()
