@@ -7,8 +7,7 @@ edge in proportion to its share: an exact draw from the distribution over all se
 1 + its rank / vocabulary size: merges are learned in order of frequency, so frequent pieces cost less, and so do fewer.
 
 A piece has marks only at its front or consists of marks. A lattice can thus be cut before each mark that follows another
-character: no piece spans such a cut, the parts are independent, and each distinct part is filtered once for a
-group of texts. Draws come from a counter-based hash of (row key, part's place, end of the edge) and the seed: the same key and
+character: no piece spans such a cut, the parts are independent, and a worker filters each distinct part once. Draws come from a counter-based hash of (row key, part's place, end of the edge) and the seed: the same key and
 text give the same segmentation wherever and whenever they are processed.
 
 Decoding is lossless: a mark in the text itself is spelled in bytes, so that every other mark means a space, and byte
@@ -35,7 +34,9 @@ MARK = "▁"
 ALPHA = 2.0
 SEED = 17
 #: Characters of texts that are drawn at once.
-GROUP_CHARS = 1 << 17
+GROUP_CHARS = 1 << 18
+#: Distinct parts whose lattices a worker keeps; further ones are filtered for the texts at hand.
+CACHE_PARTS = 400_000
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -95,7 +96,7 @@ class Vocabulary:
         return cls._open[path]
 
     def decode(self, ids) -> str:
-        """The text of a sequence of ids: without the leading space that ``escape`` adds as a mark."""
+        """The text of a sequence of ids: without the leading space that stands for the leading mark as a mark."""
         return b"".join(map(self.spelled.__getitem__, ids))[1:].decode()
 
     def bytes_of(self, point: int) -> list[int]:
@@ -107,38 +108,89 @@ class Vocabulary:
 _LITERAL = "\udcff"
 
 
-def escape(text: str) -> str:
-    return (MARK + text.replace(MARK, _LITERAL).replace(" ", MARK)) if text else ""
+class _Grown:
+    """An array with room to append to."""
+
+    def __init__(self, dtype):
+        self.room, self.size = np.empty(1 << 12, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.room):
+            more = np.empty(max(2 * len(self.room), self.size + len(values)), self.room.dtype)
+            more[: self.size] = self.now
+            self.room = more
+        self.room[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
+class _Numbers(dict):
+    """Numbers of parts; one that is met for the first time gets the next and is noted in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
+        return n
 
 
 class Lattices:
-    """Filtered lattices of distinct parts, in flat arrays. A part of n characters has n + 1 nodes from ``base`` on; a node
-    has the edges first[node] to first[node + 1], each with the node where it begins, its piece (or -1 - code point, for a
-    character in bytes) and the running sum of the node's shares."""
+    """Filtered lattices of the distinct parts that a worker has met, in flat arrays. A part of n characters has n + 1 nodes
+    from ``base`` on; a node has the edges first[node] to first[node + 1], each with the place in the part where it begins,
+    its piece (or -1 - code point, for a character in bytes) and the running sum of the node's shares. A node's numbers
+    come from its own part alone, in the same order of operations whatever else is filtered beside it."""
+
+    _kept: Lattices | None = None
+
+    def __init__(self, v: Vocabulary, alpha: float = ALPHA):
+        self.v, self.alpha = v, alpha
+        self.clear()
 
-    def __init__(self, v: Vocabulary, parts: list[str], alpha: float):
+    @classmethod
+    def kept(cls, v: Vocabulary, alpha: float) -> Lattices:
+        """One for each worker process, vocabulary and alpha; another alpha starts anew."""
+        if cls._kept is None or cls._kept.v is not v or cls._kept.alpha != alpha:
+            cls._kept = cls(v, alpha)
+        return cls._kept
+
+    def arrays(self) -> list[_Grown]:
+        return [self.base, self.length, self.first, self.begin, self.piece, self.share]
+
+    def clear(self) -> None:
+        self.numbers = _Numbers()
+        self.base, self.length = _Grown(np.int64), _Grown(np.int64)
+        self.first, self.begin, self.piece, self.share = _Grown(np.int64), _Grown(np.int32), _Grown(np.int32), _Grown(np.float32)
+        self.first.add(np.zeros(1, np.int64))
+
+    def _add(self, parts: list[str]) -> None:
+        v = self.v
         points = _points("".join(parts))
-        self.length = np.fromiter(map(len, parts), np.int64, len(parts))
-        start = np.cumsum(self.length) - self.length
-        part = np.repeat(np.arange(len(parts)), self.length)
-        self.base = start + np.arange(len(parts))
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        start = np.cumsum(length) - length
+        part = np.repeat(np.arange(len(parts)), length)
+        base = start + np.arange(len(parts))
         place = np.arange(len(points))
-        rest = (start + self.length)[part] - place
+        rest = (start + length)[part] - place
         sums, down = _hashed(points)
         covered = np.zeros(len(points), bool)
         begins, ends, ids, costs = [], [], [], []
-        for length, (hashes, own, sieve) in v.by_length.items():
-            if length > 1:
-                place = place[rest[place] >= length]
-            h = (sums[place + length] - sums[place]) * down[place]
+        for n, (hashes, own, sieve) in v.by_length.items():
+            if n > 1:
+                place = place[rest[place] >= n]
+            h = (sums[place + n] - sums[place]) * down[place]
             maybe = np.flatnonzero(sieve[h >> U64(46)])
             k = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
             real = hashes[k] == h[maybe]
             at, k = place[maybe[real]], k[real]
-            if length == 1:
+            if n == 1:
                 covered[at] = True
             begins.append(at)
-            ends.append(at + length)
+            ends.append(at + n)
             ids.append(own[k])
             costs.append(v.cost[own[k]])
         bare = np.flatnonzero(~covered)
@@ -151,83 +203,117 @@ class Lattices:
         shift = part[begin]
         begin, end = begin + shift, end + shift
         order = np.argsort(end, kind="stable")
-        self.begin, self.piece, weight, end = begin[order], ids[order], -alpha * cost[order], end[order]
+        begin, weight, end = begin[order], -self.alpha * cost[order], end[order]
         nodes = len(points) + len(parts)
-        self.first = np.searchsorted(end, np.arange(nodes + 1))
-        self.share = np.empty(len(end))
-        self._filter(weight, end, nodes)
-
-    def _filter(self, weight: np.ndarray, end: np.ndarray, nodes: int) -> None:
-        """Forward filtering, of all parts side by side: log sums over all paths to the nodes at one distance after the other."""
-        depth = np.arange(nodes) - np.repeat(self.base, self.length + 1)
-        log = np.zeros(nodes)
-        by_depth = np.argsort(depth, kind="stable")
-        cuts = np.searchsorted(depth[by_depth], np.arange(1, depth.max(initial=0) + 2))
-        for a, b in zip(cuts, cuts[1:]):
-            node = by_depth[a:b]
-            count = self.first[node + 1] - self.first[node]
-            head = np.cumsum(count) - count
-            edge = np.repeat(self.first[node] - head, count) + np.arange(count.sum())
-            x = log[self.begin[edge]] + weight[edge]
-            most = np.maximum.reduceat(x, head)
-            x = np.exp(x - np.repeat(most, count))
-            run = np.cumsum(x)
-            before = np.concatenate(([0.0], run))[head]
-            total = run[head + count - 1] - before
-            log[node] = most + np.log(total)
-            self.share[edge] = (run - np.repeat(before, count)) / np.repeat(total, count)
+        first = np.searchsorted(end, np.arange(nodes + 1))
+        depth = np.arange(nodes) - np.repeat(base, length + 1)
+        share = _filtered(begin, end, weight, first, depth)
+        self.base.add(base + self.first.size - 1)
+        self.length.add(length)
+        self.first.add(first[1:] + self.begin.size)
+        self.begin.add(depth[begin])
+        self.piece.add(ids[order])
+        self.share.add(share)
+
+    def numbered(self, parts: list[str]) -> np.ndarray:
+        """Numbers of parts, each given without the mark it begins with."""
+        known = self.numbers
+        known.new = []
+        out = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        if known.new:
+            self._add([MARK + part for part in known.new])
+        return out
 
     def drawn(self, numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward sampling of one path for each of the numbered parts: (place in numbers, piece) from left to right."""
-        at, end = np.arange(len(numbers)), self.length[numbers]
-        base = self.base[numbers]
-        places, ends, pieces = [], [], []
+        """Backward sampling of one path for each of the numbered parts: (pieces of each part, all pieces from left to right)."""
+        all_first, all_begin, all_piece, all_share = self.first.now, self.begin.now, self.piece.now, self.share.now
+        at, end, base = np.arange(len(numbers)), self.length.now[numbers], self.base.now[numbers]
+        rounds = []
         while len(at):
-            u = (mix(keys[at] + end.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(11)).astype(np.float64) * 2.0**-53
-            node = base[at] + end
-            edge, last = self.first[node], self.first[node + 1] - 1
+            u = (mix(keys + end.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(11)).astype(np.float64) * 2.0**-53
+            node = base + end
+            edge, last = all_first[node], all_first[node + 1] - 1
             open_ = np.flatnonzero(edge < last)
             while len(open_):
-                open_ = open_[self.share[edge[open_]] <= u[open_]]
+                open_ = open_[all_share[edge[open_]] <= u[open_]]
                 edge[open_] += 1
                 open_ = open_[edge[open_] < last[open_]]
-            places.append(at)
-            ends.append(end)
-            pieces.append(self.piece[edge])
-            end = self.begin[edge] - base[at]
-            left = end > 0
-            at, end = at[left], end[left]
-        place, end, piece = (np.concatenate(x) for x in (places, ends, pieces))
-        order = np.lexsort((end, place))
-        return place[order], piece[order]
-
-
-def segment(v: Vocabulary, texts: list[str], keys: list[int], alpha: float = ALPHA, seed: int = SEED) -> list[np.ndarray]:
-    """Ids of one sampled segmentation of each text."""
-    parts, counts = [], []
-    for text in texts:
-        own = _PARTS.findall(escape(text))
-        parts += own
-        counts.append(len(own))
-    if not parts:
-        return [np.zeros(0, np.int32) for _ in texts]
-    known = {part: k for k, part in enumerate(dict.fromkeys(parts))}
-    numbers = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-    counts = np.array(counts, np.int64)
-    row = np.repeat(np.arange(len(texts)), counts)
-    within = np.arange(len(parts)) - np.repeat(np.cumsum(counts) - counts, counts)
-    own = mix(np.array(keys, np.int64).view(U64) ^ mix(np.array([seed], U64)))
-    place, piece = Lattices(v, list(known), alpha).drawn(numbers, mix(own[row] + within.astype(U64)))
-    row = row[place]
-    bare = np.flatnonzero(piece < 0)
-    if len(bare):
-        spelled = [v.bytes_of(-1 - p) for p in piece[bare].tolist()]
-        sizes = np.ones(len(piece), np.int64)
-        sizes[bare] = [len(x) for x in spelled]
-        row, in_bytes = np.repeat(row, sizes), np.repeat(piece < 0, sizes)
-        piece = np.repeat(piece, sizes)
-        piece[in_bytes] = np.concatenate(spelled)
-    return np.split(piece.astype(np.int32), np.searchsorted(row, np.arange(1, len(texts))))
+            rounds.append((at, all_piece[edge]))
+            end = all_begin[edge]
+            left = np.flatnonzero(end)
+            at, end, base, keys = at[left], end[left], base[left], keys[left]
+        counts = np.zeros(len(numbers), np.int64)
+        for at, _ in rounds:
+            counts[at] += 1
+        last = np.cumsum(counts) - 1
+        out = np.empty(counts.sum(), np.int32)
+        for back, (at, piece) in enumerate(rounds):
+            out[last[at] - back] = piece
+        return counts, out
+
+    def segment(self, texts: list[str], keys: list[int], seed: int = SEED) -> list[np.ndarray]:
+        """Ids of one sampled segmentation of each text."""
+        full, sizes_before = len(self.numbers) >= CACHE_PARTS, [x.size for x in self.arrays()]
+        v, parts, counts = self.v, [], []
+        for text in texts:
+            own = parted(text)
+            parts += own
+            counts.append(len(own))
+        if not parts:
+            return [np.zeros(0, np.int32) for _ in texts]
+        counts = np.array(counts, np.int64)
+        within = np.arange(len(parts)) - np.repeat(np.cumsum(counts) - counts, counts)
+        own = mix(np.array(keys, np.int64).view(U64) ^ mix(np.array([seed], U64)))
+        sizes, piece = self.drawn(self.numbered(parts), mix(np.repeat(own, counts) + within.astype(U64)))
+        if full:  # what is new is forgotten again: the words that a worker met first are mostly the frequent ones
+            for part in self.numbers.new:
+                del self.numbers[part]
+            for x, size in zip(self.arrays(), sizes_before, strict=True):
+                x.size = size
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)]
+        bare = np.flatnonzero(piece < 0)
+        if len(bare):
+            points, which = np.unique(piece[bare], return_inverse=True)
+            spelled = [np.array(v.bytes_of(-1 - p), np.int32) for p in points.tolist()]
+            width = np.ones(len(piece), np.int64)
+            width[bare] = np.array([len(x) for x in spelled])[which]
+            in_bytes = np.repeat(piece < 0, width)
+            ends = np.concatenate(([0], np.cumsum(width)))[ends]
+            piece = np.repeat(piece, width)
+            piece[in_bytes] = np.concatenate([spelled[k] for k in which])
+        return np.split(piece, ends[:-1])
+
+
+def _filtered(begin: np.ndarray, end: np.ndarray, weight: np.ndarray, first: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Forward filtering, of all parts side by side: log sums over all paths to the nodes at one distance after the other. Gives each edge's running share."""
+    log = np.zeros(len(depth))
+    by_depth = np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[by_depth], np.arange(1, depth.max(initial=0) + 2))
+    for a, b in zip(cuts, cuts[1:]):
+        node = by_depth[a:b]
+        count = first[node + 1] - first[node]
+        head = np.cumsum(count) - count
+        edge = np.repeat(first[node] - head, count) + np.arange(count.sum())
+        x = log[begin[edge]] + weight[edge]
+        most = np.maximum.reduceat(x, head)
+        log[node] = most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, count)), head))
+    share = np.exp(log[begin] + weight - log[end])
+    edge, last = first[:-1][np.diff(first) > 1] + 1, first[1:][np.diff(first) > 1]
+    while len(edge):
+        share[edge] += share[edge - 1]
+        edge, last = edge[edge + 1 < last] + 1, last[edge + 1 < last]
+    return share
+
+
+def parted(text: str) -> list[str]:
+    """The parts of an escaped text, each without the mark that it begins with."""
+    if not text:
+        return []
+    if MARK in text:
+        text = text.replace(MARK, _LITERAL)
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return [part[1:] for part in _PARTS.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
 
 
 def _groups(texts: list[str]):
@@ -245,11 +331,11 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
     """docs with a column ids (array of int): a segmentation of the whole text, drawn by its key. A null key draws as 0."""
 
     def each(batches):
-        v = Vocabulary.get(model)
+        lattices = Lattices.kept(Vocabulary.get(model), alpha)
         for batch in batches:
             texts, keys = [x or "" for x in batch[text].to_pylist()], [x or 0 for x in batch[key].to_pylist()]
             for a, b in _groups(texts):
-                rows = segment(v, texts[a:b], keys[a:b], alpha, seed)
+                rows = lattices.segment(texts[a:b], keys[a:b], seed)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], names=[*batch.schema.names, "ids"])
 
@@ -273,10 +359,11 @@ def digested(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id
 
     def each(batches):
         v = Vocabulary.get(model)
+        lattices = Lattices.kept(v, alpha)
         for batch in batches:
             texts, keys = [x or "" for x in batch.column(1).to_pylist()], [x or 0 for x in batch.column(0).to_pylist()]
             for a, b in _groups(texts):
-                rows = segment(v, texts[a:b], keys[a:b], alpha, seed)
+                rows = lattices.segment(texts[a:b], keys[a:b], seed)
                 back = [v.decode(r.tolist()) == t for r, t in zip(rows, texts[a:b], strict=True)]
                 crcs = [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(r) for r in rows], pa.int64()), pa.array(crcs, pa.int64()), pa.array(back, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])

@@ -301,15 +301,15 @@ def test_pieces_decode_to_the_text(spark, odd):
     assert again == {(r.doc_id, tuple(r.ids)) for r in coded.collect()}
     v = sampled_pieces.Vocabulary.get(model)
     long = "x" * 5000
-    assert v.decode(sampled_pieces.segment(v, [long], [1])[0].tolist()) == long
+    assert v.decode(sampled_pieces.Lattices(v).segment([long], [1])[0].tolist()) == long
 
 
 @pytest.mark.parametrize("word", ["there", "a\nb漢", "▁x"])
 def test_draws_follow_the_lattice(word):
     v = sampled_pieces.Vocabulary.get(sampled_pieces._model())
-    part = sampled_pieces.escape(word)
+    part = "▁" + word.replace(" ", "▁")
     if "▁" in word:
-        assert v.decode(sampled_pieces.segment(v, [word], [1])[0].tolist()) == word
+        assert v.decode(sampled_pieces.Lattices(v).segment([word], [1])[0].tolist()) == word
         return
     ids = {p: i for i, p in enumerate(v.pieces) if v.spelled[i] and not p.startswith("<0x")}
     paths = {}
@@ -327,7 +327,7 @@ def test_draws_follow_the_lattice(word):
 
     walk(0, [], 0.0)
     n = 20000
-    drawn = [tuple(x.tolist()) for x in sampled_pieces.segment(v, [word] * n, list(range(n)))]
+    drawn = [tuple(x.tolist()) for x in sampled_pieces.Lattices(v).segment([word] * n, list(range(n)))]
     total = sum(paths.values())
     assert set(drawn) <= set(paths) and all(abs(drawn.count(p) / n - w / total) < 0.015 for p, w in paths.items())
 
