@@ -213,8 +213,12 @@ def _windows(texts: list[tuple[bytes, int]], window: int, slices: int) -> tuple[
 def train(docs: DataFrame, per_lang: int = PER_LANG, window: int = WINDOW, slices: int = SLICES, steps: int = STEPS) -> BiGru | None:
     """docs(doc_id, text, lang): rows to learn from. Rows without id, text or language are left out; None where none is left."""
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("doc_id").distinct()
+    # the smallest hashes of each language; a first cut by its count leaves a few times per_lang rows, so that no language meets in one task
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = F.coalesce(*(F.when(F.col("lang") == r.lang, place < F.lit(((1 << 40) * (3 * per_lang + 50)) // r.n)) for r in counts), F.lit(False))
+    order = W.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = known.select("doc_id", "lang").filter(near).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("doc_id").distinct()
 
     def each(batches):
         for batch in batches:
