@@ -28,6 +28,8 @@ from .graph import components
 from .kernels import NON_SPACE, U64, doc_words, mix, ngrams
 
 ORDERS = 2
+#: Words of a shingle and the least similarity in percent, for near duplicates.
+WIDTH, PERCENT = 5, 80
 _SEEDS = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)]
 
 
@@ -43,7 +45,7 @@ def _sets(column, width: int):
         yield a, hashes[keep], np.concatenate(([0], np.cumsum(np.bincount(rows[keep], minlength=len(at) - 1)))).astype(np.int64)
 
 
-def set_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
+def set_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, and two 64-bit sums over the set's hashes that stand for it."""
 
     def each(batches):
@@ -123,7 +125,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
 
 
-def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, percent: int = 90, orders: int = ORDERS) -> DataFrame:
+def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set), component_id (smallest id that links reach).
 
     Words are runs of bytes other than space and 0x09-0x0D with A-Z as a-z; a text of fewer words than ``width`` is one
@@ -163,7 +165,7 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return linked(read(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -385,5 +385,5 @@ def test_pipeline(spark):
     items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert not [r.doc_id for r in kept.collect() if any(t in r.text for t in items)]
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept.collect()}
-    groups = {r.component_id for r in ngram_join.query(spark, DATA).collect()}
+    groups = {r.component_id for r in ngram_join.linked(docs).collect()}
     assert 0.7 * len(groups) < out.count() <= len(groups)
