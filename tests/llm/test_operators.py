@@ -111,22 +111,30 @@ def test_join(spark, tmp_path):
         rows.append((i * 7, " ".join(own).upper() if i % 5 == 0 else "  ".join(own)))
     rows += [(1000, None), (1001, ""), (1002, "a"), (1003, "A"), (1004, "a b"), (1005, "a b c"), (1005, "a b c")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    frame = ngram_join.query(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert joined(ngram_join.query(spark, str(tmp_path))) == grouped_by_hand(rows, 3, 90)
+    assert joined(ngram_join.linked(docs, width=2, percent=70)) == grouped_by_hand(rows, 2, 70)
+
+
+def joined(frame):
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in frame.collect())
+
+
+def grouped_by_hand(rows, width, percent):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets[i] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
     root = {i: i for i in sets}
 
     def top(i):
         return i if root[i] == i else top(root[i])
 
     for a, b in itertools.combinations(sorted(sets), 2):
-        if sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             x, y = sorted((top(a), top(b)))
             root[y] = x
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in frame.collect()}
-    assert got == {(i, len(s), top(i)) for i, s in sets.items()} and frame.count() == len(rows)
+    return sorted((i, len(sets[i]), top(i)) for i, _ in rows)
 
 
 def test_components(spark):
