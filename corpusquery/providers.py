@@ -19,6 +19,26 @@ from pyspark.sql import functions as F
 _MADE: dict = {}
 
 
+def usable_key(key: str | None) -> bool:
+    """Whether a key is set and isn't a sample file's placeholder."""
+    return bool(key and key.strip()) and not key.strip().lower().startswith("your_")
+
+
+def require_key(key: str | None, name: str) -> str:
+    """The key for a remote provider's constructor; a missing one or a placeholder is an error."""
+    if not usable_key(key):
+        raise ValueError(f"{name} is not set")
+    return key.strip()
+
+
+def checked_dimension(vectors: list[list[float]], dimension: int) -> list[list[float]]:
+    """The vectors, all of the declared dimension; any other is an error."""
+    for v in vectors:
+        if len(v) != dimension:
+            raise ValueError(f"a vector of {len(v)} dimensions; {dimension} are declared")
+    return vectors
+
+
 def _made(factory: Callable):
     key = getattr(factory, "__qualname__", repr(factory))
     if key not in _MADE:
@@ -54,7 +74,9 @@ def embedded(rows: DataFrame, factory: Callable, text: str = "text") -> DataFram
 
     @F.pandas_udf("array<float>")
     def embed(batches: pd.Series) -> pd.Series:
-        return pd.Series(_made(factory).embed(batches.fillna("").tolist()))
+        model = _made(factory)
+        vectors = model.embed(batches.fillna("").tolist())
+        return pd.Series(checked_dimension(vectors, model.dimension) if hasattr(model, "dimension") else vectors)
 
     return rows.withColumn("embedding", embed(text))
 

@@ -133,3 +133,19 @@ def test_stream(spark, tmp_path):
         stream.stop()
     ix = sparse.SparseIndex.read(spark, str(tmp_path / "out/index"))
     assert ix.stats.first().n == 4 and {r.df for r in ix.terms.collect()} == {2}
+
+
+def test_keys_and_dimensions():
+    assert not any(map(providers.usable_key, (None, "", "  ", "your_key_here"))) and providers.require_key(" k ", "KEY") == "k"
+    with pytest.raises(ValueError):
+        providers.require_key("", "KEY")
+    with pytest.raises(ValueError):
+        providers.checked_dimension([[1.0], [1.0, 2.0]], 1)
+
+
+def test_graph_tables(spark, tmp_path):
+    from corpusquery.operators import graph
+
+    chunks = spark.createDataFrame([("c1", "Alpha met Beta")], "chunk_id string, text string")
+    g = graph.extract(chunks).write(str(tmp_path / "g"))
+    assert {r.name for r in g.entities.collect()} == {"alpha", "beta"} and g.relations.count() == 1
