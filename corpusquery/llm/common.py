@@ -43,9 +43,9 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 def n_batches(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES) -> int:
-    """How many batches of about ``batch_bytes`` the texts make, four for each shuffle partition at least."""
+    """How many batches of about ``batch_bytes`` the texts make, two for each shuffle partition at least."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    return max(4 * n_partitions(docs.sparkSession), -(-total // batch_bytes))
+    return max(2 * n_partitions(docs.sparkSession), -(-total // batch_bytes))
 
 
 def with_batch(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import n_partitions
 from .kernels import U64, pack, unpack
 
+#: Shards for each shuffle partition: several, so that hashing deals them evenly.
+SHARDS = 3
 _REQUEST = "batch int, shard int, items binary, counts binary"
 _REPLY = "batch int, shard int, totals binary"
 
@@ -44,7 +46,7 @@ def counted(docs: DataFrame, side: DataFrame | None, items: Callable, answer: Ca
     answer(table, side table, the same hashes, [corpus-wide counts] * kinds) gives a pa.Table of ``schema``.
     side, if given, has a column batch too: small rows that a batch needs, such as which documents count."""
     spark = docs.sparkSession
-    shards = n_partitions(spark)
+    shards = SHARDS * n_partitions(spark)
     has_side = side is not None
 
     def ask(table: pa.Table, other: pa.Table | None) -> pa.Table:
