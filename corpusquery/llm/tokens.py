@@ -12,7 +12,7 @@ import unicodedata
 
 import numpy as np
 
-#: Distinct words that a cache keeps before it starts anew.
+#: Distinct words that a cache keeps; further ones are encoded for the texts at hand.
 CACHE_WORDS = 1_000_000
 
 
@@ -55,11 +55,13 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         cut = [None if _WIDE.search(t) else _SPLIT.findall(t) for t in texts]
         new = list(set().union(*filter(None, cut)).difference(self.cache))
         self.cache.update(zip(new, self._whole(new), strict=True))
         wide = iter(self._whole([t for t, words in zip(texts, cut, strict=True) if words is None]))
         get = self.cache.__getitem__
-        return [next(wide) if words is None else b"".join(map(get, words)) for words in cut]
+        out = [next(wide) if words is None else b"".join(map(get, words)) for words in cut]
+        if len(self.cache) > CACHE_WORDS:
+            for word in new:
+                del self.cache[word]
+        return out
