@@ -237,7 +237,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, window: int = WINDOW, slice
 
 
 def predict(docs: DataFrame, model: BiGru | None, text: str = "text", spans: bool = False) -> DataFrame:
-    """docs with lang_pred and score, and with ``spans`` also lang_spans: runs of bytes of one label (start, end, lang)."""
+    """docs with lang_pred and score, and with ``spans`` also lang_spans: runs of bytes of one label (start, end, lang); columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", *["lang_spans"] * spans)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
@@ -284,5 +285,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter whose language's share of the probability isn't below LEAST_SCORE; the model learns from the documents that come in."""
-    out = predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), _trained(docs), "in_text")
+    out = predict(docs.select(*(F.col(c).alias(f"in_{c}") for c in docs.columns)), _trained(docs), "in_text")
     return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))

@@ -328,7 +328,8 @@ def _groups(texts: list[str]):
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """docs with a column ids (array of int): a segmentation of the whole text, drawn by its key. A null key draws as 0."""
+    """docs with a column ids (array of int): a segmentation of the whole text, drawn by its key. A null key draws as 0. A column ids is replaced."""
+    docs = docs.drop("ids")
 
     def each(batches):
         lattices = Lattices.kept(Vocabulary.get(model), alpha)
@@ -343,7 +344,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
 
 
 def decode(coded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """coded with a column decoded: the text that the ids spell."""
+    """coded with a column decoded, the text that the ids spell, in place of one that it has."""
+    coded = coded.drop("decoded")
 
     def each(batches):
         v = Vocabulary.get(model)
@@ -384,4 +386,4 @@ def query(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFra
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its ids; the text itself can be had from them."""
-    return encode(docs, _model()).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    return encode(docs.select("doc_id", "text"), _model()).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")

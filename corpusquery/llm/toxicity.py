@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a column score."""
+    """docs with a column score, in place of one that they have."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
@@ -167,4 +168,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the cut."""
-    return score(docs, _trained(docs, read(spark, sf_dir, "labels"))).filter(F.col("score") < CUT).drop("score").select(docs.columns)
+    renamed = docs.select(*(F.col(c).alias(f"in_{c}") for c in docs.columns))
+    return score(renamed, _trained(docs, read(spark, sf_dir, "labels")), "in_text").filter(F.col("score") < CUT).select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))

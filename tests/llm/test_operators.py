@@ -379,6 +379,16 @@ def test_license_scan(spark):
 # the pipeline
 
 
+def test_stages_keep_columns_of_any_name(spark, few):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{few}/documents.parquet").withColumns({c: F.lit(c) for c in ("ids", "lang_pred", "score", "in_text", "batch", "n", "h", "decoded", "class_id")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, few)
+        assert out.columns == docs.columns or name == corpus_pipeline.STAGES[-1][0], name
+        assert all(r.doc_id in range(20) for r in out.collect()), name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
