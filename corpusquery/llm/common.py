@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Temporary folders by application, where no shared folder is set (tests on one machine).
+_own_dirs: dict[str, str] = {}
 #: Bytes of text that one batch of documents holds on average.
 BATCH_BYTES = 6 << 20
 
@@ -20,8 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='corpusquery-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        own = spark.sparkContext.applicationId
+        if own not in _own_dirs:
+            _own_dirs[own] = f"file://{tempfile.mkdtemp(prefix='corpusquery-')}"
+        path = _own_dirs[own]
     return path.rstrip("/")
 
 
