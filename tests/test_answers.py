@@ -34,7 +34,8 @@ def test_columns(spark):
     got = rows.select(clamp(F.col("x")), T.bar(clamp(F.col("x"))), T.label(clamp(F.col("x")))).collect()
     assert [r[0] for r in got] == [1, 0, 0.75, 0.25, 1] and [r[1].count("█") for r in got] == [10, 0, 8, 2, 10] and [r[2] for r in got] == ["pass", "fail", "warn", "fail", "pass"]
     register(spark)
-    assert spark.sql("select extract_score('score 0.3', 0.5D)").first()[0] == 0.3
+    got = spark.sql("select extract_score('score 0.3', 0.5D), corpus_tokens('Foo_bar AGC-1969 x'), cosine(array(1F, 0F), array(1F, 1F)), cosine(array(1F), array(0F))").first()
+    assert got[0] == 0.3 and got[1] == ["agc-1969", "x"] and got[2] == pytest.approx(2**-0.5) and got[3] == 0.0
 
 
 CANDIDATES = [(0, "a", 0.03, 1), (0, "b", 0.02, 2), (0, "c", 0.01, 3), (1, "x", 0.5, 1), (2, "p", 0.4, 1), (2, "q", 0.3, 2)]
