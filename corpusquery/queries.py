@@ -18,6 +18,8 @@ from .plans.config import Config
 from .plans.pipelines import Basic, Hybrid
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31)"
+#: Line ends of any kind and quotes, which would end a value assigned on one line.
+_LINE_OR_QUOTE = r"""[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"']"""
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words with an underscore or a Latin-1 letter go as a whole before tokens are taken.
 _TOKENS = r"regexp_extract_all(regexp_replace(lower({0}), '[a-z0-9_]*[_ßà-öø-ÿ][a-z0-9_ßà-öø-ÿ]*', ' ', 'g'), '\b[a-z0-9]+(?:-[a-z0-9]+)*\b')"
@@ -78,6 +80,14 @@ def chunks_assigned(spark, sf_dir):
     return chunk(docs.select(F.col("doc_id").cast("string").alias("source"), text.alias("text")), assignments=True).select("chunk_id", "text")
 
 
+def chunks_assigned_whole(spark, sf_dir):
+    """Every document's whole text on one line; a null text is an empty value."""
+    value = F.regexp_replace(F.coalesce("text", F.lit("")), _LINE_OR_QUOTE, " ")
+    text = F.concat_ws("", F.lit("documents = [\nD1 = \""), value, F.lit("\"\nX = \"\"\nplain line"), F.col("doc_id").cast("string"))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), text.alias("text"))
+    return chunk(docs, assignments=True).select("chunk_id", "text")
+
+
 def snippets(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("short"), T.snippet(F.col("text"), 90, always=True).alias("shown"))
 
@@ -240,6 +250,10 @@ def _prompt_sql(template: str, *parts: str) -> str:
     return " || ".join(x for pair in zip(quoted, [*parts, None]) for x in pair if x)
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _strip_sql(x: str) -> str:
     return f"trim({x}, {_WS})"
 
@@ -248,6 +262,7 @@ _DOC = "('  ' || text || chr(10))"
 QUERIES = {
     "c1_c9_chunks": chunks_basic,
     "c4_c5_assignment_chunks": chunks_assigned,
+    "c4_c5_assignment_chunks_whole": chunks_assigned_whole,
     "c10_c11_snippets": snippets,
     "s1_tokens": tokenised,
     "d1_corpus_stats": corpus_stats,
@@ -279,6 +294,12 @@ SQL = {
     "c4_c5_assignment_chunks": rf"""
 WITH d AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 200), '[\n"'']', ' ', 'g'), {_WS}) AS p FROM documents WHERE doc_id % 3 <> 2)
 SELECT doc_id || '#chunk-0000' AS chunk_id, p AS text FROM d UNION ALL SELECT doc_id || '#chunk-0001', '' FROM d UNION ALL SELECT doc_id || '#chunk-0002', 'plain line' || doc_id FROM d""",
+    "c4_c5_assignment_chunks_whole": f"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), {_quoted(_LINE_OR_QUOTE)}, ' ', 'g'), {_WS}) AS p FROM documents),
+win AS (SELECT doc_id, s, trim(substr(p, s + 1, 400), {_WS}) AS piece FROM
+  (SELECT doc_id, p, unnest(CASE WHEN length(p) <= 400 THEN [0] ELSE range(0, (ceil((length(p) - 400) / 340.0) * 340)::BIGINT + 1, 340) END) AS s, length(p) AS n FROM d) WHERE n <= 400 OR trim(substr(p, s + 1, 400), {_WS}) <> ''),
+parts AS (SELECT doc_id, 0 AS line, s, piece FROM win UNION ALL SELECT doc_id, 1, 0, '' FROM d UNION ALL SELECT doc_id, 2, 0, 'plain line' || doc_id FROM d)
+SELECT printf('%d#chunk-%04d', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, s) - 1) AS chunk_id, piece AS text FROM parts""",
     "c10_c11_snippets": "SELECT doc_id, replace(substr(text, 1, 60), chr(10), ' ') || CASE WHEN length(text) > 60 THEN '...' ELSE '' END AS short, replace(substr(text, 1, 90), chr(10), ' ') || '...' AS shown FROM documents",
     "s1_tokens": f"SELECT doc_id, len(ts) AS n_tokens, array_to_string(ts[1:20], ' ') AS head FROM (SELECT doc_id, {_TOKENS.format('text')} AS ts FROM documents)",
     "d1_corpus_stats": f"WITH {_SPARSE} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
