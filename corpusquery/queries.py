@@ -2,6 +2,7 @@
 
 Documents have single line feeds only, so paragraphs are made by doubling them; chunk ids start with the document's id.
 Benchmark items are the queries; vectors below 5 are vector queries; eight vectors in a row make a document of tokens.
+Queries named ..._whole take the stated set instead, every row whose id is divisible by 20, and whole texts.
 """
 
 from __future__ import annotations
@@ -66,8 +67,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
-def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+def _vector_queries(spark: SparkSession, sf_dir: str, which: str = "vec_id < 5") -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").filter(which).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def chunks_basic(spark, sf_dir):
@@ -118,10 +119,22 @@ def cosine_top5(spark, sf_dir):
     return dense.cosine_search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 5, digits=6)
 
 
-def maxsim_top5(spark, sf_dir):
+def cosine_top5_whole(spark, sf_dir):
+    return dense.cosine_search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir, "vec_id % 20 = 0"), 5, digits=6)
+
+
+def _maxsim(spark, sf_dir, which):
     rows = _table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("chunk_id"), (F.col("vec_id") % 8).cast("int").alias("token_pos"), "embedding")
     docs = dense.token_arrays(rows)
-    return dense.maxsim_search(docs, docs.filter("chunk_id < 3").withColumnRenamed("chunk_id", "query_id"), 5, digits=6)
+    return dense.maxsim_search(docs, docs.filter(which).withColumnRenamed("chunk_id", "query_id"), 5, digits=6)
+
+
+def maxsim_top5(spark, sf_dir):
+    return _maxsim(spark, sf_dir, "chunk_id < 3")
+
+
+def maxsim_top5_whole(spark, sf_dir):
+    return _maxsim(spark, sf_dir, "chunk_id % 20 = 0")
 
 
 def _ranked(spark, sf_dir):
@@ -142,6 +155,20 @@ def _fused(spark, sf_dir):
     return fusion.fuse(*_ranked(spark, sf_dir))
 
 
+def _fused_whole(spark, sf_dir):
+    """As _fused, for the stated set. The vectors of a label are the same list for each of its queries, so it is cut to 5 before the join."""
+    from .operators.ranking import top_k
+
+    rows = _table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("chunk_id"), (1.0 / (1 + F.col("vec_id"))).alias("score"))
+    asked = _table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    same = asked.join(top_k(rows, 5, F.desc("score"), F.col("chunk_id"), by="label"), "label").select("query_id", "chunk_id", "score", "rank")
+    return fusion.fuse(cosine_top5_whole(spark, sf_dir), same)
+
+
+def rrf_fusion_whole(spark, sf_dir):
+    return fusion.rounded(_fused_whole(spark, sf_dir))
+
+
 def rerank_replies(spark, sf_dir):
     """Replies rate the candidates 0 and 2; that of query 3 can't be parsed."""
     fused = _fused(spark, sf_dir)
@@ -151,12 +178,27 @@ def rerank_replies(spark, sf_dir):
     return out.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "original_rank", "rerank_source", "rank")
 
 
-def rerank_bypass(spark, sf_dir):
-    fused = _fused(spark, sf_dir)
+def rerank_replies_whole(spark, sf_dir):
+    """Replies rate the candidates 0 and 2; those of every fourth query can't be parsed."""
+    fused, n = _fused_whole(spark, sf_dir), F.floor(F.col("query_id") / 20)
+    reply = F.when(n % 4 == 3, "no scores").otherwise(F.format_string('```json\n[{"index": 0, "score": %d}, {"index": 2, "score": "7.5"}]\n```', n % 10))
+    out = rerank.rerank(fused, fused.select("query_id").distinct().withColumn("reply", reply), 3)
+    return out.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "original_rank", "rerank_source", "rank")
+
+
+def _bypass(fused):
     out = rerank.rerank(fused, fused.select("query_id", F.lit(None).cast("string").alias("reply")).distinct(), 3)
     return out.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "original_rank", "rerank_source", "rank")
 
 
+def rerank_bypass(spark, sf_dir):
+    return _bypass(_fused(spark, sf_dir))
+
+
+def rerank_bypass_whole(spark, sf_dir):
+    return _bypass(_fused_whole(spark, sf_dir))
+
+
 def clamped(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("event_id", (F.col("value") / 50.0 - 0.5).alias("x"))
     score = score_functions.clamp(F.col("x"))
@@ -270,10 +312,15 @@ QUERIES = {
     "k1_d4_j3_bm25_top5": bm25_top5,
     "s7_a7_vector_norms": vector_norms,
     "k2_j1_s8_cosine_top5": cosine_top5,
+    "k2_j1_s8_cosine_top5_whole": cosine_top5_whole,
     "k3_j2_d5_d6_maxsim_top5": maxsim_top5,
+    "k3_j2_d5_d6_maxsim_top5_whole": maxsim_top5_whole,
     "f1_j4_k4_d7_a13_rrf_fusion": rrf_fusion,
+    "f1_j4_k4_d7_a13_rrf_fusion_whole": rrf_fusion_whole,
     "r1_j5_k5_s18_rerank": rerank_replies,
+    "r1_j5_k5_s18_rerank_whole": rerank_replies_whole,
     "k6_rerank_bypass": rerank_bypass,
+    "k6_rerank_bypass_whole": rerank_bypass_whole,
     "s11_s14_s15_scores": clamped,
     "s12_code_fence": unfenced,
     "s13_s17_reply_scores": reply_scores,
@@ -340,3 +387,14 @@ WITH s AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 3 THEN 0.5::DOUBL
   CASE WHEN item_id % 5 = 4 THEN 0.5::DOUBLE ELSE (item_id % 10) / 10.0 END AS g, CASE WHEN item_id % 5 = 4 THEN 0.5::DOUBLE ELSE 1.0 END AS a FROM benchmark)
 SELECT query_id, round_even(c::DOUBLE, 4) AS context_relevance, round_even(g::DOUBLE, 4) AS groundedness, round_even(a::DOUBLE, 4) AS answer_relevance, round_even(((c + g + a) / 3)::DOUBLE, 4) AS composite FROM s""",
 }
+#: The stated set in place of the few queries.
+_STATED = {"q.vec_id < 5": "q.vec_id % 20 = 0", "q.d < 3": "q.d % 20 = 0", "query_id = 3": "query_id // 20 % 4 = 3", "query_id::DOUBLE": "(query_id // 20 % 10)::DOUBLE"}
+
+
+def _stated(sql: str) -> str:
+    for few, stated in _STATED.items():
+        sql = sql.replace(few, stated)
+    return sql
+
+
+SQL |= {f"{name}_whole": _stated(SQL[name]) for name in ("k2_j1_s8_cosine_top5", "k3_j2_d5_d6_maxsim_top5", "f1_j4_k4_d7_a13_rrf_fusion", "r1_j5_k5_s18_rerank", "k6_rerank_bypass")}

@@ -1,10 +1,12 @@
 """Queries over their whole tables: against brute force on fixtures, and against SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from corpusquery import queries
+from corpusquery.operators import dense
 
 DATA = "/root/testdata/sf0.001"
 #: One for each kind of line end, with quotes, white space at a window's edge, and texts below, at and beyond a window.
@@ -48,3 +50,24 @@ def test_assignments_of_whole_documents_as_sql(spark):
     frame = queries.QUERIES["c4_c5_assignment_chunks_whole"](spark, DATA)
     against_sql(frame, "c4_c5_assignment_chunks_whole")
     assert frame.selectExpr("count(distinct split(chunk_id, '#')[0])").first()[0] == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+STATED = ["k2_j1_s8_cosine_top5_whole", "k3_j2_d5_d6_maxsim_top5_whole", "f1_j4_k4_d7_a13_rrf_fusion_whole", "r1_j5_k5_s18_rerank_whole", "k6_rerank_bypass_whole"]
+
+
+@pytest.mark.parametrize("name", STATED)
+def test_stated_queries_as_sql(spark, name):
+    frame = queries.QUERIES[name](spark, DATA)
+    against_sql(frame, name)
+    ids = range(0, 500, 20) if "maxsim" not in name else range(0, 63, 20)
+    assert {r.query_id for r in frame.select("query_id").distinct().collect()} == set(ids)
+
+
+def test_stated_queries_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_VALUES", 32)
+    x = np.random.default_rng(1).normal(size=(170, 8)).astype("float32")
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = {q: sorted(range(170), key=lambda i: (-np.floor(unit[q] @ unit[i] * 1e6 + 0.5), i))[:5] for q in range(0, 170, 20)}
+    got = queries.QUERIES["k2_j1_s8_cosine_top5_whole"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()
+    assert {q: [r.chunk_id for r in got if r.query_id == q] for q in near} == near and len(got) == 45
