@@ -2,7 +2,8 @@
 
 The vocabulary's pre-tokeniser cuts a text into words that are then encoded each by itself. So the library encodes each
 distinct word once and a text's ids are its words' ids in a row. The cut is made here for texts up to U+024F; a text with
-any other character goes to the library as a whole.
+any other character, or with an added token of the vocabulary (such as <|endoftext|>, which is one id), goes to the library
+as a whole.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
@@ -55,7 +56,7 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _WIDE.search(t) else _SPLIT.findall(t) for t in texts]
+        cut = [None if any(a in t for a in self.added) or _WIDE.search(t) else _SPLIT.findall(t) for t in texts]
         new = list(set().union(*filter(None, cut)).difference(self.cache))
         self.cache.update(zip(new, self._whole(new), strict=True))
         wide = iter(self._whole([t for t, words in zip(texts, cut, strict=True) if words is None]))

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusquery.llm import cross_entropy, decontaminate, fingerprint, language, license_scan, ngram_join, quotes, registry, sampled_pieces, token_file, toxicity
+from corpusquery.llm import cross_entropy, decontaminate, fingerprint, language, license_scan, ngram_join, quotes, registry, sampled_pieces, token_file, tokens, toxicity
 from corpusquery.llm.graph import components
 
 DATA = "/root/testdata/sf0.001"
@@ -170,6 +170,20 @@ def test_token_file(spark, odd, tmp_path):
         token_file.Image(image, b"another dictionary")
 
 
+def test_added_tokens_are_one_id(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model, plain = public_tokenizers.path("byte_bpe_50k.json"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|>two", "plain", "<|endoftext|>", " <|endoftext|> <|endoftext|>\n", "<|endoftext|", "漢<|endoftext|>字", "one two"]
+    assert tokens.Encoder(model).encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    path = f"file://{tmp_path}/tokens"
+    token_file.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, model, 2)
+    got = token_file.digest(spark, path).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(plain.encode(t, add_special_tokens=False).ids) + 1 for t in texts] and got[0].n_tokens == 4
+    assert token_file.fetch(spark, path, [0]).first().ids == [505, 50256, 11545, 2]
+
+
 # 4
 
 
