@@ -3,7 +3,9 @@
 A text is its words, runs of [0-9a-z] and bytes beyond ASCII after A-Z became a-z, joined by single spaces. For a notice
 and at most e edits, the notice is cut into e + 1 pieces; by the pigeonhole principle one of them stands unchanged in any
 text that matches. Texts are searched for the pieces, and only round a piece that was found does the regex library look
-for the notice with at most e insertions, deletions and substitutions. A match is a span of words with its edits.
+for the notice with at most e insertions, deletions and substitutions. A match is a span of words with its edits. Matches
+don't overlap: those with the fewest edits go first, of equal ones the leftmost. So round each place the leftmost matches
+without edits are taken, then in the gaps between them those with one edit, and so on.
 
 Edits count bytes of the UTF-8 text. Null and empty texts give no words, labels or spans. Very long texts are searched
 as a whole, the work is linear in their length. Repeated rows give repeated results; an empty table gives none.
@@ -49,11 +51,11 @@ def pieces(notice: bytes, edits: int) -> list[tuple[int, bytes]]:
 class Scanner:
     def __init__(self, phrases=PHRASES, notices=NOTICES):
         self.phrases = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
-        self.notices = [(label, n := words.encode(), e, pieces(n, e), regex.compile(f"(?b)(?:{regex.escape(words)}){{e<={e}}}".encode("latin-1"))) for label, words, e in notices]
+        self.notices = [(label, n := words.encode(), e, pieces(n, e), [regex.compile(f"(?:{regex.escape(words)}){{e<={k}}}".encode("latin-1")) for k in range(e + 1)]) for label, words, e in notices]
 
     def spans(self, text: bytes):
         """text: words joined by single spaces. Yields (label, first byte, end, edits, notice's length) of each notice found."""
-        for label, notice, edits, parts, pattern in self.notices:
+        for label, notice, edits, parts, patterns in self.notices:
             windows = []
             for place, piece in parts:
                 at = text.find(piece)
@@ -70,9 +72,19 @@ class Scanner:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                for m in pattern.finditer(text[a:b]):
-                    if m.end() > m.start():
-                        yield label, a + m.start(), a + m.end(), sum(m.fuzzy_counts), len(notice)
+                found, gaps = [], [(a, b)]
+                for pattern in patterns:
+                    left = []
+                    for start, end in gaps:
+                        at = start
+                        for m in pattern.finditer(text[start:end]):
+                            found.append((start + m.start(), start + m.end(), sum(m.fuzzy_counts)))
+                            left.append((at, found[-1][0]))
+                            at = found[-1][1]
+                        left.append((at, end))
+                    gaps = [(x, y) for x, y in left if y - x >= len(notice) - edits]
+                for x, y, n in sorted(found):
+                    yield label, x, y, n, len(notice)
 
     def scan(self, raw: bytes) -> dict:
         words = raw.translate(_TABLE).split()

@@ -381,6 +381,46 @@ def test_notices_within_the_edits():
         assert bool(list(scanner.spans(text.encode()))) == edit_distance_spans(text, notice, edits)
 
 
+def spans_by_hand(text, notice, most):
+    """(start, edits) of the matches that don't overlap: fewest edits first, then leftmost, at each start the ends that have so few edits."""
+    best = {}
+    for a in range(len(text)):
+        row = list(range(len(notice) + 1))
+        for b in range(a + 1, min(len(text), a + len(notice) + most) + 1):
+            now = [b - a]
+            for j, d in enumerate(notice, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (text[b - 1] != d)))
+            row = now
+            if row[-1] <= most:
+                best.setdefault((row[-1], a), []).append(b)
+    return best
+
+
+def test_every_notice_of_several_in_a_row():
+    notice, edits = "released under the mit license", 3
+    scanner = license_scan.Scanner({}, [("mit", notice, edits)])
+    one, exact = "released undr the mit license", notice
+    for text, want in ((f"{one} x {exact}", [(0, 29, 1), (32, 62, 0)]), (f"{exact} x {one}", [(0, 30, 0), (33, 62, 1)])):
+        assert [x[1:4] for x in scanner.spans(text.encode())] == want
+    rng = random.Random(5)
+    for _ in range(25):
+        copies = []
+        for _ in range(rng.randrange(2, 5)):
+            own = list(notice)
+            for _ in range(rng.randrange(4)):
+                k = rng.randrange(len(own))
+                own[k : k + 1] = rng.choice([[], [rng.choice("abc")], [own[k], rng.choice("xyz")]])
+            copies.append("".join(own))
+        text = " ".join(rng.choice([" ", " x ", " and "]).join(copies).split())
+        got = [x[1:4] for x in scanner.spans(text.encode())]
+        best, taken = spans_by_hand(text, notice, edits), []
+        for a, b, n in sorted(got, key=lambda x: (x[2], x[0])):
+            free = [k for k in sorted(best) if any(all(e <= x or k[1] >= y for x, y in taken) for e in best[k])]
+            assert free[0] == (n, a) and b in best[free[0]]
+            taken.append((a, b))
+        assert not [k for k in best if any(all(e <= x or k[1] >= y for x, y in taken) for e in best[k])]
+
+
 def test_license_scan(spark):
     rows = [(1, "The MIT-License, mit license mit license"), (2, "Released undr the MTI License."), (3, None), (4, "amit license"), (5, "GNU General\nPublic License; Apache license"), (6, "émit license éa")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
