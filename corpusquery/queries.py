@@ -97,6 +97,12 @@ def tokenised(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 20), " ").alias("head"))
 
 
+def tokenised_whole(spark, sf_dir):
+    """A digest of all tokens."""
+    ts = T.tokens(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(ts).cast("long").alias("n_tokens"), F.md5(F.array_join(ts, " ")).alias("digest"))
+
+
 def corpus_stats(spark, sf_dir):
     ix = sparse.index(_chunks(spark, sf_dir))
     return ix.stats.select("n", F.round("avgdl", 6).alias("avgdl"))
@@ -228,14 +234,23 @@ def answer_prompts(spark, sf_dir):
     return rows.select("query_id", prompts.answer(F.col("results"), F.col("text"), "Document Chunk").alias("answer"), prompts.rerank(F.col("results"), F.col("text")).alias("rerank"))
 
 
-def judge_prompts(spark, sf_dir):
+def _judged(spark, sf_dir, answer):
     rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.concat(F.lit("  "), "text", F.lit("\n"))
     return rows.select(
-        "doc_id", F.md5(prompts.context_relevance(F.lit(" what? "), text)).alias("relevance"), F.md5(prompts.groundedness(F.array(text, F.lit("more")), F.lit(" so "))).alias("grounded"), F.md5(prompts.answer_relevance(F.lit(" what? "), F.substring(text, 1, 100))).alias("answer")
+        "doc_id", F.md5(prompts.context_relevance(F.lit(" what? "), text)).alias("relevance"), F.md5(prompts.groundedness(F.array(text, F.lit("more")), F.lit(" so "))).alias("grounded"), F.md5(prompts.answer_relevance(F.lit(" what? "), answer(text))).alias("answer")
     )
 
 
+def judge_prompts(spark, sf_dir):
+    return _judged(spark, sf_dir, lambda text: F.substring(text, 1, 100))
+
+
+def judge_prompts_whole(spark, sf_dir):
+    """The whole text is the answer."""
+    return _judged(spark, sf_dir, lambda text: text)
+
+
 def chat_prompts(spark, sf_dir):
     talk = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     history = F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
@@ -307,6 +322,7 @@ QUERIES = {
     "c4_c5_assignment_chunks_whole": chunks_assigned_whole,
     "c10_c11_snippets": snippets,
     "s1_tokens": tokenised,
+    "s1_tokens_whole": tokenised_whole,
     "d1_corpus_stats": corpus_stats,
     "d2_d3_s4_term_stats": term_stats,
     "k1_d4_j3_bm25_top5": bm25_top5,
@@ -327,6 +343,7 @@ QUERIES = {
     "s18_reply_rankings": reply_rankings,
     "p1_p2_p4_d10_prompts": answer_prompts,
     "p5_p7_s16_judge_prompts": judge_prompts,
+    "p5_p7_s16_judge_prompts_whole": judge_prompts_whole,
     "p8_chat_prompts": chat_prompts,
     "e1_d8_d9_triad": triad_scores,
     "g2_graph_naive": graph_naive,
@@ -398,3 +415,7 @@ def _stated(sql: str) -> str:
 
 
 SQL |= {f"{name}_whole": _stated(SQL[name]) for name in ("k2_j1_s8_cosine_top5", "k3_j2_d5_d6_maxsim_top5", "f1_j4_k4_d7_a13_rrf_fusion", "r1_j5_k5_s18_rerank", "k6_rerank_bypass")}
+SQL |= {
+    "s1_tokens_whole": SQL["s1_tokens"].replace("array_to_string(ts[1:20], ' ') AS head", "md5(array_to_string(ts, ' ')) AS digest"),
+    "p5_p7_s16_judge_prompts_whole": SQL["p5_p7_s16_judge_prompts"].replace(f"substr({_DOC}, 1, 100)", _DOC),
+}

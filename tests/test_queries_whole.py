@@ -71,3 +71,13 @@ def test_stated_queries_in_blocks(spark, tmp_path, monkeypatch):
     near = {q: sorted(range(170), key=lambda i: (-np.floor(unit[q] @ unit[i] * 1e6 + 0.5), i))[:5] for q in range(0, 170, 20)}
     got = queries.QUERIES["k2_j1_s8_cosine_top5_whole"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()
     assert {q: [r.chunk_id for r in got if r.query_id == q] for q in near} == near and len(got) == 45
+
+
+@pytest.mark.parametrize("name, column", [("s1_tokens_whole", "digest"), ("p5_p7_s16_judge_prompts_whole", "answer")])
+def test_digests_of_whole_texts(spark, tmp_path, name, column):
+    against_sql(queries.QUERIES[name](spark, DATA), name)
+    long = "word " * 200
+    spark.createDataFrame([(0, long + "one"), (1, long + "two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    part = queries.QUERIES[name.removesuffix("_whole")](spark, str(tmp_path)).drop("doc_id", "relevance", "grounded")
+    assert part.distinct().count() == 1
+    assert queries.QUERIES[name](spark, str(tmp_path)).select(column).distinct().count() == 2
