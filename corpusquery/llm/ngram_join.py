@@ -3,8 +3,8 @@
 A pair whose Jaccard similarity is at least t shares, under any order of all n-grams, one of the first
 n - ceil(t n) + 1 n-grams of either set. Rare n-grams come first in every order here, with ties broken by a different hash
 in each, so an n-gram of one document alone uses up prefix places without making candidates, and a passage that many
-documents share stands at the end. Candidates must share a prefix n-gram under each order, at places that still leave
-enough overlap, before their sets are compared.
+documents share stands at the end. Candidates must share a prefix n-gram at places that still leave enough overlap,
+before their sets are compared: in step 2 under one order (the union over the orders), in step 3 under each.
 
 Copies never meet as pairs:
  1. equal sets are one class (grouped by a 128-bit digest and their size);
