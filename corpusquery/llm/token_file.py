@@ -45,7 +45,9 @@ _NULL = -(1 << 63)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id") -> bytes:
-    """A dictionary from the serialised ids of a fixed sample: the documents of the smallest hashes. Too small a sample gives an empty one."""
+    """A dictionary from the serialised ids of a fixed sample: the documents of the smallest hashes.
+
+    Where the sample is too small for zstandard's trainer, the sample's own bytes are the dictionary (raw content); only without any document that has a key is it empty."""
     ids = [r[0] for r in docs.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS).collect()]
     if not ids:
         return b""
@@ -62,7 +64,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text: str = "
     try:
         return zstandard.train_dictionary(DICT_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(sample)[-DICT_BYTES:]
 
 
 def _compressor(dictionary: bytes):
@@ -107,7 +109,8 @@ class Image:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id") -> None:
     """Tokenises whole texts (null: empty), appends end_id, and writes the shards in ascending order of the key under ``path``.
 
-    Null keys come first; equal keys stay together, in no set order. An empty table gives no shards."""
+    Null keys come first; rows of one key follow each other in no set order, and may fill several tasks, as ranges are cut
+    by a seeded number too. Other columns are ignored. An empty table gives no shards and an empty dictionary."""
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer, end_id, text, key)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -135,7 +138,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
             yield shard()
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("image", pa.binary())])
-    ordered = docs.select(F.col(key).cast("long").alias(key), text).repartitionByRange(n_partitions(spark), key).sortWithinPartitions(key)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.rand(0).alias("salt"))
+    ordered = rows.repartitionByRange(n_partitions(spark), "id", "salt").sortWithinPartitions("id", "salt").select("id", "text")
     ordered.mapInArrow(each, "part int, seq int, first_id long, last_id long, n_docs long, n_tokens long, image binary").write.parquet(f"{path}/shards")
 
 

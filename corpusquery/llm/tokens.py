@@ -3,11 +3,12 @@
 The vocabulary's pre-tokeniser cuts a text into words that are then encoded each by itself. So the library encodes each
 distinct word once and a text's ids are its words' ids in a row. The cut is made here for texts up to U+024F; a text with
 any other character, or with an added token of the vocabulary (such as <|endoftext|>, which is one id), goes to the library
-as a whole.
+as a whole. So do all texts where the file has a normaliser, or another pre-tokeniser than the one that is cut by here.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -29,6 +30,13 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 _WIDE = re.compile("[^\x00-ɏ]")
 
 
+def cuts_as_here(file: dict) -> bool:
+    """Whether a tokenizer file encodes each word of ``_SPLIT`` by itself, and nothing before or behind it."""
+    cut = file.get("pre_tokenizer") or {}
+    plain = all(not file.get(k) for k in ("normalizer", "truncation", "padding")) and not (file["model"].get("dropout") or file["model"].get("end_of_word_suffix"))
+    return plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+
+
 class Encoder:
     """Texts to arrays of ids as bytes, in the narrowest little-endian unsigned type that holds the vocabulary."""
 
@@ -41,6 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = cuts_as_here(json.loads(self.tokenizer.to_str()))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
@@ -56,7 +65,7 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(a in t for a in self.added) or _WIDE.search(t) else _SPLIT.findall(t) for t in texts]
+        cut = [None if not self.cuts or any(a in t for a in self.added) or _WIDE.search(t) else _SPLIT.findall(t) for t in texts]
         new = list(set().union(*filter(None, cut)).difference(self.cache))
         self.cache.update(zip(new, self._whole(new), strict=True))
         wide = iter(self._whole([t for t, words in zip(texts, cut, strict=True) if words is None]))

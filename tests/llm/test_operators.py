@@ -184,6 +184,28 @@ def test_added_tokens_are_one_id(spark, tmp_path):
     assert token_file.fetch(spark, path, [0]).first().ids == [505, 50256, 11545, 2]
 
 
+def test_files_of_other_tokenizers_and_small_tables(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(model)
+    assert tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")).cuts and not tokens.Encoder(model).cuts
+    texts = ["It's ONE  two", "é漢 12", "", "a<|endoftext|>b", "word " * 20000, "y" * 200000]
+    assert tokens.Encoder(model).encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    rows = [*enumerate(texts), (None, "null id"), (None, None), (2**62, "far"), (-(2**62), "near"), (7, "same id"), (7, "of two texts")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "h", "salt", "part", "image")})
+    path = f"file://{tmp_path}/tokens"
+    token_file.write(docs, path, model, 2)
+    sha, dictionary = spark.read.parquet(f"{path}/dictionary").first()
+    assert len(dictionary) > 0 and hashlib.sha256(dictionary).hexdigest() == sha
+    got = token_file.digest(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(2**62), 0, 1, 2, 3, 4, 5, 7, 7, 2**62]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    want = sorted(zlib.crc32(np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t in rows)
+    assert sorted(r.ids_crc32 for r in got) == want
+
+
 # 4
 
 
