@@ -6,9 +6,15 @@ SQL function). The fingerprint is wide: two 64-bit xxhashes of the canonical for
 digits. Groups of equal fingerprints are checked byte by byte: where a bucket's least and greatest canonical forms differ,
 its rows are grouped by the form itself.
 
-A null text counts as empty, and all texts without anything but white space are equal. Repeated rows share a group, however
-many they are: buckets are summed up before they are shuffled. An empty table gives no rows; other columns are ignored. Rows
-without an id have no neighbours: ``with_next`` and the query leave them out.
+Neighbours: documents stand in descending order of their ids, those of one id in the order of a hash of their texts, those
+without an id behind all others; after the last comes the first. Only ids, hashes and lengths are ordered, by ranges that
+follow the rows and not the values, so clustered, repeated and null ids are dealt as evenly as any; the texts are shuffled
+once by their keys, and of each text once more what its neighbour takes from its front.
+
+A null text counts as empty, and all texts without anything but white space are equal. Every row comes back, repeated ones
+as often as they stand there: all but one of them have their own text as the next one. Groups of copies are summed up
+before they are shuffled. ``group_id`` is the smallest id of a group, null where none of its rows has one. An empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +27,9 @@ from .common import materialise, n_partitions, read
 
 #: Seeds in front of the text in the two halves of the fingerprint.
 SALTS = (0, 1)
-#: Rows that a block of neighbouring ids holds on average.
-BLOCK_ROWS = 32
 _SPACE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: A row's key: its id and two hashes of its text. Rows that agree in all three are repeated rows.
+_KEY = ["doc_id", "t0", "t1"]
 
 
 def canonical(text: Column) -> Column:
@@ -42,58 +48,94 @@ def fingerprint(form: Column) -> Column:
     return F.concat(*(F.lpad(F.lower(F.hex(F.xxhash64(F.lit(s), form))), 16, "0") for s in SALTS))
 
 
+def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc_id, t0, t1 and text; a null text is empty."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.select("doc_id", *(F.xxhash64(F.lit(s), "text").alias(f"t{s}") for s in SALTS), "text")
+
+
+def buckets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """(fingerprint, group_id, n_rows and collision of each fingerprint; where some bucket holds different bytes, also
+    doc_id, t0, t1, fingerprint, group_id and n_rows of the rows in those, by their forms)."""
+    rows = _keyed(docs, text, key).withColumn("form", canonical(F.col("text"))).withColumn("fingerprint", fingerprint(F.col("form")))
+    found = rows.groupBy("fingerprint").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("doc_id").alias("group_id"), F.count("*").alias("n_rows"))
+    found = materialise(found.select("fingerprint", "group_id", "n_rows", (F.col("a") != F.col("b")).alias("collision")), "buckets")
+    if found.filter("collision").isEmpty():
+        return found, None
+    mixed = rows.join(found.filter("collision").select("fingerprint"), "fingerprint", "left_semi")
+    each = mixed.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_rows"))
+    return found, materialise(mixed.select(*_KEY, "fingerprint", "form").distinct().join(each, ["fingerprint", "form"]).select(*_KEY, "fingerprint", "group_id", "n_rows"), "mixed")
+
+
+def _with_groups(rows: DataFrame, found: DataFrame, mixed: DataFrame | None, columns: list[str]) -> DataFrame:
+    """rows(doc_id, t0, t1, fingerprint, ...) with group_id, n_rows of the group, and collision (the bucket holds different bytes)."""
+    columns = [*columns, "group_id", "n_rows", "collision"]
+    plain = rows.join(found.filter("NOT collision") if mixed is not None else found, "fingerprint").select(columns)
+    if mixed is None:
+        return plain
+    same = [rows["fingerprint"] == mixed["fingerprint"], *(rows[c].eqNullSafe(mixed[c]) for c in _KEY)]
+    apart = rows.join(mixed, same).select(*(rows[c] for c in columns[:-3]), "group_id", "n_rows", F.lit(True).alias("collision"))
+    return plain.union(apart)
+
+
 def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, fingerprint, group_id (smallest id of the rows with the same canonical bytes), n_rows of the group, and collision (the bucket holds different bytes)."""
-    forms = docs.select(F.col(key).cast("long").alias("doc_id"), canonical(F.col(text)).alias("form"))
-    rows = forms.withColumn("fingerprint", fingerprint(F.col("form")))
-    buckets = rows.groupBy("fingerprint").agg(F.min("form").alias("a"), F.max("form").alias("b"), F.min("doc_id").alias("group_id"), F.count("*").alias("n_rows"))
-    buckets = materialise(buckets.select("fingerprint", "group_id", "n_rows", (F.col("a") != F.col("b")).alias("collision")), "buckets")
-    plain = rows.select("doc_id", "fingerprint").join(buckets.filter("NOT collision"), "fingerprint")
-    cols = ["doc_id", "fingerprint", "group_id", "n_rows", "collision"]
-    if buckets.filter("collision").isEmpty():
-        return plain.select(cols)
-    mixed = rows.join(buckets.filter("collision").select("fingerprint"), "fingerprint", "left_semi")
-    each = mixed.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_rows"), F.lit(True).alias("collision"))
-    return plain.select(cols).union(mixed.join(each, ["fingerprint", "form"]).select(cols))
-
-
-def _following(ids: DataFrame) -> DataFrame:
-    """ids(k long, distinct) -> k and next_k, the next smaller one (null at the end). Neighbours within range partitions, then the partitions' ends."""
-    spark = ids.sparkSession
-    dealt = materialise(ids.repartitionByRange(n_partitions(spark), "k").select("k", F.spark_partition_id().alias("p")), "ids")
-    ends = dealt.groupBy("p").agg(F.max("k").alias("top")).select("p", F.lag("top").over(W.orderBy("p")).alias("before"))
-    inside = dealt.select("p", "k", F.lag("k").over(W.partitionBy("p").orderBy("k")).alias("lower"))
-    return inside.join(ends, "p").select("k", F.coalesce("lower", "before").alias("next_k"))
-
-
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with next_text, the text of the next document in descending order of the ids; after the last comes the first.
-
-    Neighbours meet in blocks of the id range, through which texts are shuffled once; only a block's last row needs the
-    first text of the next block that has rows. Rows of one id follow each other in the order of their texts."""
-    low, high, count = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = max(1, (high - low + 1) * BLOCK_ROWS // count) if count else 1
-    blocks = docs.withColumn("block", F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"))
-    order = W.partitionBy("block").orderBy(F.desc("doc_id"), "text")
-    rows = blocks.select("block", "doc_id", "text", F.lead("text").over(order).alias("inside"), F.lead("doc_id").over(order).isNull().alias("last"), F.row_number().over(order).alias("n"))
-    heads = rows.filter("n = 1").select(F.col("block").alias("head_block"), F.col("text").alias("head_text"))
-    ids = blocks.select(F.col("block").alias("k")).distinct()
-    top = (high - low) // width if count else 0
-    nexts = _following(ids).select(F.col("k").alias("block"), F.coalesce("next_k", F.lit(top).cast("long")).alias("head_block"))
-    heads = heads.join(nexts, "head_block").select("block", "head_text")
-    return rows.join(heads, "block").select("doc_id", "text", F.when(F.col("last"), F.col("head_text")).otherwise(F.col("inside")).alias("next_text"))
+    rows = _keyed(docs, text, key)
+    rows = rows.select(*_KEY, fingerprint(canonical(F.col("text"))).alias("fingerprint"))
+    return _with_groups(rows, *buckets(docs, text, key), ["doc_id", "fingerprint"])
+
+
+def _ordered(keys: DataFrame) -> DataFrame:
+    """keys(doc_id, t0, t1, distinct, and n) -> also nx (a struct: the key after it, of the first one after the last) and
+    bx (the key before it and its n). Neighbours within range partitions, then the partitions' ends."""
+    order = [F.col("doc_id").desc_nulls_last(), F.col("t0"), F.col("t1")]
+    row = F.struct(*_KEY, "n")
+    dealt = materialise(keys.repartitionByRange(n_partitions(keys.sparkSession), *order).select("*", F.spark_partition_id().alias("p")), "keys")
+    within = W.partitionBy("p").orderBy(*order)
+    inside = dealt.withColumns({"nx": F.lead(row).over(within), "bx": F.lag(row).over(within), "k": F.row_number().over(within), "more": F.lead("p").over(within).isNotNull()})
+    # a partition's first and last row; the partitions are few, and their order closes to a ring
+    ends = inside.filter("k = 1 OR NOT more").groupBy("p").agg(F.max(F.when(F.col("k") == 1, row)).alias("first"), F.max(F.when(~F.col("more"), row)).alias("last"))
+    around = W.orderBy("p")
+    ring = ends.select("p", F.coalesce(F.lead("first").over(around), F.min(F.struct("p", "first")).over(W.partitionBy())["first"]).alias("after"), F.coalesce(F.lag("last").over(around), F.max(F.struct("p", "last")).over(W.partitionBy())["last"]).alias("before"))
+    return inside.join(ring, "p").select(*_KEY, "n", "copies", F.coalesce("nx", "after").alias("nx"), F.coalesce("bx", "before").alias("bx"))
+
+
+def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, t0, t1, text, copies (rows of this key), next_key (a struct) and next_front: as many code points from the front of the next document's text as a third of the own ones."""
+    rows = _keyed(docs, text, key)
+    keys = rows.select(*_KEY, F.length("text").alias("n")).groupBy(*_KEY).agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    keys = materialise(_ordered(keys), "neighbours")
+    by_key = rows.join(keys.select(*_KEY, "copies", "nx", "bx"), [rows[c].eqNullSafe(keys[c]) for c in _KEY]).select(*(rows[c] for c in [*_KEY, "text"]), "copies", "nx", "bx")
+    mine = by_key.select(*_KEY, "text", "copies", F.col("nx").alias("next_key"))
+    # one of a key's rows gives its front to the row before
+    fronts = by_key.select(*(F.col(f"bx.{c}").alias(c) for c in _KEY), F.substr("text", F.lit(1), F.floor(F.col("bx.n") / 3).cast("int")).alias("next_front"), "copies")
+    repeated = fronts.filter("copies > 1").drop("copies").distinct()
+    once = fronts.drop("copies") if keys.filter("copies > 1").isEmpty() else fronts.filter("copies = 1").drop("copies").union(repeated)
+    return mine.join(once, [mine[c].eqNullSafe(once[c]) for c in _KEY]).select(*(mine[c] for c in mine.columns), "next_front")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = F.length("text")
-    cut = F.floor(n / 3).cast("int")
-    rows = with_next(docs).select("doc_id", "text", "next_text", n.alias("n"), cut.alias("m"))
-    rows = rows.select("doc_id", "text", "next_text", F.col("n").cast("long").alias("n_chars"), F.concat(F.substr("text", F.lit(1), F.col("n") - F.col("m")), F.substr("next_text", F.lit(1), F.col("m"))).alias("edited"))
-    forms = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(canonical(F.col(c)).alias(a) for c, a in (("text", "own"), ("edited", "other"), ("next_text", "follow"))))
-    alike = lambda a, b: (F.col(a) == F.col(b)).cast("double")
-    marked = forms.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"), alike("own", "other").alias("near_edited"), alike("own", "follow").alias("near_next")
-    )
-    groups = grouped(docs).select(F.col("doc_id").alias("id"), "group_id", "n_rows", "collision").distinct()
-    return marked.join(groups, marked.doc_id == groups.id, "left").drop("id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found, mixed = buckets(docs)
+    n, m = F.length("text"), F.floor(F.length("text") / 3).cast("int")
+    kept = F.substr("text", F.lit(1), n - m)
+    # of repeated rows, all but one are followed by themselves
+    rows = with_next(docs).withColumns({"edited": F.concat(kept, "next_front"), "itself": F.when(F.col("copies") > 1, F.concat(kept, F.substr("text", F.lit(1), m)))})
+    # forms stand in columns of their own: an expression with a reflected call is evaluated wherever it is written
+    rows = rows.withColumns({f"{c}_form": F.when(F.col(c).isNotNull(), canonical(F.col(c))) for c in ("text", "edited", "itself")})
+    rows = rows.select(
+        *_KEY, "copies", "next_key", F.monotonically_increasing_id().alias("row"), n.cast("long").alias("n_chars"), fingerprint(F.col("text_form")).alias("fingerprint"),
+        *(F.when(F.col(c).isNotNull(), F.struct(F.sha2(c, 256).alias("sha"), fingerprint(F.col(f"{c}_form")).alias("f"))).alias(c) for c in ("edited", "itself")),
+    )
+    rows = materialise(rows, "digests")
+    lasts = rows.filter("copies > 1").groupBy(*_KEY).agg(F.max("row").alias("row")).select(F.col("row").alias("last_row"))
+    single, many = rows.filter("copies = 1"), rows.filter("copies > 1").join(lasts, F.col("row") == F.col("last_row"), "left")
+    own = lambda df, follows: df.select(*_KEY, "n_chars", "fingerprint", F.when(follows, F.col("edited")).otherwise(F.col("itself")).alias("e"), F.when(follows, F.col("next_key")).otherwise(F.struct(*_KEY, F.lit(0).alias("n"))).alias("next_key"))
+    rows = own(single, F.lit(True)).union(own(many, F.col("last_row").isNotNull()))
+    prints = rows.select(*(F.col(c).alias(f"next_{c}") for c in _KEY), F.col("fingerprint").alias("next_fingerprint")).distinct()
+    rows = rows.join(prints, [F.col(f"next_key.{c}").eqNullSafe(prints[f"next_{c}"]) for c in _KEY])
+    alike = lambda a, b: (a == F.col(b)).cast("double")
+    rows = rows.select(
+        *_KEY, "n_chars", F.col("e.sha").alias("edited_sha256"), "fingerprint", F.col("e.f").alias("edited_fingerprint"), alike(F.col("e.f"), "fingerprint").alias("near_edited"), alike(F.col("next_fingerprint"), "fingerprint").alias("near_next")
+    )
+    return _with_groups(rows, found, mixed, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])

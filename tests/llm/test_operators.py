@@ -232,6 +232,22 @@ def test_fingerprints(spark, few):
     assert [r.group_id for r in fingerprint.grouped(same).orderBy("doc_id").collect()] == [1, 1, 3, 3, 5]
 
 
+def test_neighbours_whatever_the_ids(spark, tmp_path):
+    rng = random.Random(8)
+    ids = [None, None, -(2**63), 2**63 - 1, 2**60, *range(150), *(rng.randrange(-(2**63), 2**63) for _ in range(60)), 3, 3, 3, 8, 8]
+    rows = [(i, " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(6)))) for i in ids] + [(5, "same row")] * 4 + [(None, "same row"), (None, None), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(2) for c in ("t0", "n", "copies", "fingerprint")}).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    hashed = {t: tuple(r) for t, *r in spark.createDataFrame([(t or "",) for t in {t for _, t in rows}], "t string").distinct().select("t", F.xxhash64(F.lit(0), "t"), F.xxhash64(F.lit(1), "t")).collect()}
+    docs = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    want = []
+    for (i, t), (_, follow) in zip(docs, docs[1:] + docs[:1]):
+        m = len(t) // 3
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - m] + follow[:m]).encode()).hexdigest(), float(t.split() == follow.split())))
+    got = fingerprint.query(spark, str(tmp_path)).select("doc_id", "n_chars", "edited_sha256", "near_next").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert {r.doc_id for r in fingerprint.grouped(spark.read.parquet(f"{tmp_path}/documents.parquet")).filter("n_rows > 4 AND group_id = 5").collect()} == {5, None}
+
+
 def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "fingerprint", lambda form: F.substring(form, 1, 1))
     docs = spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "AB"), (4, "b")], "doc_id long, text string")
