@@ -27,7 +27,8 @@ from .common import materialise, n_partitions, read
 
 #: Seeds in front of the text in the two halves of the fingerprint.
 SALTS = (0, 1)
-_SPACE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: Runs of ASCII white space other than one space. Of the other white space, four characters are left by the normalisation.
+_SPACE, _WIDE_SPACES = r" [\s\x1C-\x1F]+|[\t-\r\x1C-\x1F][\s\x1C-\x1F]*", "\x85\u1680\u2028\u2029"
 #: A row's key: its id and two hashes of its text. Rows that agree in all three are repeated rows.
 _KEY = ["doc_id", "t0", "t1"]
 
@@ -39,7 +40,10 @@ def canonical(text: Column) -> Column:
     folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), nfkc(F.coalesce(text, F.lit(""))), F.lit(True))
     # what is ASCII alone is its own normal form, and folds as lower case
     ascii_only = F.octet_length(text) == F.length(text)
-    form = F.when(ascii_only, F.lower(text)).otherwise(nfkc(folded))
+    other = nfkc(folded)
+    for space in _WIDE_SPACES:
+        other = F.replace(other, F.lit(space), F.lit(" "))
+    form = F.when(ascii_only, F.lower(text)).otherwise(other)
     return F.trim(F.regexp_replace(form, _SPACE, " "))
 
 
