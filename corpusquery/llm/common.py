@@ -5,13 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Temporary folders by application, where no shared folder is set (tests on one machine).
 _own_dirs: dict[str, str] = {}
+_registered: set[str] = set()
 #: Bytes of text that one batch of documents holds on average.
 BATCH_BYTES = 6 << 20
+#: Keys that are chosen so that they are dealt evenly; more than so many are even enough by chance.
+MOST_KEYS = 1 << 15
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,10 +23,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a temporary folder serves a session on one machine; on a cluster, whose executors would each
+    write to their own disk, that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         own = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if own not in _own_dirs:
             _own_dirs[own] = f"file://{tempfile.mkdtemp(prefix='corpusquery-')}"
         path = _own_dirs[own]
@@ -30,13 +39,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes a table into the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The application's tables lie in one folder, which goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    _gone_at_end(spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _gone_at_end(spark: SparkSession, folder: str) -> None:
+    """Hadoop removes the folder when the driver ends."""
+    if folder not in _registered:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        _registered.add(folder)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes materialised tables that nothing reads any more."""
+    for table in tables:
+        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            jvm = table.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(file)
+            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -52,5 +83,36 @@ def n_batches(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTE
     return max(2 * n_partitions(docs.sparkSession), -(-total // batch_bytes))
 
 
-def with_batch(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    return docs.withColumn("batch", F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int"))
+def _murmur(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of integers, by which it deals rows out (Murmur3, 32 bits, seed 42)."""
+    turn = lambda v, k: (v << np.uint32(k)) | (v >> np.uint32(32 - k))
+    h = np.uint32(42) ^ turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).astype(np.int32)
+
+
+def even_keys(n: int, partitions: int) -> np.ndarray:
+    """n distinct integers that a shuffle by hash deals evenly to its partitions, as far as n goes round; many for each come out even by themselves."""
+    if n > MOST_KEYS:
+        return np.arange(n, dtype=np.int32)
+    size = 16 * (n + partitions)
+    while True:
+        x = np.arange(size, dtype=np.int32)
+        to = _murmur(x) % partitions
+        order = np.argsort(to, kind="stable")
+        first = np.searchsorted(to[order], np.arange(partitions))
+        turn = np.arange(size) - first[to[order]]
+        if np.bincount(to, minlength=partitions).min() >= -(-n // partitions):
+            return x[order[np.argsort(turn, kind="stable")[:n]]]
+        size *= 2
+
+
+def with_batch(docs: DataFrame, n: int, key: str = "doc_id", spare: str | None = None) -> DataFrame:
+    """docs with a column batch by the hash of the key, of ``spare`` where the key is null."""
+    by = F.pmod(F.coalesce(F.xxhash64(key) if not spare else F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.xxhash64(spare or key)), F.lit(n)).cast("int")
+    keys = even_keys(n, n_partitions(docs.sparkSession))
+    if n <= MOST_KEYS:  # the list is folded into one literal when the plan is made
+        by = F.element_at(F.split(F.lit(",".join(map(str, keys.tolist()))), ",").cast("array<int>"), by + 1)
+    return docs.withColumn("batch", by)

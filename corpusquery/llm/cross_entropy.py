@@ -13,8 +13,9 @@ document isn't scored.
 The score is the mean over the words of log2 P_background - log2 P_target: negative values are nearer to the target.
 
 Words are runs of bytes other than space and 0x09-0x0D, with A-Z as a-z. Null and empty texts have no words: n_words 0 and
-score 0.0. Repeated rows count as often as they stand there. An empty table gives no rows. Without any target document,
-the target model is uniform.
+score 0.0. Repeated rows count as often as they stand there; rows of one id are targets together, rows without one never
+are. Other columns are ignored, whatever their names. An empty table gives no rows. Without any target document, the target
+model is uniform.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_batches, read, with_batch
+from .common import BATCH_BYTES, n_batches, read, with_batch
 from .exchange import counted, tally
 from .kernels import NON_SPACE, U64, doc_words, mix, segments, text_buffers, word_spans
 
@@ -77,7 +78,7 @@ def _sizes(docs: DataFrame, targets: DataFrame) -> tuple[int, int, int]:
     return tuple(int(x or 0) for x in got)
 
 
-def score(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "doc_id", lam: float = LAMBDA) -> DataFrame:
+def score(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "doc_id", lam: float = LAMBDA, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """docs scored against the model of those whose id is in ``targets`` (a column doc_id).
 
     Returns doc_id, n_words, target_bits, background_bits (bits a word under either model) and score, the target's less the background's.
@@ -85,27 +86,29 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "d
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     targets = targets.select(F.col("doc_id").cast("long")).filter("doc_id IS NOT NULL").distinct()
     (v, n_all), (docs_all, docs_target, n_target) = _vocabulary(docs), _sizes(docs, targets)
-    n = n_batches(docs)
+    n = n_batches(docs, batch_bytes=batch_bytes)
 
-    def keys(table: pa.Table, side: pa.Table):
+    def items(table: pa.Table, side: pa.Table):
+        """Also, for each range of rows: its first row, the first words, and the places of the words and of their pairs among the distinct keys."""
         flags = pa.compute.is_in(table["doc_id"], value_set=side["doc_id"].combine_chunks()).to_numpy()
+        ranges, got, of = [], [], []
         for a, words, first in doc_words(table["text"]):
-            yield a, first, np.repeat(flags[a : a + len(first) - 1], np.diff(first)), _parts(words, first)
-
-    def items(table: pa.Table, side: pa.Table):
-        got = [(np.concatenate(parts), np.tile(of, 2)) for _, _, of, parts in keys(table, side)]
+            ranges.append((a, first, len(words)))
+            got += _parts(words, first)
+            of += [np.repeat(flags[a : a + len(first) - 1], np.diff(first))] * 2
         if not got:
-            return np.zeros(0, U64), [np.zeros(0, np.uint32)] * 2
-        all_keys, of = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
-        return tally(all_keys, [np.ones(len(of), np.int64), of.astype(np.int64)])
+            return np.zeros(0, U64), [np.zeros(0, np.int64)] * 2, []
+        found, place = np.unique(np.concatenate(got), return_inverse=True)
+        counts = [np.bincount(place, minlength=len(found)), np.bincount(place[np.concatenate(of)], minlength=len(found))]
+        cut = np.split(place.astype(np.int32), np.cumsum(np.repeat([n for *_, n in ranges], 2))[:-1])
+        return found, counts, [(a, first, cut[2 * k], cut[2 * k + 1]) for k, (a, first, _) in enumerate(ranges)]
 
-    def answer(table: pa.Table, side: pa.Table, found: np.ndarray, totals: list[np.ndarray]) -> pa.Table:
+    def answer(table: pa.Table, ranges: list, totals: list[np.ndarray]) -> pa.Table:
         n_words = np.zeros(table.num_rows, np.int64)
         bits = np.zeros((2, table.num_rows))
-        for a, first, _, parts in keys(table, side):
-            if not len(parts[0]):
+        for a, first, *at in ranges:
+            if not len(at[0]):
                 continue
-            at = [np.searchsorted(found, k) for k in parts]
             b = a + len(first) - 1
             n_words[a:b] = np.diff(first)
             for m, size, starts in ((0, n_target, docs_target), (1, n_all, docs_all)):
@@ -118,7 +121,7 @@ def score(docs: DataFrame, targets: DataFrame, text: str = "text", key: str = "d
         return pa.table({"doc_id": table["doc_id"], "n_words": n_words, "target_bits": bits[0], "background_bits": bits[1], "score": bits[0] - bits[1]})
 
     schema = "doc_id long, n_words long, target_bits double, background_bits double, score double"
-    return counted(with_batch(docs, n), with_batch(targets, n), items, answer, schema, kinds=2)
+    return counted(with_batch(docs, n, spare="text"), with_batch(targets, n), items, answer, schema, n, kinds=2)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

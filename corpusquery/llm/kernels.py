@@ -126,15 +126,36 @@ def ngrams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted or small integers by byte planes, so that the shuffle's compression sees runs of zero bytes."""
+    """Whole numbers that aren't negative, by byte planes behind a byte with the planes' number: none for bytes that are zero
+    throughout, and the shuffle's compression sees the runs of zeros in the others. Unsigned 64-bit numbers are taken as sorted."""
     a = np.ascontiguousarray(values)
-    if a.dtype == U64 and len(a):
+    if not len(a):
+        return b""
+    if a.dtype == U64:
         a = np.diff(a, prepend=U64(0))
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b""
+    planes = max(1, (int(a.max()).bit_length() + 7) // 8)
+    return bytes([planes]) + np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :planes].T).tobytes()
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
     dtype = np.dtype(dtype)
-    a = np.frombuffer(blob, np.uint8).reshape(dtype.itemsize, -1)
-    a = np.ascontiguousarray(a.T).view(dtype).ravel()
+    if not blob:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    a = np.zeros((planes.shape[1], dtype.itemsize), np.uint8)
+    a[:, : blob[0]] = planes.T
+    a = a.view(dtype).ravel()
     return np.cumsum(a, dtype=U64) if dtype == U64 else a
+
+
+def bundle(blobs: list[bytes]) -> bytes:
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+
+
+def unbundle(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        size = int.from_bytes(blob[at : at + 8], "little")
+        out.append(blob[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusquery.llm import cross_entropy, decontaminate, fingerprint, language, license_scan, ngram_join, quotes, registry, sampled_pieces, token_file, tokens, toxicity
+from corpusquery.llm import common, cross_entropy, decontaminate, exchange, fingerprint, language, license_scan, ngram_join, quotes, registry, sampled_pieces, token_file, tokens, toxicity
 from corpusquery.llm.graph import components
 
 DATA = "/root/testdata/sf0.001"
@@ -116,6 +116,55 @@ def test_join(spark, tmp_path):
     assert joined(ngram_join.linked(docs, width=2, percent=70)) == grouped_by_hand(rows, 2, 70)
 
 
+def test_join_of_repeated_and_missing_ids(spark, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    text = " ".join(words)
+    rows = [(1, "b c d"), (2, "b c d z y x"), (2, text), (3, f"{text} end"), (4, " ".join(words[:40])), (4, " ".join(words[38:])), (None, text), (None, None), (7, None), (7, "one two"), (8, "one  TWO")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "n", "h", "batch", "salt", "grams")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    frame = ngram_join.query(spark, str(tmp_path))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in frame.collect()}
+    assert got == {(1, 1, 1), (2, 62, 2), (3, 59, 2), (4, 58, 2), (None, 58, None), (None, 0, None), (7, 1, 7), (8, 1, 7)} and frame.count() == len(rows)
+    against_sql(frame.filter("doc_id IS NOT NULL").distinct(), f"SELECT * FROM ({ngram_join.SQL}) WHERE doc_id IS NOT NULL", str(tmp_path), ["documents"])
+    kept = ngram_join.stage(spark, docs, str(tmp_path))
+    texts = [r.text for r in kept.collect()]
+    assert kept.columns == docs.columns and len(texts) == 8 and sum(t in (text, f"{text} end") for t in texts) == 1 and sum((t or "").lower().split() == ["one", "two"] for t in texts) == 1
+
+
+def test_hot_keys_are_split_without_loss(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SPLIT", 3)
+    monkeypatch.setattr(ngram_join, "SALTS", 2)
+    rng = random.Random(4)
+    base, rows = [f"w{k}" for k in range(50)], []
+    for i in range(150):
+        own = list(base if i % 4 else [f"t{k}" for k in range(12)] + [f"u{i}y{k}" for k in range(20)])
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(30)}"
+        rows.append((rng.randrange(-(2**62), 2**62), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent, orders in ((3, 90, 2), (2, 60, 3), (5, 80, 1)):
+        assert joined(ngram_join.linked(docs, width=width, percent=percent, orders=orders)) == grouped_by_hand(rows, width, percent)
+
+
+def test_counts_in_two_steps_and_beyond_32_bits(spark, monkeypatch):
+    def run():
+        docs = common.with_batch(spark.range(3000).selectExpr("id AS doc_id", "id % 37 AS x"), 40)
+        items = lambda table, side: (*(lambda f, n: (f, [n.astype(np.int64) << 32, n.astype(np.int64)]))(*np.unique(table["x"].to_numpy().astype(np.uint64) * np.uint64(0x1234567890ABCDEF), return_counts=True)), table["x"].to_numpy())
+        answer = lambda table, x, totals: pa.table({"x": np.unique(x), "a": totals[0][np.argsort(np.argsort(np.unique(x).astype(np.uint64) * np.uint64(0x1234567890ABCDEF)))], "b": totals[1][np.argsort(np.argsort(np.unique(x).astype(np.uint64) * np.uint64(0x1234567890ABCDEF)))]})
+        return {tuple(r) for r in exchange.counted(docs, None, items, answer, "x long, a long, b long", 40, kinds=2).collect()}
+
+    want = {(x, len(range(x, 3000, 37)) << 32, len(range(x, 3000, 37))) for x in range(37)}
+    assert run() == want
+    monkeypatch.setattr(exchange, "FAN", 4)
+    assert run() == want
+    rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    against_sql(cross_entropy.query(spark, DATA), cross_entropy.SQL, DATA, ["documents", "labels"])
+    assert rows.count() == 200
+    keys = common.even_keys(30, 7)
+    dealt = spark.createDataFrame([(int(k),) for k in keys], "k int").selectExpr("pmod(hash(k), 7) AS p").groupBy("p").count().collect()
+    assert len(set(keys.tolist())) == 30 and {r["count"] for r in dealt} <= {4, 5}
+
+
 def joined(frame):
     return sorted((r.doc_id, r.n_shingles, r.component_id) for r in frame.collect())
 
