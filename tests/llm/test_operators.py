@@ -508,6 +508,43 @@ def test_every_notice_of_several_in_a_row():
         assert not [k for k in best if any(all(e <= x or k[1] >= y for x, y in taken) for e in best[k])]
 
 
+def test_notices_are_told_apart():
+    scanner = license_scan.Scanner()
+    texts = ["released under the %s license" % x for x in ("bsd", "gpl", "isc", "mpl", "foo", "xyz")] + ["licensed under cc by %s 4 0" % x for x in ("sa", "nc", "nd", "zz")]
+    assert [scanner.scan(t.encode())["labels"] for t in texts] == ["bsd", "gpl", "isc", "mpl", "", "", "cc-by-sa", "cc-by-nc", "", ""]
+    for label, words, _, names in license_scan.NOTICES:
+        found = scanner.spans(f"before {words} after".encode())
+        assert {x[0] for x in found} == {label} and found[0][3] == 0, words
+        assert all(n in words.split() for n in names)
+    # every notice against the edits of every other: the nearer one wins, by the distance of the whole (Sellers) where both would do
+    rng = random.Random(9)
+    for label, words, edits, names in license_scan.NOTICES:
+        for _ in range(12):
+            own = words.split()
+            for _ in range(rng.randrange(3)):
+                k = rng.randrange(len(own))
+                if own[k] not in names and len(own[k]) > 2:
+                    own[k] = own[k][:1] + own[k][2:]
+            text = " ".join(own)
+            if edit_distance_spans(text, words, edits):
+                assert {x[0] for x in scanner.spans(text.encode())} == {label}, text
+
+
+def test_slips():
+    assert license_scan.one_slip(b"mit", b"mti") and license_scan.one_slip(b"mit", b"mi") and license_scan.one_slip(b"mit", b"smit") and license_scan.one_slip(b"mit", b"mat")
+    assert not any(license_scan.one_slip(b"mit", x) for x in (b"mit", b"bsd", b"mpl", b"tim", b"mitigate"))
+    assert not license_scan.stands_for(b"lgpl", b"gpl") and license_scan.stands_for(b"gpl", b"gpl") and not license_scan.stands_for(b"na", b"nc")
+
+
+@pytest.mark.parametrize("unit", ["mit license ", "permission is hereby granted free of charge to ", "released undr the mit license ", "x"])
+def test_long_repeated_texts_are_scanned_in_proportion(unit):
+    import time
+
+    scanner, began = license_scan.Scanner(), time.process_time()
+    got = scanner.scan((unit * (1_000_000 // len(unit))).encode())
+    assert time.process_time() - began < 5 and (got["n_base"] > 30000) == ("mit license" in unit)
+
+
 def test_license_scan(spark):
     rows = [(1, "The MIT-License, mit license mit license"), (2, "Released undr the MTI License."), (3, None), (4, "amit license"), (5, "GNU General\nPublic License; Apache license"), (6, "émit license éa")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
