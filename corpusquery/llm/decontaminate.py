@@ -10,11 +10,14 @@ Documents meet items through shared windows of MIN_TILE words (seeds). Every til
 item under seeds bound its coverage: pairs below the threshold by that bound need no tiling. An item of fewer than
 MIN_TILE words is one window of its own length, and matches as a whole or not.
 
-The benchmark's size is checked: up to BLOCK_BYTES of it are sent to every task; a larger one is cut into blocks by a hash
-of the item's id, and documents are scanned once for each block.
-
-Null and empty texts and items match nothing. Repeated documents give repeated rows; of repeated item ids each row is an
-item. An empty table on either side gives no rows.
+The benchmark's size is checked: the index of up to BLOCK_BYTES of it is built once and broadcast; a larger one is cut into
+blocks by a hash of the item's text, and documents are scanned once for each block (the stage: in one scan, from one block's
+worker to the next).
+
+Null and empty texts and items match nothing. Documents and items without an id are searched like the others, and come back
+with a null id; the stage decides on rows, not on ids. Repeated documents give repeated rows; of repeated item ids each row is
+an item. Ties between tiles: see ``tiles``. Other columns are ignored, and kept by the stage, whatever their names. An empty
+table on either side gives no rows; the stage keeps every document where there is no item.
 """
 
 from __future__ import annotations
@@ -88,19 +91,22 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tup
 
 
 class Index:
-    """Seeds of a block of items."""
+    """Seeds of a block of items, in flat arrays."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int):
+    def __init__(self, items: list[tuple[int | None, str]], least: int):
         self.least, self.ids = least, [i for i, _ in items]
-        self.words: list[np.ndarray] = []
-        for _, words, first in doc_words(pa.array([t or "" for _, t in items], pa.large_string()), ALNUM):
-            self.words += [words[a:b] for a, b in zip(first, first[1:])]
-        self.lengths = sorted({min(least, len(w)) for w in self.words} - {0})
-        seeds = [(int(h), k, j) for k, w in enumerate(self.words) if len(w) for j, h in enumerate(ngrams(w, np.array([0, len(w)]), least)[0])]
-        seeds.sort()
-        self.hashes, self.first = np.unique(np.array([s[0] for s in seeds], U64), return_index=True)
-        self.last = np.append(self.first[1:], len(seeds))
-        self.places = [s[1:] for s in seeds]
+        parts = [(words, np.diff(first)) for _, words, first in doc_words(pa.array([t or "" for _, t in items], pa.large_string()), ALNUM)]
+        self.words = np.concatenate([np.zeros(0, U64), *(w for w, _ in parts)])
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        self.at = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.lengths = sorted(set(np.minimum(least, self.sizes).tolist()) - {0})
+        hashes, first = ngrams(self.words, self.at, least)
+        order = np.argsort(hashes, kind="stable")
+        #: Of each seed, by its place in the sorted hashes: item, and place in the item.
+        self.item = np.repeat(np.arange(len(items)), np.diff(first))[order]
+        self.place = (np.arange(len(hashes)) - first[:-1][np.repeat(np.arange(len(items)), np.diff(first))])[order]
+        self.hashes, self.first = np.unique(hashes[order], return_index=True)
+        self.last = np.append(self.first[1:], len(hashes))
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.hashes >> U64(44)] = True
 
@@ -119,44 +125,70 @@ class Index:
     def pairs(self, words: np.ndarray, first: np.ndarray, threshold: float):
         """(row, item, coverage, tiles) of the pairs that reach the threshold."""
         rows, places = self.seeds(words, first)
-        met = {}
-        for row, place in sorted(set(zip(rows.tolist(), places.tolist(), strict=True))):
-            for k in range(self.first[place], self.last[place]):
-                item, j = self.places[k]
-                met.setdefault((row, item), set()).update(range(j, min(j + self.least, len(self.words[item]))))
-        for (row, item), under in met.items():
-            size = len(self.words[item])
-            if len(under) >= threshold * size:
-                got = tiles(words[first[row] : first[row + 1]], self.words[item], self.least)
+        for row in np.unique(rows).tolist():
+            text = words[first[row] : first[row + 1]]
+            for item in self.near(np.unique(places[rows == row]), threshold):
+                got = tiles(text, self.words[self.at[item] : self.at[item + 1]], self.least)
                 covered = sum(k for *_, k in got)
-                if covered >= threshold * size:
-                    yield row, item, covered / size, len(got)
+                if covered >= threshold * self.sizes[item]:
+                    yield row, item, covered / int(self.sizes[item]), len(got)
+
+    def near(self, places: np.ndarray, threshold: float) -> list[int]:
+        """Items of which enough words stand under the seeds at these places in self.hashes."""
+        n = self.last[places] - self.first[places]
+        each = np.arange(n.sum()) + np.repeat(self.first[places] - (np.cumsum(n) - n), n)
+        order = np.lexsort((self.place[each], self.item[each]))
+        item, place = self.item[each][order], self.place[each][order]
+        # a seed covers its words up to the next seed of the item, or its whole length
+        reach = np.minimum(self.least, self.sizes[item] - place)
+        same = item[1:] == item[:-1]
+        reach[:-1][same] = np.minimum(reach[:-1], np.diff(place))[same]
+        under = np.bincount(item, reach, minlength=len(self.sizes)) if len(item) else np.zeros(len(self.sizes))
+        return np.flatnonzero((under > 0) & (under >= threshold * self.sizes)).tolist()
+
+
+def _indexes(spark: SparkSession, items: DataFrame, item_text: str, item_key: str, least: int):
+    """A broadcast index for each block of the benchmark."""
+    items = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
+    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = size // BLOCK_BYTES + 1
+    for k in range(blocks):
+        some = [tuple(r) for r in (items.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else items).collect()]
+        if some:
+            yield spark.sparkContext.broadcast(Index(sorted(some, key=lambda r: (r[0] is None, r[0] or 0, r[1])), least))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", least: int = MIN_TILE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, coverage (0 to 1) and n_tiles of each document and item whose coverage reaches the threshold."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    items = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = size // BLOCK_BYTES + 1
-    out = None
-    for k in range(blocks):
-        some = sorted(map(tuple, (items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else items).collect()))
-        hits = docs.mapInArrow(_scan(some, least, threshold), "doc_id long, item_id long, coverage double, n_tiles int")
+    schema, out = "doc_id long, item_id long, coverage double, n_tiles int", None
+    for shared in _indexes(docs.sparkSession, items, item_text, item_key, least):
+
+        def each(batches, shared=shared):
+            for batch in batches:
+                for a, words, first in doc_words(batch.column(1), ALNUM):
+                    got = list(shared.value.pairs(words, first, threshold))
+                    ids = batch.column(0).take(pa.array([a + row for row, *_ in got], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([shared.value.ids[i] for _, i, _, _ in got], pa.int64()), pa.array([c for *_, c, _ in got], pa.float64()), pa.array([n for *_, n in got], pa.int32())], names=["doc_id", "item_id", "coverage", "n_tiles"])
+
+        hits = docs.mapInArrow(each, schema)
         out = hits if out is None else out.union(hits)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", least: int = MIN_TILE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs in which no item's coverage reaches the threshold, each decided where it stands."""
+    for shared in _indexes(docs.sparkSession, items, item_text, item_key, least):
 
-def _scan(items: list[tuple[int, str]], least: int, threshold: float):
-    def each(batches):
-        index = Index(items, least)
-        for batch in batches:
-            for a, words, first in doc_words(batch.column(1), ALNUM):
-                got = list(index.pairs(words, first, threshold))
-                ids = batch.column(0).take(pa.array([a + row for row, *_ in got], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for _, i, _, _ in got], pa.int64()), pa.array([c for *_, c, _ in got], pa.float64()), pa.array([n for *_, n in got], pa.int32())], names=["doc_id", "item_id", "coverage", "n_tiles"])
+        def each(batches, shared=shared):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for a, words, first in doc_words(batch[text], ALNUM):
+                    keep[[a + row for row, *_ in shared.value.pairs(words, first, threshold)]] = False
+                yield batch.filter(pa.array(keep))
 
-    return each
+        docs = docs.mapInArrow(each, docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +196,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a covered benchmark item; rows without an id can't be matched up again and stay."""
-    bad = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Documents without a covered benchmark item."""
+    return clean(docs, read(spark, sf_dir, "benchmark"))
