@@ -14,12 +14,16 @@ the sum of very many weights near zero would drown the evidence of one word in a
 The prior is the toxic share of the training labels. Both samples are bounded (POSITIVES, UNLABELLED: the rows of the
 smallest id hashes), and so is the model (2 ** BITS weights): it is what tasks are sent. Scoring reads whole texts.
 
-A text without a word, null or empty, gets the score of the bias alone. Without any positive, all scores are 0.
-Repeated rows are scored alike; an empty table gives no rows.
+A text without a word, null or empty, gets the score of the bias alone. Without any positive, all scores are 0. Texts of
+equal features have equal scores, whatever their ids. Rows without an id are scored and never learned from; repeated rows
+are scored alike, and one row of an id is learned from. Other columns are kept or ignored, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,8 +78,32 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(out + self.bias, -60, 60)))
 
 
-def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(rows), np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int64)
+@dataclass
+class Rows:
+    """Feature numbers of texts that lie one after the other, and where each begins."""
+
+    numbers: np.ndarray
+    at: np.ndarray
+
+    @staticmethod
+    def of(rows: list[np.ndarray]) -> Rows:
+        return Rows(np.concatenate(rows), np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int64))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
+
+
+def risk(w: np.ndarray, b: float, positive: Rows, unlabelled: Rows, prior: float) -> tuple[float, float, np.ndarray]:
+    """(positive part, bracket, slopes by weights and bias to step down along): those of the whole risk, or where the bracket is below zero those of the bracket turned round."""
+    fp, fu = (_margins(w, x.numbers, x.at) + b for x in (positive, unlabelled))
+    gain = prior * np.logaddexp(0, -fp).mean()
+    bracket = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    gp, gu = prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
+    slopes = np.concatenate((-prior * _sigmoid(-fp) / len(fp) - gp, gu) if bracket >= 0 else (gp, -gu))
+    each = np.repeat(slopes, np.concatenate((np.diff(positive.at), np.diff(unlabelled.at))))
+    by_weight = np.bincount(np.concatenate((positive.numbers, unlabelled.numbers)), each, minlength=len(w))
+    return float(gain), float(bracket), np.append(by_weight, slopes.sum())
 
 
 def selected(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
@@ -96,21 +124,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     chosen = selected(positive, unlabelled)
     to = np.full(size, -1, np.int64)
     to[chosen] = np.arange(len(chosen))
-    positive, unlabelled = ([(y := to[x])[y >= 0] for x in some] for some in (positive, unlabelled))
+    some = [Rows.of([(y := to[x])[y >= 0] for x in rows]) for rows in (positive, unlabelled)]
     size = len(chosen)
-    pn, p_at = _joined(positive)
-    un, u_at = _joined(unlabelled)
-    numbers, n, m = np.concatenate((pn, un)), len(positive), len(unlabelled)
-    at = np.concatenate((np.diff(p_at), np.diff(u_at)))
     w, b, moments = np.zeros(size), np.log(prior / (1 - prior)), np.zeros((2, size + 1))
-    sigmoid = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
     for step in range(1, steps + 1):
-        fp, fu = _margins(w, pn, p_at) + b, _margins(w, un, u_at) + b
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        # slopes of the risk's parts with respect to each row's margin
-        gp, gu = prior * sigmoid(fp) / n, sigmoid(fu) / m
-        slopes = np.concatenate((-prior * sigmoid(-fp) / n - gp, gu) if negative >= 0 else (gp, -gu))
-        g = np.append(np.bincount(numbers, np.repeat(slopes, at), minlength=size) + DECAY * w, slopes.sum())
+        g = risk(w, b, *some, prior)[2]
+        g[:-1] += DECAY * w
         moments[0] = 0.9 * moments[0] + 0.1 * g
         moments[1] = 0.999 * moments[1] + 0.001 * g * g
         move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
@@ -121,15 +140,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def _sample(docs: DataFrame, ids: DataFrame, most: int) -> list[np.ndarray]:
-    """Features of the rows whose ids have the smallest hashes, ``most`` at most."""
+    """Features of the documents whose ids have the smallest hashes, ``most`` at most. Of the rows of one id, the one whose text has the smallest hash."""
     chosen = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def each(batches):
         for batch in batches:
-            for _, numbers, at in features(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(numbers, at[1:-1])], pa.binary())], names=["x"])
+            for a, numbers, at in features(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(at) - 1), batch.column(2).slice(a, len(at) - 1), pa.array([x.tobytes() for x in np.split(numbers, at[1:-1])], pa.binary())], names=["doc_id", "h", "x"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").mapInArrow(each, "x binary").limit(2 * most).collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(each, "doc_id long, h long, x binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("h", "x")).alias("r")).select("r.x").collect()
     return [np.frombuffer(x, np.int32) for x in sorted(bytes(r[0]) for r in rows)]
 
 
@@ -157,7 +177,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def _trained(docs: DataFrame, labels: DataFrame) -> Model:
     mine = F.coalesce(crc_fold(F.col("doc_id"), FOLDS), F.lit(0)) != 0
-    return train(docs.select("doc_id", "text").filter(mine), labels.select("doc_id", "toxic").filter(mine))
+    return train(docs.select(F.col("doc_id").cast("long"), "text").filter(mine), labels.select("doc_id", "toxic").filter(mine))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,6 +321,42 @@ def test_toxicity_learns(spark):
     assert 0 <= toxicity.score(spark.createDataFrame([(1, None)], "doc_id long, text string"), model).first().score < 0.5
 
 
+def test_slopes_of_the_risk_in_both_branches(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = lambda n: [np.unique(rng.integers(0, 6, 3)) for _ in range(n)]
+    sets = toxicity.Rows.of(rows(7)), toxicity.Rows.of(rows(9))
+    seen = set()
+    for prior in (0.1, 0.5, 0.9):
+        for scale in (0.1, 1.0, 4.0):
+            x = rng.normal(0, scale, 7)
+            positive, negative, slopes = toxicity.risk(x[:-1], x[-1], *sets, prior)
+            seen.add(negative >= 0)
+            # where the bracket is negative, the step goes up along its slope; else down along the whole risk
+            value = lambda x: (lambda p, n: p + n if negative >= 0 else -n)(*toxicity.risk(x[:-1], x[-1], *sets, prior)[:2])
+            numeric = [(value(x + 1e-5 * e) - value(x - 1e-5 * e)) / 2e-5 for e in np.eye(7)]
+            assert np.allclose(numeric, slopes, atol=1e-7)
+            f = lambda some: np.array([x[r].sum() + x[-1] for r in some])
+            p, u = (f(np.split(s.numbers, s.at[1:-1])) for s in sets)
+            assert positive == pytest.approx(prior * np.mean(np.log1p(np.exp(-p)))) and negative == pytest.approx(np.mean(np.log1p(np.exp(u))) - prior * np.mean(np.log1p(np.exp(p))))
+    assert seen == {True, False}
+
+
+def test_samples_are_the_same_whatever_the_order(spark):
+    rows = [(i % 40, f"text {i % 40} idiot" if i % 4 == 0 else f"text {i % 40} plain {i % 3}") for i in range(400)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    models = [toxicity.train(d, labels, positives=5, unlabelled=20) for d in (docs, docs.repartition(7), docs.orderBy(F.desc("text")))]
+    assert all(np.array_equal(models[0].weights, m.weights) and models[0].bias == m.bias for m in models[1:])
+
+
+def test_held_out_toxicity(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity.query(spark, folder).filter("held_out").join(labels, "doc_id").select("score", "toxic").toPandas()
+    good, bad = rows.score[rows.toxic == 0].to_numpy(), rows.score[rows.toxic == 1].to_numpy()
+    area = (bad[:, None] > good[None, :]).mean() + 0.5 * (bad[:, None] == good[None, :]).mean()
+    assert len(bad) > 50 and area > 0.9 and (bad >= 0.5).mean() > 0.8 and (good >= 0.5).mean() < 0.1
+
+
 def test_risk_slopes_stay_non_negative():
     assert toxicity.fit([], [np.array([1])], 0.1).scores(pa.array(["a", None])).max() < 1e-9
 
@@ -398,6 +434,29 @@ def test_reordered_passages(spark, monkeypatch):
     assert frame() == want
 
 
+def test_pairs_against_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(12)}"
+    items = [(i if i % 5 else None, " ".join(word() for _ in range(rng.randrange(1, 16)))) for i in range(25)] + [(30, None), (31, ""), (32, "w1 w2 w3"), (32, "w1 w2 w3")]
+    docs = [(i if i % 7 else None, " ".join(word() for _ in range(rng.randrange(40)))) for i in range(60)] + [(70, None), (71, items[3][1]), (71, items[3][1]), (72, "w1. W2,w3"), (73, "w5 " * 20000 + items[7][1])]
+    want = []
+    for d, t in docs:
+        for i, u in items:
+            a, b = (re.findall(r"[0-9a-z]+", (x or "").lower()) for x in (t, u))
+            if b and (got := by_hand_tiles(a[-60:], b, 5)) >= 0.5 * len(b):
+                want.append((d, i, got / len(b)))
+    frame, other = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted(str((r.doc_id, r.item_id, r.coverage)) for r in decontaminate.contaminated(frame, other).collect())
+    left = lambda: sorted(str(r.text) for r in decontaminate.clean(frame, other).collect())
+    bad = {d for d, *_ in want}
+    assert found() == sorted(map(str, want)) and len(want) > 10 and None in bad
+    texts = sorted(str(t) for t in (t for _, t in docs) if not any((b := re.findall(r"[0-9a-z]+", (u or "").lower())) and by_hand_tiles(re.findall(r"[0-9a-z]+", (t or "").lower())[-60:], b, 5) >= 0.5 * len(b) for _, u in items))
+    assert left() == texts
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    assert found() == sorted(map(str, want)) and left() == texts
+    assert decontaminate.clean(frame, other.limit(0)).count() == len(docs)
+
+
 # 9
 
 
