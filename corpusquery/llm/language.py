@@ -7,7 +7,9 @@ backpropagation through time on a bounded sample: for each language the PER_LANG
 SLICES windows of each. It is of a fixed size, which is what tasks are sent.
 
 A null text or one without a letter is ``und`` with score 0.0. Without labelled rows everything is ``und``. Ties go to the
-language that sorts first. Repeated rows are labelled alike; an empty table gives no rows.
+language that sorts first. Repeated rows are labelled alike, and one row of an id and language is learned from; rows without
+an id are labelled and never learned from. Other columns are kept or ignored, whatever their names. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ STEPS, BATCH, RATE = 300, 192, 0.02
 #: Windows that run through the network at once.
 ROWS = 1024
 FOLDS, HELD_OUT = 4, 2
-#: Share of a document's probability below which the filter rejects it.
-LEAST_SCORE = 0.4
+#: The filter rejects a document whose best language has less than so many times an even share of the probability: one in which no language stands out.
+LEAST_SHARE = 1.25
+#: Languages that are learned at most: those of the most rows.
+LANGS = 1000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -214,19 +218,22 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, window: int = WINDOW, slice
     """docs(doc_id, text, lang): rows to learn from. Rows without id, text or language are left out; None where none is left."""
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     # the smallest hashes of each language; a first cut by its count leaves a few times per_lang rows, so that no language meets in one task
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     near = F.coalesce(*(F.when(F.col("lang") == r.lang, place < F.lit(((1 << 40) * (3 * per_lang + 50)) // r.n)) for r in counts), F.lit(False))
     order = W.partitionBy("lang").orderBy(place, "doc_id")
-    chosen = known.select("doc_id", "lang").filter(near).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("doc_id").distinct()
+    chosen = known.select("doc_id", "lang").filter(near).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("doc_id", "lang")
 
     def each(batches):
         for batch in batches:
-            keep = [(x, lang) for x, lang in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            got = [(lang, *_windows([(x, 0)], window, slices)[:2]) for x, lang in keep if x]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2].tolist() for g in got], pa.list_(pa.int32()))], names=["lang", "windows", "lengths"])
-
-    rows = known.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").mapInArrow(each, "lang string, windows binary, lengths array<int>").collect()
+            texts, (_, langs, hashes) = batch.column(0).cast(pa.large_binary()).to_pylist(), batch.columns[1:]
+            got = [(k, *_windows([(x, 0)], window, slices)[:2]) for k, x in enumerate(texts) if x]
+            at = pa.array([k for k, *_ in got], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), langs.take(at), hashes.take(at), pa.array([x.tobytes() for _, x, _ in got], pa.binary()), pa.array([n.tolist() for *_, n in got], pa.list_(pa.int32()))], names=["doc_id", "lang", "h", "windows", "lengths"])
+
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("text", "doc_id", "lang", F.xxhash64("text").alias("h"))
+    rows = rows.mapInArrow(each, "doc_id long, lang string, h long, windows binary, lengths array<int>")
+    rows = rows.groupBy("doc_id", "lang").agg(F.min(F.struct("h", "windows", "lengths")).alias("r")).select("lang", "r.windows", "r.lengths").collect()
     if not rows:
         return None
     rows = sorted((r[0], bytes(r[1]), r[2]) for r in rows)
@@ -274,7 +281,7 @@ def predict(docs: DataFrame, model: BiGru | None, text: str = "text", spans: boo
 
 def _trained(docs: DataFrame) -> BiGru | None:
     fold = F.coalesce(crc_fold(F.col("doc_id"), FOLDS), F.lit(HELD_OUT))
-    return train(docs.select("doc_id", "text", "lang").filter(fold != HELD_OUT))
+    return train(docs.select(F.col("doc_id").cast("long"), "text", "lang").filter(fold != HELD_OUT))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,6 +291,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose language's share of the probability isn't below LEAST_SCORE; the model learns from the documents that come in."""
-    out = predict(docs.select(*(F.col(c).alias(f"in_{c}") for c in docs.columns)), _trained(docs), "in_text")
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+    """Documents with a letter in which a language stands out (LEAST_SHARE); where lang is null, it becomes the predicted one.
+
+    The model learns from the documents that come in; without any labelled one nothing is known, and all stay."""
+    model = _trained(docs)
+    if model is None:
+        return docs
+    out = predict(docs.select(*(F.col(c).alias(f"in_{c}") for c in docs.columns)), model, "in_text")
+    kept = out.filter((F.col("lang_pred") != "und") & (F.col("score") >= min(1.0, LEAST_SHARE / len(model.langs))))
+    return kept.select(*((F.coalesce("in_lang", "lang_pred") if c == "lang" else F.col(f"in_{c}")).alias(c) for c in docs.columns))
