@@ -6,18 +6,22 @@ exp(-ALPHA * cost), forward sums over the lattice are filtered from the left, an
 edge in proportion to its share: an exact draw from the distribution over all segmentations. The cost of a piece is
 1 + its rank / vocabulary size: merges are learned in order of frequency, so frequent pieces cost less, and so do fewer.
 
-A piece has marks only at its front or consists of marks. A lattice can thus be cut before each mark that follows another
-character: no piece spans such a cut, the parts are independent, and a worker filters each distinct part once. Draws come from a counter-based hash of (row key, part's place, end of the edge) and the seed: the same key and
-text give the same segmentation wherever and whenever they are processed.
+A piece has marks only at its front or consists of marks (a vocabulary with any other is refused). A lattice can thus be cut
+before each mark that follows another character: no piece spans such a cut, the parts are independent, and a worker filters
+each distinct part once. Draws come from a counter-based hash of (row key, part's place, end of the edge) and the seed: the
+same key and text give the same segmentation wherever and whenever they are processed. Keys are whole numbers; of any other
+kind, a 64-bit hash of the key as text is taken.
 
 Decoding is lossless: a mark in the text itself is spelled in bytes, so that every other mark means a space, and byte
 pieces join to the bytes that they spell. Null and empty texts have no pieces and decode to the empty text; very long
 texts are one lattice cut in parts, a part without a space is one lattice of its own length. Repeated rows give the same
-pieces; an empty table gives no rows.
+pieces, and so do equal texts without a key, which draw as key 0. Other columns are kept or ignored, whatever their names. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -73,6 +77,8 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.spelled.append(b"")
             else:
+                if MARK in piece.lstrip(MARK):
+                    raise ValueError(f"the piece {piece!r} has a mark behind another character")
                 plain.append(i)
                 self.spelled.append(piece.replace(MARK, " ").encode())
         self.cost = 1.0 + np.arange(size) / size
@@ -104,6 +110,11 @@ class Vocabulary:
         return self.byte_ids[list((MARK if point == ord(_LITERAL) else chr(point)).encode())].tolist()
 
 
+def _numbers_of(keys: list) -> list[int]:
+    """Keys as signed 64-bit numbers."""
+    return [0 if k is None else k if isinstance(k, int) else int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little", signed=True) for k in keys]
+
+
 #: Stands for a mark that a text itself has: a lone surrogate, which no text from Arrow can have.
 _LITERAL = "\udcff"
 
@@ -334,7 +345,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
     def each(batches):
         lattices = Lattices.kept(Vocabulary.get(model), alpha)
         for batch in batches:
-            texts, keys = [x or "" for x in batch[text].to_pylist()], [x or 0 for x in batch[key].to_pylist()]
+            texts, keys = [x or "" for x in batch[text].to_pylist()], _numbers_of(batch[key].to_pylist())
             for a, b in _groups(texts):
                 rows = lattices.segment(texts[a:b], keys[a:b], seed)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), pa.array(np.concatenate(rows)))
@@ -363,15 +374,15 @@ def digested(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id
         v = Vocabulary.get(model)
         lattices = Lattices.kept(v, alpha)
         for batch in batches:
-            texts, keys = [x or "" for x in batch.column(1).to_pylist()], [x or 0 for x in batch.column(0).to_pylist()]
+            texts, keys = [x or "" for x in batch.column(1).to_pylist()], _numbers_of(batch.column(0).to_pylist())
             for a, b in _groups(texts):
                 rows = lattices.segment(texts[a:b], keys[a:b], seed)
                 back = [v.decode(r.tolist()) == t for r, t in zip(rows, texts[a:b], strict=True)]
                 crcs = [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(r) for r in rows], pa.int64()), pa.array(crcs, pa.int64()), pa.array(back, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return docs.mapInArrow(each, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    return docs.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, lossless boolean")
 
 
 def _model() -> str:
