@@ -9,10 +9,11 @@ A message replies to the message that most of its passages of level 1 come from
 such a link begin a thread. A conversation is ordered by thread (its first turn), then by turn: every reply follows what
 it answers.
 
-Originals are aggregated before they are joined, so a very common line is one row on that side; positions are counted in
-blocks of turns, so a conversation of very many messages isn't gathered in a task. A null text is empty, with an empty
-body. Rows without conversation or turn are left out. Rows of the same conversation and turn share their links and have
-neighbouring positions in the order of role and body. An empty table gives no rows.
+Originals are aggregated before they are joined, so a very common line is one row on that side; positions are summed by
+blocks of turns, then by ranges of threads, so a conversation of very many messages isn't gathered in a task. A null text is
+empty, with an empty body; a very long one is one row. Rows without conversation or turn are left out. Rows of the same
+conversation and turn share their links and have neighbouring positions in the order of role and body. Other columns are
+ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, read
 
-#: Turns that are counted together for the positions.
-BLOCK_TURNS = 256
+#: Turns, and first turns of threads, that are counted together for the positions.
+BLOCK_TURNS, RANGE_TURNS = 256, 4096
 _MARKS = r"^[ \t]*(?:>[ \t]*)+"
 
 
@@ -84,7 +85,11 @@ def threaded(messages: DataFrame) -> DataFrame:
     out = out.join(told, ["conv_id", "turn"], "left").withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)), "root": F.coalesce("root", "turn"), "depth": F.coalesce("depth", F.lit(0))})
     out = out.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
     by_block = out.groupBy("conv_id", "root", "block").agg(F.count("*").alias("n"))
-    before = by_block.select("conv_id", "root", "block", (F.sum("n").over(W.partitionBy("conv_id").orderBy("root", "block")) - F.col("n")).alias("before"))
+    by_block = by_block.withColumn("range", F.floor(F.col("root") / RANGE_TURNS))
+    ranges = by_block.groupBy("conv_id", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("conv_id", "range", (F.sum("n").over(W.partitionBy("conv_id").orderBy("range")) - F.col("n")).alias("start"))
+    within = F.sum("n").over(W.partitionBy("conv_id", "range").orderBy("root", "block")) - F.col("n")
+    before = by_block.withColumn("within", within).join(ranges, ["conv_id", "range"]).select("conv_id", "root", "block", (F.col("start") + F.col("within")).alias("before"))
     inside = F.row_number().over(W.partitionBy("conv_id", "root", "block").orderBy("turn", "role", "body"))
     out = out.withColumn("inside", inside).join(before, ["conv_id", "root", "block"])
     return out.select("conv_id", "turn", "role", "body", "n_quoted", "n_linked", "reply_to", "root", "depth", (F.col("before") + F.col("inside") - 1).alias("position"))

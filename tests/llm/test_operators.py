@@ -89,6 +89,16 @@ def test_quotes(spark, tmp_path):
     against_sql(frame, quotes.SQL, str(tmp_path), ["conversations"])
 
 
+def test_positions_in_many_ranges(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(quotes, "RANGE_TURNS", 3)
+    rng = random.Random(7)
+    rows = [(c, t, "u", "\n".join([f"line {c} {t}", *(f"> line {c} {rng.randrange(t)}" for _ in range(rng.randrange(3)) if t)])) for c in (1, -5) for t in range(60)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"n": F.lit(1), "lines": F.lit(2), "block": F.lit(3)}).write.parquet(f"{tmp_path}/conversations.parquet")
+    frame = quotes.query(spark, str(tmp_path))
+    assert sorted(r.position for r in frame.filter("conv_id = 1").collect()) == list(range(60))
+    against_sql(frame, quotes.SQL, str(tmp_path), ["conversations"])
+
+
 # 2, 6
 
 
@@ -390,6 +400,16 @@ def test_language(spark):
     assert out[3].lang_spans[0].start == 0 and out[3].lang_spans[-1].end == 2000 and out[0].lang_spans == []
 
 
+def test_language_stage(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.stage(spark, unknown, DATA).count() == docs.count()
+    some = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang"))).union(spark.createDataFrame([(10**6, "12 34", "en", "s", 5)], docs.schema))
+    out = language.stage(spark, some, DATA)
+    kept = {r.doc_id: r.lang for r in out.collect()}
+    assert out.columns == docs.columns and 10**6 not in kept and len(kept) >= 0.98 * docs.count() and None not in kept.values()
+
+
 # 8
 
 
@@ -472,6 +492,16 @@ def test_pieces_decode_to_the_text(spark, odd):
     assert v.decode(sampled_pieces.Lattices(v).segment([long], [1])[0].tolist()) == long
 
 
+def test_keys_of_any_kind(spark):
+    model = sampled_pieces._model()
+    rows = spark.createDataFrame([("a", "some text that has pieces"), ("b", "some text that has pieces"), (None, "x"), ("a", "some text that has pieces")], "doc_id string, text string")
+    got = [tuple(r.ids) for r in sampled_pieces.encode(rows, model).collect()]
+    assert got[0] == got[3] and all(r.lossless for r in sampled_pieces.digested(rows, model).collect())
+    assert [r.doc_id for r in sampled_pieces.digested(rows, model).collect()] == ["a", "b", None, "a"]
+    wide = spark.createDataFrame([(2**63 - 1, "far ids"), (-(2**63), "far ids")], "doc_id long, text string")
+    assert all(r.lossless for r in sampled_pieces.digested(wide, model).collect())
+
+
 @pytest.mark.parametrize("word", ["there", "a\nb漢", "▁x"])
 def test_draws_follow_the_lattice(word):
     v = sampled_pieces.Vocabulary.get(sampled_pieces._model())
