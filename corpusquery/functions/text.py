@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 #: Tokens: ASCII letters and digits with inner hyphens, at word boundaries by Unicode's notion of a word.
 TOKEN = r"(?U)\b[a-z0-9]+(?:-[a-z0-9]+)*\b"
-_BLANK = r"[\s\x1c-\x1f]"
+#: White space as Python's str.strip() has it (fixed values).
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
 def strip(c: Column) -> Column:
     """Without white space (Unicode's, and the four separators below a space) at the ends."""
-    return F.regexp_replace(c, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def lines(c: Column) -> Column:

@@ -1,20 +1,22 @@
 """Exact nearest neighbours: cosine over one vector a chunk, late interaction over a vector a token.
 
-Queries are a stated set: they go to the tasks in blocks of a checked number of values, and a task keeps the k best of
-each query from every batch of rows that it reads. So the rows that are shuffled grow with tasks, not with pairs.
+Queries are a stated set: they are read a block at a time, of a checked number of values, and broadcast; a task keeps the k
+best of each query from every batch of rows that it reads, k whatever ties. So the rows that are shuffled grow with tasks, not
+with pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import checked_k, top_k
+from .ranking import best, blocks, checked_k, id_type, top_k
 
-#: Values of query vectors that are sent to a task at once.
-BLOCK_VALUES = 1 << 22
+#: Values of query vectors, and queries, that are sent to a task at once; cells of a matrix of scores.
+BLOCK_VALUES, BLOCK_QUERIES, CELLS = 1 << 22, 1 << 12, 1 << 22
 EPS = 1e-10
 TOKEN_EPS = 1e-12
 
@@ -51,63 +53,23 @@ def _matrix(column, width: int | None = None) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, width or 0)
 
 
-def _best(ids: pa.Array, sims: np.ndarray, query_ids: list, k: int, digits: int | None):
-    """(query places, row places, scores) of each query's k best rows; all rows that tie with the k-th stay, the window above settles them."""
-    if digits is not None:
-        sims = np.floor(sims * 10.0**digits + 0.5) / 10.0**digits
-    if len(sims) > k:
-        edge = -np.partition(-sims, k - 1, axis=0)[k - 1]
-        rows, cols = np.nonzero(sims >= edge)
-    else:
-        rows, cols = np.nonzero(np.ones(sims.shape, bool))
-    ids_out = ids.take(pa.array(rows))
-    return pa.RecordBatch.from_arrays([pa.array(query_ids, pa.int64()).take(pa.array(cols)), ids_out, pa.array(sims[rows, cols])], names=["query_id", "chunk_id", "score"])
-
-
-def _blocks(queries: list, values: int):
-    """Runs of queries of BLOCK_VALUES values at most."""
-    out, size = [], 0
-    for q in queries:
-        if out and size + values > BLOCK_VALUES:
-            yield out
-            out, size = [], 0
-        out.append(q)
-        size += values
-    if out:
-        yield out
-
-
-def _found(vectors: DataFrame, each_block, blocks) -> DataFrame:
-    out = None
-    kind = vectors.schema["chunk_id"].dataType.simpleString()
-    for block in blocks:
-        part = vectors.mapInArrow(each_block(block), f"query_id long, chunk_id {kind}, score double")
-        out = part if out is None else out.union(part)
-    return vectors.sparkSession.createDataFrame([], f"query_id long, chunk_id {kind}, score double") if out is None else out
-
-
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int | None = None, digits: int | None = None) -> DataFrame:
     """vectors(chunk_id, embedding), queries(query_id, embedding) -> query_id, chunk_id, score, rank: k nearest (5 by default), negatives too.
 
     A query of length 0 has no results, a chunk of length 0 scores 0. Of equal scores the smaller chunk id goes first."""
     k = checked_k(k, 5)
-    asked = [(r[0], r[1]) for r in queries.select("query_id", "embedding").filter(norm(F.col("embedding")) > 0).collect()]
+    asked = queries.select("query_id", "embedding").filter(norm(F.col("embedding")) > 0)
 
-    def each_block(block):
-        ids = [q for q, _ in block]
-        unit = np.array([v for _, v in block], np.float64)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    def prepared(block):
+        unit = np.array([r.embedding for r in block], np.float64)
+        return unit / np.linalg.norm(unit, axis=1, keepdims=True)
 
-        def each(batches):
-            for batch in batches:
-                x = _matrix(batch.column(1))
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                yield _best(batch.column(0), (x / np.where(size == 0, EPS, size)) @ unit.T, ids, k, digits)
-
-        return each
+    def score(column, unit):
+        x = _matrix(column, unit.shape[1])
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return (x / np.where(size == 0, EPS, size)) @ unit.T
 
-    found = _found(vectors.select("chunk_id", "embedding"), each_block, _blocks(asked, len(asked[0][1]) if asked else 1))
-    return top_k(found, k, F.desc("score"), F.col("chunk_id"))
+    return _searched(vectors.select("chunk_id", "embedding"), asked, prepared, score, lambda r: len(r.embedding), k, digits)
 
 
 def maxsim_search(token_vectors: DataFrame, query_tokens: DataFrame, k: int | None = None, digits: int | None = None) -> DataFrame:
@@ -115,27 +77,44 @@ def maxsim_search(token_vectors: DataFrame, query_tokens: DataFrame, k: int | No
 
     The score sums, over the query's tokens, the largest cosine with any of the chunk's tokens. Chunks and queries without tokens give no row."""
     k = checked_k(k, 5)
-    asked = [(r[0], np.array(r[1], np.float64)) for r in query_tokens.select("query_id", "embeddings").filter(F.size("embeddings") > 0).collect()]
+    asked = query_tokens.select("query_id", "embeddings").filter(F.size("embeddings") > 0)
 
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), TOKEN_EPS)
 
-    def each_block(block):
-        ids, first = [q for q, _ in block], np.cumsum([0, *(len(t) for _, t in block)])[:-1]
-        tokens = unit(np.concatenate([t for _, t in block]))
+    def prepared(block):
+        return np.cumsum([0, *(len(r.embeddings) for r in block)])[:-1], unit(np.concatenate([np.array(r.embeddings, np.float64) for r in block]))
 
-        def each(batches):
-            for batch in batches:
-                sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                sims = unit(_matrix(batch.column(1).flatten())) @ tokens.T
-                best = np.maximum.reduceat(sims, np.cumsum(sizes) - sizes, axis=0)
-                yield _best(batch.column(0), np.add.reduceat(best, first, axis=1), ids, k, digits)
-
-        return each
+    def score(column, block):
+        first, tokens = block
+        if not len(column):
+            return np.zeros((0, len(first)))
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        sims = unit(_matrix(column.flatten())) @ tokens.T
+        return np.add.reduceat(np.maximum.reduceat(sims, np.cumsum(sizes) - sizes, axis=0), first, axis=1)
 
     rows = token_vectors.select("chunk_id", "embeddings").filter(F.size("embeddings") > 0)
-    found = _found(rows, each_block, _blocks(asked, max((t.size for _, t in asked), default=1)))
-    return top_k(found, k, F.desc("score"), F.col("chunk_id"))
+    return _searched(rows, asked, prepared, score, lambda r: sum(map(len, r.embeddings)), k, digits)
+
+
+def _searched(vectors: DataFrame, asked: DataFrame, prepared: Callable, score: Callable, size: Callable, k: int, digits: int | None) -> DataFrame:
+    """The k best of each query. prepared(block of queries) is broadcast; score(column of vectors, that) gives scores (rows, queries)."""
+    schema, out = f"query_id {id_type(asked, 'query_id')}, chunk_id {id_type(vectors, 'chunk_id')}, score double", None
+    for block in blocks(asked.toLocalIterator(), size, BLOCK_VALUES, BLOCK_QUERIES):
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in block], prepared(block)))
+
+        def each(batches, shared=shared):
+            ids, block = shared.value
+            step = max(1, CELLS // len(ids))
+            for batch in batches:
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
+                    yield best(part.column(0), score(part.column(1), block), ids, k, digits)
+
+        found = vectors.mapInArrow(each, schema)
+        out = found if out is None else out.union(found)
+    out = vectors.sparkSession.createDataFrame([], schema) if out is None else out
+    return top_k(out, k, F.desc("score"), F.col("chunk_id"))
 
 
 def token_arrays(rows: DataFrame) -> DataFrame:

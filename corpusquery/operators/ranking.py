@@ -1,7 +1,12 @@
-"""Ranks and top-k lists."""
+"""Ranks, top-k lists, and blocks of stated queries."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,3 +23,35 @@ def checked_k(k: int | None, default: int) -> int:
 def top_k(rows: DataFrame, k: int, *order: Column, by: str = "query_id", name: str = "rank") -> DataFrame:
     """The first k rows of each query with their rank from 1. Rows beyond k are dropped below the shuffle too."""
     return rows.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col(name) <= k)
+
+
+def id_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def blocks(rows: Iterable, size: Callable, most: int, most_rows: int) -> Iterator[list]:
+    """Runs of rows of a size of ``most`` together and of ``most_rows`` rows, at most (but one row at least)."""
+    out, total = [], 0
+    for row in rows:
+        if out and (total + size(row) > most or len(out) == most_rows):
+            yield out
+            out, total = [], 0
+        out.append(row)
+        total += size(row)
+    if out:
+        yield out
+
+
+def best(ids: pa.Array, scores: np.ndarray, query_ids: list, k: int, digits: int | None = None, positive: bool = False) -> pa.RecordBatch:
+    """query_id, chunk_id, score of each query's k best rows in scores (rows, queries): of equal scores those of the smallest ids, so k rows at most, however many tie. positive: only scores above 0."""
+    if digits is not None:
+        scores = np.floor(scores * 10.0**digits + 0.5) / 10.0**digits
+    order = pc.sort_indices(ids).to_numpy()
+    scores = scores[order]
+    keep = scores > 0 if positive else np.ones(scores.shape, bool)
+    if len(scores) > k:
+        edge = -np.partition(-scores, k - 1, axis=0)[k - 1]
+        above, level = scores > edge, scores == edge
+        keep &= above | level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0))
+    rows, cols = np.nonzero(keep)
+    return pa.RecordBatch.from_arrays([pa.array(query_ids).take(pa.array(cols)), ids.take(pa.array(order[rows])), pa.array(scores[rows, cols])], names=["query_id", "chunk_id", "score"])

@@ -1,94 +1,176 @@
-"""BM25L over chunks: postings, corpus statistics and a batch of queries."""
+"""BM25L over chunks: an index of their tokens, and a batch of queries."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .ranking import checked_k, top_k
+from ..sources import tables
+from .ranking import best, blocks, checked_k, id_type, top_k
 
 K1, B, DELTA = 1.5, 0.75, 0.5
+#: Distinct terms, and queries, that tasks score at once; cells of a matrix of weights or scores.
+BLOCK_TERMS, BLOCK_QUERIES, CELLS = 1 << 16, 1 << 12, 1 << 21
+_SCHEMA = "chunk_id {}, dl long, terms array<string>"
 
 
 @dataclass
 class SparseIndex:
-    """postings(term, chunk_id, tf, dl), terms(term, df) and stats(n, avgdl): one row of statistics, counts of all chunks."""
+    """documents(chunk_id, dl, terms): each chunk's number of tokens, and the tokens. All else is counted from them."""
+
+    documents: DataFrame
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row: n, avgdl. Chunks without a token count as well."""
+        return self.documents.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.lit(1), F.count("*"))).alias("avgdl"))
+
+    @property
+    def terms(self) -> DataFrame:
+        """term, df (chunks that have it) and cf (times that it stands in them), by one shuffle of partial sums."""
+        ordered = self.documents.select(F.array_sort("terms").alias("t"))
+        firsts = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).cast("long").alias("first")))
+        return ordered.select(F.explode(firsts).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.sum("x.first").alias("df"), F.count("*").alias("cf"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, chunk_id, tf, dl."""
+        return self.documents.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
+
+    def kept(self) -> SparseIndex:
+        """The index with its tokens taken once, in a table of this application."""
+        return SparseIndex(tables.materialise(self.documents, "tokens"))
+
+    def write(self, path: str, part: str | None = None) -> SparseIndex:
+        """Replaces the index under the path, or adds to it (or replaces) one named part. A reader sees what is complete:
+        a part counts once it is written whole, and what it replaces goes afterwards, so the path may be the one read from."""
+        spark = self.documents.sparkSession
+        before = tables.parts(spark, path) if part is None else [part]
+        name = part or f"whole-{uuid.uuid4().hex}"
+        self.documents.write.mode("overwrite").parquet(f"{path}/{name}")
+        tables.mark(spark, path, name)
+        if part is None:
+            tables.unmark(spark, path, before)
+        return SparseIndex.read(spark, path)
 
-    postings: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-    chunks: DataFrame
-
-    def write(self, path: str) -> SparseIndex:
-        """Replaces the index under the path, and gives the one that stands there."""
-        for name in ("postings", "terms", "stats", "chunks"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        return SparseIndex.read(self.postings.sparkSession, path)
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> SparseIndex:
+        names = tables.parts(spark, path)
+        if not names:
+            return SparseIndex(spark.createDataFrame([], _SCHEMA.format("string")))
+        return SparseIndex(spark.read.parquet(*(f"{path}/{n}" for n in names)))
 
     @staticmethod
-    def read(spark, path: str) -> SparseIndex:
-        return SparseIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats", "chunks")))
+    def clear(spark: SparkSession, path: str) -> None:
+        tables.unmark(spark, path, tables.parts(spark, path))
 
 
 def index(chunks: DataFrame, text: str = "text") -> SparseIndex:
-    """chunks(chunk_id, text) -> its index. Chunks without a token count for n and avgdl."""
+    """chunks(chunk_id, text) -> its index."""
     cut = chunks.select("chunk_id", tokens(F.col(text)).alias("terms"))
-    sized = cut.select("chunk_id", "terms", F.size("terms").cast("long").alias("dl"))
-    postings = sized.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = sized.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.lit(1), F.count("*"))).alias("avgdl"))
-    return SparseIndex(postings.select("term", "chunk_id", "tf", "dl"), terms, stats, chunks.select("chunk_id"))
+    return SparseIndex(cut.select("chunk_id", F.size("terms").cast("long").alias("dl"), "terms"))
 
 
 def idf(n, df):
     return F.log(n + 1) - F.log(df + 0.5)
 
 
-def weight(tf, dl, avgdl, idf_, k1: float = K1, b: float = B, delta: float = DELTA):
-    """A term's share of a chunk's score."""
-    ctd = tf / (1 - b + b * dl / F.greatest(F.lit(1.0), avgdl))
-    return idf_ * (k1 + 1) * (ctd + delta) / (k1 + ctd + delta)
+def _hits(documents: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """chunk_id, dl, hits: the places in the vocabulary of a chunk's tokens that are there, one for each occurrence."""
+    shared = documents.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
+
+    def each(batches):
+        for batch in batches:
+            terms = batch.column(2)
+            codes = pc.index_in(terms.flatten(), value_set=shared.value)
+            known = np.concatenate(([0], np.cumsum(codes.is_valid().to_numpy(zero_copy_only=False))))
+            bounds = np.concatenate(([0], np.cumsum(terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            hits = pa.ListArray.from_arrays(pa.array(known[bounds], pa.int32()), codes.drop_null())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hits], names=["chunk_id", "dl", "hits"])
+
+    return documents.select("chunk_id", "dl", "terms").mapInArrow(each, f"chunk_id {id_type(documents, 'chunk_id')}, dl long, hits array<int>")
+
+
+def _flat(hits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the vocabulary, occurrences) of a batch's hits."""
+    lengths = hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows, codes = np.repeat(np.arange(len(lengths)), lengths), hits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs, counts = np.unique(rows << 32 | codes, return_counts=True)
+    return pairs >> 32, pairs & 0xFFFFFFFF, counts
+
+
+def _counted(hits: DataFrame, size: int) -> tuple[int, float, np.ndarray]:
+    """(chunks, their mean length, chunks that have each of the terms)."""
+
+    def each(batches):
+        n, length, df = 0, 0, np.zeros(size, np.int64)
+        for batch in batches:
+            n, length = n + batch.num_rows, length + (pc.sum(batch.column(0)).as_py() or 0)
+            df += np.bincount(_flat(batch.column(1))[1], minlength=size)
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *found], pa.int64()), pa.array([n, length, *df[found]], pa.int64())], names=["k", "n"])
 
+    got = {r.k: r.n for r in hits.select("dl", "hits").mapInArrow(each, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    df = np.zeros(size)
+    for k, n in got.items():
+        if k >= 0:
+            df[k] = n
+    n = got.get(-2, 0)
+    return n, got.get(-1, 0) / max(1, n), df
 
-def scores(ix: SparseIndex, queries: DataFrame, k1: float = K1, b: float = B, delta: float = DELTA, delta_on_missing: bool = False) -> DataFrame:
-    """queries(query_id, text) -> query_id, chunk_id, score of the chunks that share a term. A term counts as often as the query has it.
 
-    delta_on_missing: every known query term gives all chunks the share that a chunk without it has; chunks that share no
-    term all have the same score then and aren't rows here, see ``search``."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    known = asked.join(ix.terms, "term").crossJoin(F.broadcast(ix.stats)).select("query_id", "term", "qtf", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    share = weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"), k1, b, delta)
-    none = F.col("idf") * (k1 + 1) * delta / (k1 + delta)
-    found = ix.postings.join(known, "term").select("query_id", "chunk_id", (F.col("qtf") * (share - none if delta_on_missing else share)).alias("w"))
-    out = found.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
-    if not delta_on_missing:
-        return out
-    base = known.groupBy("query_id").agg(F.sum(F.col("qtf") * none).alias("base"))
-    return out.join(base, "query_id").select("query_id", "chunk_id", (F.col("score") + F.col("base")).alias("score"))
+def search(ix: SparseIndex, queries: DataFrame, k: int | None = None, delta_on_missing: bool = False, digits: int | None = None, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
+    """query_id, chunk_id, score, rank of the k best chunks (5 by default) with a positive score; of equal scores the smaller chunk id goes first.
 
+    queries(query_id, text) are a stated set, in blocks of a checked size. The corpus is gone through once for each block,
+    for the tokens that the block asks for; these are counted, then scored where they lie, and each batch of chunks hands on
+    the k best of each query. Nothing is shuffled by term. A term counts as often as a query has it.
 
-def search(ix: SparseIndex, queries: DataFrame, k: int | None = None, delta_on_missing: bool = False, digits: int | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank of the k best chunks (5 by default) with a positive score; of equal scores the smaller chunk id goes first."""
+    delta_on_missing: every known query term gives all chunks the share that a chunk without it has."""
     k = checked_k(k, 5)
-    out = scores(ix, queries, delta_on_missing=delta_on_missing)
-    if delta_on_missing:
-        # chunks without a term fill the list up: the k smallest ids that aren't rows are among the first 2k ids or so for each query
-        base = scores(ix, queries, delta_on_missing=True).groupBy("query_id").agg(F.count("*").alias("found"))
-        fill = _fill(ix, queries, base, out, k)
-        out = out.unionByName(fill)
-    if digits is not None:
-        out = out.withColumn("score", F.round("score", digits))
-    return top_k(out.filter("score > 0"), k, F.desc("score"), F.col("chunk_id"))
-
-
-def _fill(ix: SparseIndex, queries: DataFrame, base: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """For queries with fewer than k chunks found: the k smallest ids of the others, at the score of a chunk without any term."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    known = asked.join(ix.terms, "term").crossJoin(F.broadcast(ix.stats))
-    level = known.groupBy("query_id").agg(F.sum(F.col("qtf") * idf(F.col("n"), F.col("df")) * (K1 + 1) * DELTA / (K1 + DELTA)).alias("score"))
-    short = level.join(base, "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k).select("query_id", "score")
-    first = ix.chunks.select("chunk_id").distinct().orderBy("chunk_id").limit(2 * k)
-    return short.crossJoin(F.broadcast(first)).join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", "score")
+    kind, query_kind = id_type(ix.documents, "chunk_id"), id_type(queries, "query_id")
+    asked = queries.select("query_id", tokens(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
+    out, schema = None, f"query_id {query_kind}, chunk_id {kind}, score double"
+    for block in blocks(asked.toLocalIterator(), lambda r: len(set(r.terms)), BLOCK_TERMS, BLOCK_QUERIES):
+        vocabulary = sorted({t for r in block for t in r.terms})
+        hits = tables.materialise(_hits(ix.documents, vocabulary), "hits")
+        n, avgdl, df = _counted(hits, len(vocabulary))
+        place = {t: j for j, t in enumerate(vocabulary)}
+        known = np.flatnonzero(df)
+        column = np.full(len(vocabulary), -1)
+        column[known] = np.arange(len(known))
+        times = np.zeros((len(known), len(block)))
+        for q, r in enumerate(block):
+            for t in r.terms:
+                if column[place[t]] >= 0:
+                    times[column[place[t]], q] += 1
+        weight = np.log(n + 1) - np.log(df[known] + 0.5)
+        missing = weight * (k1 + 1) * delta / (k1 + delta) * delta_on_missing
+        shared = ix.documents.sparkSession.sparkContext.broadcast(([r.query_id for r in block], column, times, weight, missing))
+
+        def each(batches, shared=shared, avgdl=avgdl):
+            ids, column, times, weight, missing = shared.value
+            step = max(1, CELLS // max(1, *times.shape))
+            for batch in batches:
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
+                    rows, codes, tf = _flat(part.column(2))
+                    of = column[codes]
+                    dl = part.column(1).to_numpy(zero_copy_only=False)[rows]
+                    ctd = tf / (1 - b + b * dl / max(1.0, avgdl))
+                    matrix = np.zeros((part.num_rows, len(weight)))
+                    matrix[rows, of] = weight[of] * (k1 + 1) * (ctd + delta) / (k1 + ctd + delta) - missing[of]
+                    yield best(part.column(0), matrix @ times + missing @ times, ids, k, digits, positive=True)
+
+        found = hits.mapInArrow(each, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], schema)
+    return top_k(out, k, F.desc("score"), F.col("chunk_id"))

@@ -42,17 +42,17 @@ def test_assignments_of_whole_documents(spark, texts):
     for i, t in enumerate(TEXTS):
         value = "".join(" " if c in "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029\"'" else c for c in t or "").strip()
         want += [(f"{i}#chunk-{k:04d}", x) for k, x in enumerate([*windows(value), "", f"plain line{i}"])]
-    got = queries.QUERIES["c4_c5_assignment_chunks_whole"](spark, texts)
+    got = queries.QUERIES["c4_c5_assignment_chunks"](spark, texts)
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_assignments_of_whole_documents_as_sql(spark):
-    frame = queries.QUERIES["c4_c5_assignment_chunks_whole"](spark, DATA)
-    against_sql(frame, "c4_c5_assignment_chunks_whole")
+    frame = queries.QUERIES["c4_c5_assignment_chunks"](spark, DATA)
+    against_sql(frame, "c4_c5_assignment_chunks")
     assert frame.selectExpr("count(distinct split(chunk_id, '#')[0])").first()[0] == spark.read.parquet(f"{DATA}/documents.parquet").count()
 
 
-STATED = ["k2_j1_s8_cosine_top5_whole", "k3_j2_d5_d6_maxsim_top5_whole", "f1_j4_k4_d7_a13_rrf_fusion_whole", "r1_j5_k5_s18_rerank_whole", "k6_rerank_bypass_whole"]
+STATED = ["k2_j1_s8_cosine_top5", "k3_j2_d5_d6_maxsim_top5", "f1_j4_k4_d7_a13_rrf_fusion", "r1_j5_k5_s18_rerank", "k6_rerank_bypass"]
 
 
 @pytest.mark.parametrize("name", STATED)
@@ -69,15 +69,13 @@ def test_stated_queries_in_blocks(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = {q: sorted(range(170), key=lambda i: (-np.floor(unit[q] @ unit[i] * 1e6 + 0.5), i))[:5] for q in range(0, 170, 20)}
-    got = queries.QUERIES["k2_j1_s8_cosine_top5_whole"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()
+    got = queries.QUERIES["k2_j1_s8_cosine_top5"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()
     assert {q: [r.chunk_id for r in got if r.query_id == q] for q in near} == near and len(got) == 45
 
 
-@pytest.mark.parametrize("name, column", [("s1_tokens_whole", "digest"), ("p5_p7_s16_judge_prompts_whole", "answer")])
+@pytest.mark.parametrize("name, column", [("s1_tokens", "digest"), ("p5_p7_s16_judge_prompts", "answer")])
 def test_digests_of_whole_texts(spark, tmp_path, name, column):
     against_sql(queries.QUERIES[name](spark, DATA), name)
     long = "word " * 200
     spark.createDataFrame([(0, long + "one"), (1, long + "two")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    part = queries.QUERIES[name.removesuffix("_whole")](spark, str(tmp_path)).drop("doc_id", "relevance", "grounded")
-    assert part.distinct().count() == 1
     assert queries.QUERIES[name](spark, str(tmp_path)).select(column).distinct().count() == 2
