@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines, strip
 
+#: How assignments look (fixed values).
 _ASSIGNED = r"""(?U)^[A-Za-z0-9_]+\s*=\s*["']"""
 _CLOSED = r"""(?U)^[A-Za-z0-9_]+\s*=\s*["'](.*)["']\s*$"""
 _LIST_START = r"(?U)^documents\s*=\s*\["

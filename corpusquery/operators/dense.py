@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import best, blocks, checked_k, id_type, top_k
+from .ranking import best, blocks, checked_k, id_type, ids_of, top_k
 
 #: Values of query vectors, and queries, that are sent to a task at once; cells of a matrix of scores.
 BLOCK_VALUES, BLOCK_QUERIES, CELLS = 1 << 22, 1 << 12, 1 << 22
@@ -101,7 +101,7 @@ def _searched(vectors: DataFrame, asked: DataFrame, prepared: Callable, score: C
     """The k best of each query. prepared(block of queries) is broadcast; score(column of vectors, that) gives scores (rows, queries)."""
     schema, out = f"query_id {id_type(asked, 'query_id')}, chunk_id {id_type(vectors, 'chunk_id')}, score double", None
     for block in blocks(asked.toLocalIterator(), size, BLOCK_VALUES, BLOCK_QUERIES):
-        shared = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in block], prepared(block)))
+        shared = vectors.sparkSession.sparkContext.broadcast((ids_of(asked, block), prepared(block)))
 
         def each(batches, shared=shared):
             ids, block = shared.value

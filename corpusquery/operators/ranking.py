@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def checked_k(k: int | None, default: int) -> int:
@@ -29,6 +30,11 @@ def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def ids_of(df: DataFrame, rows: list) -> pa.Array:
+    """The rows' query_id, of the type that the table's column has."""
+    return pa.array([r.query_id for r in rows], to_arrow_type(df.schema["query_id"].dataType))
+
+
 def blocks(rows: Iterable, size: Callable, most: int, most_rows: int) -> Iterator[list]:
     """Runs of rows of a size of ``most`` together and of ``most_rows`` rows, at most (but one row at least)."""
     out, total = [], 0
@@ -42,7 +48,7 @@ def blocks(rows: Iterable, size: Callable, most: int, most_rows: int) -> Iterato
         yield out
 
 
-def best(ids: pa.Array, scores: np.ndarray, query_ids: list, k: int, digits: int | None = None, positive: bool = False) -> pa.RecordBatch:
+def best(ids: pa.Array, scores: np.ndarray, query_ids: pa.Array, k: int, digits: int | None = None, positive: bool = False) -> pa.RecordBatch:
     """query_id, chunk_id, score of each query's k best rows in scores (rows, queries): of equal scores those of the smallest ids, so k rows at most, however many tie. positive: only scores above 0."""
     if digits is not None:
         scores = np.floor(scores * 10.0**digits + 0.5) / 10.0**digits
@@ -54,4 +60,4 @@ def best(ids: pa.Array, scores: np.ndarray, query_ids: list, k: int, digits: int
         above, level = scores > edge, scores == edge
         keep &= above | level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0))
     rows, cols = np.nonzero(keep)
-    return pa.RecordBatch.from_arrays([pa.array(query_ids).take(pa.array(cols)), ids.take(pa.array(order[rows])), pa.array(scores[rows, cols])], names=["query_id", "chunk_id", "score"])
+    return pa.RecordBatch.from_arrays([query_ids.take(pa.array(cols)), ids.take(pa.array(order[rows])), pa.array(scores[rows, cols])], names=["query_id", "chunk_id", "score"])

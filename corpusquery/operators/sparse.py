@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources import tables
-from .ranking import best, blocks, checked_k, id_type, top_k
+from .ranking import best, blocks, checked_k, id_type, ids_of, top_k
 
 K1, B, DELTA = 1.5, 0.75, 0.5
 #: Distinct terms, and queries, that tasks score at once; cells of a matrix of weights or scores.
@@ -153,7 +153,7 @@ def search(ix: SparseIndex, queries: DataFrame, k: int | None = None, delta_on_m
                     times[column[place[t]], q] += 1
         weight = np.log(n + 1) - np.log(df[known] + 0.5)
         missing = weight * (k1 + 1) * delta / (k1 + delta) * delta_on_missing
-        shared = ix.documents.sparkSession.sparkContext.broadcast(([r.query_id for r in block], column, times, weight, missing))
+        shared = ix.documents.sparkSession.sparkContext.broadcast((ids_of(asked, block), column, times, weight, missing))
 
         def each(batches, shared=shared, avgdl=avgdl):
             ids, column, times, weight, missing = shared.value

@@ -7,10 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .. import providers
 from ..functions.text import bar, label, snippet
 from ..operators import graph
-from ..operators.chunking import chunk
 from ..sources.textfile import check_chunks, read_text
 from .config import BACKENDS, Config
 from .pipelines import Basic, Hybrid
@@ -27,26 +25,31 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--top-k-dense", type=int)
     p.add_argument("--top-n", type=int)
     p.add_argument("--backend", choices=BACKENDS)
+    p.add_argument("--rrf-k", type=int)
+    for name in ("k1", "b", "delta"):
+        p.add_argument(f"--{name}", type=float)
     p.add_argument("--mode", choices=graph.MODES, default="hybrid")
     return p
 
 
 def _shown(title: str, ranked, chunks, score: str) -> list[str]:
+    """How many there are, and the first five."""
+    count = ranked.count()
     rows = ranked.join(chunks.select("chunk_id", "text"), "chunk_id").filter("rank <= 5").orderBy("rank").select("rank", "chunk_id", score, snippet(F.col("text"), 90, always=True).alias("s")).collect()
-    return [title, *(f"  {r[0]}. [{r[2]:.4f}] ({r[1]}) {r[3]}" for r in rows)]
+    return [f"{title}: {count}", *(f"  {r[0]}. [{r[2]:.4f}] ({r[1]}) {r[3]}" for r in rows)]
 
 
 def ask(spark: SparkSession, args, built, question: str) -> list[str]:
     queries = spark.createDataFrame([(0, question)], "query_id long, text string")
     if args.kind == "graph":
         chunks, g, basic = built
-        found = graph.search(g, queries, args.mode, args.top_k, naive=basic.retrieve)
+        found = graph.search(g, queries, args.mode, args.top_k, naive=basic.retrieve, embedder=basic.embedder if basic.config.model_url else None)
         return _shown(f"Chunks ({args.mode})", found, chunks, "score")
     if args.kind == "basic":
         got = built.query(queries, args.top_k)
         out = _shown("Nearest chunks", got.dense, built.chunks, "score") if args.debug else []
         return [*out, "Answer:", got.answers.first()["answer"]]
-    got = built.query(queries, top_k_sparse=args.top_k_sparse, top_k_dense=args.top_k_dense, top_n=args.top_n)
+    got = built.query(queries, top_k_sparse=args.top_k_sparse, top_k_dense=args.top_k_dense, top_n=args.top_n, rrf_k=args.rrf_k)
     out = []
     if args.debug:
         for title, rows, score in (("BM25L", got.sparse, "score"), ("Vectors", got.dense, "score"), ("Fused", got.fused, "rrf_score"), ("Reranked", got.reranked, "rerank_score")):
@@ -63,14 +66,18 @@ def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     docs = read_text(spark, args.data)
-    config = Config(**({"backend": args.backend} if args.backend else {}))
+    config = Config(**{name: getattr(args, name) for name in ("backend", "k1", "b", "delta") if getattr(args, name) is not None})
     if args.kind == "graph":
-        chunks = chunk(docs).cache()
-        built = chunks, graph.extract(chunks), Basic(docs, providers.HashingEmbedder, providers.ExtractiveModel, config)
+        basic = Basic(docs, config=config)
+        chunks, model = basic.chunks, config.model()
+        check_chunks(chunks, args.data)
+        found = graph.extract(chunks.select("chunk_id", "text"), (lambda: graph.ModelExtractor(model())) if config.model_url else None)
+        built = chunks, found.write(config.graph_dir), basic
     else:
-        built = {"basic": Basic, "hybrid": Hybrid}[args.kind](docs, providers.HashingEmbedder, providers.ExtractiveModel, config)
+        built = {"basic": Basic, "hybrid": Hybrid}[args.kind](docs, config=config)
         chunks = built.chunks
-    check_chunks(chunks, args.data)
+        check_chunks(chunks, args.data)
+    print(f"{chunks.count()} chunks of {docs.count()} documents indexed")
     if args.query:
         print("\n".join(ask(spark, args, built, args.query)))
         return

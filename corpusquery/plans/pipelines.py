@@ -12,6 +12,7 @@ from .. import providers
 from ..operators import dense, fusion, prompts, rerank, sparse, triad
 from ..operators.chunking import chunk
 from ..operators.ranking import checked_k
+from ..sources.tables import materialise
 from .config import Config
 
 
@@ -32,62 +33,71 @@ def _with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _answered(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, model: Callable, title: str) -> DataFrame:
-    """query_id, text, results, prompt, answer."""
+    """query_id, text, results, prompt, answer: a table, so that the answer that is judged or shown is the one that was given."""
     rows = queries.select("query_id", "text").join(prompts.ordered_texts(_with_text(ranked, chunks)), "query_id", "left").withColumn("results", F.coalesce("results", F.array()))
     rows = rows.withColumn("prompt", prompts.answer(F.col("results"), F.col("text"), title))
-    return rows.withColumn("answer", F.when(F.col("prompt").isNull(), prompts.NO_CONTEXT).otherwise(F.trim(providers.completed(F.col("prompt"), model))))
+    return materialise(rows.withColumn("answer", F.when(F.col("prompt").isNull(), prompts.NO_CONTEXT).otherwise(F.trim(providers.completed(F.col("prompt"), model)))), "answers")
 
 
 class Basic:
-    """Chunks, single vectors, the nearest chunks, an answer."""
+    """Chunks, single vectors, the nearest chunks, an answer. Chunks and vectors are made once, as tables."""
 
-    def __init__(self, docs: DataFrame, embedder: Callable, model: Callable, config: Config | None = None):
-        self.config, self.embedder, self.model = config or Config(), embedder, model
-        self.chunks = chunk(docs, size=self.config.chunk_size, overlap=self.config.chunk_overlap)
-        self.vectors = providers.embedded(self.chunks, embedder).select("chunk_id", "embedding")
+    def __init__(self, docs: DataFrame, embedder: Callable | None = None, model: Callable | None = None, config: Config | None = None):
+        self.config = config or Config()
+        self.embedder, self.model = embedder or self.config.embedder(), model or self.config.model()
+        self.chunks = materialise(chunk(docs, size=self.config.chunk_size, overlap=self.config.chunk_overlap), "chunks")
+        self.vectors = materialise(providers.embedded(self.chunks, self.embedder).select("chunk_id", "embedding"), "vectors")
 
     def retrieve(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        return dense.cosine_search(self.vectors, providers.embedded(queries, self.embedder), checked_k(k, self.config.top_k))
+        asked = materialise(providers.embedded(queries.select("query_id", "text"), self.embedder), "queries")
+        return dense.cosine_search(self.vectors, asked, checked_k(k, self.config.top_k), self.config.score_digits)
 
     def query(self, queries: DataFrame, k: int | None = None) -> Results:
-        found = self.retrieve(queries, k)
+        found = materialise(self.retrieve(queries, k), "dense")
         return Results(found, _answered(queries, found, self.chunks, self.model, "Chunk"))
 
 
 class Hybrid:
-    """Chunks, BM25L beside vectors (one a chunk, or one a token), fusion, reranking, an answer and its judgement."""
+    """Chunks, BM25L beside vectors (one a chunk, or one a token), fusion, reranking, an answer and its judgement.
 
-    def __init__(self, docs: DataFrame, embedder: Callable, model: Callable, config: Config | None = None):
-        self.config, self.embedder, self.model = config or Config(), embedder, model
-        self.chunks = chunk(docs, size=self.config.chunk_size, overlap=self.config.chunk_overlap, assignments=True)
-        self.index = sparse.index(self.chunks)
-        self.multi = self.config.backend == "multi"
-        self.vectors = self._embedded(self.chunks).select("chunk_id", "embeddings" if self.multi else "embedding")
+    Chunks, index and vectors are made once, as tables; so is each list and every model's reply, so that a model is asked once
+    for each reranking, answer and judgement, and what is judged is what is returned."""
 
-    def _embedded(self, rows: DataFrame) -> DataFrame:
-        return (providers.token_embedded if self.multi else providers.embedded)(rows, self.embedder)
+    def __init__(self, docs: DataFrame, embedder: Callable | None = None, model: Callable | None = None, config: Config | None = None, judge: Callable | None = None):
+        self.config = c = config or Config()
+        self.multi = c.backend == "multi"
+        self.embedder = embedder or (c.multi_embedder() if self.multi else c.embedder())
+        self.model = model or c.model()
+        self.judge = judge or model or c.model(judge=True)
+        self.chunks = materialise(chunk(docs, size=c.chunk_size, overlap=c.chunk_overlap, assignments=True), "chunks")
+        self.index = sparse.index(self.chunks).kept()
+        self.vectors = materialise(self._embedded(self.chunks).select("chunk_id", "embeddings" if self.multi else "embedding"), "vectors")
+
+    def _embedded(self, rows: DataFrame, queries: bool = False) -> DataFrame:
+        return providers.token_embedded(rows, self.embedder, queries=queries) if self.multi else providers.embedded(rows, self.embedder)
 
     def retrieve(self, queries: DataFrame, top_k_sparse: int | None = None, top_k_dense: int | None = None, rrf_k: int | None = None, top_n: int | None = None) -> Results:
         c = self.config
-        words = sparse.search(self.index, queries, checked_k(top_k_sparse, c.top_k_sparse))
-        near = (dense.maxsim_search if self.multi else dense.cosine_search)(self.vectors, self._embedded(queries), checked_k(top_k_dense, c.top_k_dense))
-        fused = fusion.fuse(near, words, checked_k(rrf_k, c.rrf_k))
+        words = materialise(sparse.search(self.index, queries, checked_k(top_k_sparse, c.top_k_sparse), digits=c.score_digits, k1=c.k1, b=c.b, delta=c.delta), "sparse")
+        asked = materialise(self._embedded(queries.select("query_id", "text"), queries=True), "queries")
+        near = materialise((dense.maxsim_search if self.multi else dense.cosine_search)(self.vectors, asked, checked_k(top_k_dense, c.top_k_dense), c.score_digits), "dense")
+        fused = materialise(fusion.fuse(near, words, checked_k(rrf_k, c.rrf_k)), "fused")
         lists = prompts.ordered_texts(_with_text(fused, self.chunks)).join(queries.select("query_id", "text"), "query_id")
         ask = F.when(F.size("results") > 1, prompts.rerank(F.col("results"), F.col("text")))
-        replies = lists.select("query_id", providers.completed(ask, self.model).alias("reply"))
-        return Results(near, queries.select("query_id"), words, fused, rerank.rerank(fused, replies, checked_k(top_n, c.top_n_rerank)))
+        replies = materialise(lists.select("query_id", providers.completed(ask, self.model).alias("reply")), "rerank-replies")
+        return Results(near, queries.select("query_id"), words, fused, materialise(rerank.rerank(fused, replies, checked_k(top_n, c.top_n_rerank)), "reranked"))
 
     def query(self, queries: DataFrame, **numbers) -> Results:
         got = self.retrieve(queries, **numbers)
         got.answers = _answered(queries, got.reranked, self.chunks, self.model, "Document Chunk")
         if self.config.evaluate:
-            ask = lambda prompt: providers.completed(prompt, self.model)
+            ask = lambda prompt: providers.completed(prompt, self.judge)
             each = got.answers.select("query_id", "text", F.explode("results").alias("r"))
+            relevance = materialise(each.select("query_id", ask(prompts.context_relevance(F.col("text"), F.col("r.text"))).alias("reply")), "relevance-replies")
             texts = F.transform("results", lambda r: r["text"])
             answered = F.coalesce("answer", F.lit("")) != ""
             grounded = F.when(answered & (F.size("results") > 0), prompts.groundedness(texts, F.col("answer")))
             relevant = F.when(answered, prompts.answer_relevance(F.col("text"), F.col("answer")))
-            got.triad = triad.evaluate(
-                queries, each.select("query_id", ask(prompts.context_relevance(F.col("text"), F.col("r.text"))).alias("reply")), got.answers.select("query_id", ask(grounded).alias("grounded_reply"), ask(relevant).alias("relevant_reply"))
-            )
+            both = materialise(got.answers.select("query_id", ask(grounded).alias("grounded_reply"), ask(relevant).alias("relevant_reply")), "answer-replies")
+            got.triad = triad.evaluate(queries, relevance, both)
         return got

@@ -7,6 +7,8 @@ a document of tokens.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .operators.chunking import chunk
 from .operators.ranking import top_k
 from .plans.config import Config
 from .plans.pipelines import Basic, Hybrid
+from .sources.stores import VectorStore
+from .sources.tables import own_dir
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31)"
 #: Line ends of any kind and quotes, which would end a value assigned on one line.
@@ -158,18 +162,21 @@ def clamped(spark, sf_dir):
 
 
 def unfenced(spark, sf_dir):
-    text = F.concat(F.lit("```json\n{\"score\": 0."), (F.col("doc_id") % 100).cast("string"), F.lit("}\n```"))
+    """Whole texts in a fence."""
+    text = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
     return _table(spark, sf_dir, "documents").select("doc_id", T.unfenced(text).alias("inner_text"))
 
 
 def reply_scores(spark, sf_dir):
-    d = F.col("doc_id")
-    reply = F.when(d % 6 == 0, F.format_string('{"score": 0.%02d}', d % 100)).when(d % 6 == 1, F.format_string('```json\n{"score": "0.%02d"}\n```', d % 100)).when(d % 6 == 2, F.format_string("about %d/10", d % 10)).when(d % 6 == 3, F.lit("none")).when(d % 6 == 4, F.lit('{"score": 1.5}')).otherwise(F.lit('{"score": -0.2}'))
+    """Replies of each kind; those without JSON are whole texts, whose digits are left out so that the number behind them is the first."""
+    d, told = F.col("doc_id"), F.regexp_replace("text", "[0-9]", "")
+    reply = F.when(d % 6 == 0, F.format_string('{"score": 0.%02d}', d % 100)).when(d % 6 == 1, F.format_string('```json\n{"score": "0.%02d"}\n```', d % 100)).when(d % 6 == 2, F.concat(told, F.format_string(" about %d/10", d % 10))).when(d % 6 == 3, told).when(d % 6 == 4, F.lit('{"score": 1.5}')).otherwise(F.lit('{"score": -0.2}'))
     return _table(spark, sf_dir, "documents").select("doc_id", F.round(score_functions.extract_score(reply, F.lit(0.5)), 6).alias("score"))
 
 
 def reply_rankings(spark, sf_dir):
-    reply = F.format_string('[{"index": 0, "score": %d}, {"no": 1}, {"index": 1, "score": "2.5"}]', F.col("item_id"))
+    """Replies that quote the whole text of an item."""
+    reply = F.format_string('[{"index": 0, "score": %d, "why": %s}, {"no": 1}, {"index": 1, "score": "2.5"}]', F.col("item_id"), F.to_json(F.array("text")))
     rows = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(score_functions.extract_ranking(reply)).alias("r"))
     return rows.select("item_id", "r.index", "r.score")
 
@@ -202,32 +209,87 @@ def triad_scores(spark, sf_dir):
     return triad.rounded(triad.evaluate(asked, chunks, both))
 
 
+def _graph(spark, sf_dir):
+    return graph.extract(_chunks(spark, sf_dir).select("chunk_id", "text")).kept()
+
+
+def graph_tables(spark, sf_dir):
+    """Entities and relations of the graph, one above the other."""
+    g = graph.extract(_chunks(spark, sf_dir).select("chunk_id", "text"))
+    return g.entities.select("name", F.lit("").alias("other"), "type", "mentions", "n_chunks").union(g.relations.select("src", "dst", F.array_join("keywords", " "), "mentions", "n_chunks"))
+
+
 def graph_search(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir).select("chunk_id", "text")
-    return graph.search(graph.extract(chunks), _asked(spark, sf_dir), "hybrid", 5)
+    return graph.search(_graph(spark, sf_dir), _asked(spark, sf_dir), "hybrid", 5)
 
 
 def graph_local(spark, sf_dir):
-    return graph.search(graph.extract(_chunks(spark, sf_dir).select("chunk_id", "text")), _asked(spark, sf_dir), "local", 5)
+    return graph.search(_graph(spark, sf_dir), _asked(spark, sf_dir), "local", 5)
 
 
 def graph_global(spark, sf_dir):
-    return graph.search(graph.extract(_chunks(spark, sf_dir).select("chunk_id", "text")), _asked(spark, sf_dir), "global", 5)
+    return graph.search(_graph(spark, sf_dir), _asked(spark, sf_dir), "global", 5)
+
+
+def graph_nearest(spark, sf_dir):
+    """Both ways, by the nearest entities and relations. No SQL: the vectors are those of a stand-in."""
+    return graph.search(_graph(spark, sf_dir), _asked(spark, sf_dir), "hybrid", 5, embedder=providers.HashingEmbedder, digits=6)
+
+
+#: Scores to six places, so that equal ones are equal in SQL as well.
+_CONFIG = {"backend": "single", "score_digits": 6, "top_k": 3, "top_k_sparse": 5, "top_k_dense": 5, "rrf_k": 60, "top_n_rerank": 3, "evaluate": True}
+
+
+def _basic(spark, sf_dir):
+    return Basic(_docs(spark, sf_dir), providers.LetterEmbedder, providers.ExtractiveModel, Config(**_CONFIG))
 
 
 def graph_naive(spark, sf_dir):
-    basic = Basic(_docs(spark, sf_dir), providers.HashingEmbedder, providers.ExtractiveModel)
-    return graph.search(None, _asked(spark, sf_dir), "naive", 5, naive=basic.retrieve)
+    return graph.search(None, _asked(spark, sf_dir), "naive", 5, naive=_basic(spark, sf_dir).retrieve)
 
 
 def basic_answers(spark, sf_dir):
-    got = Basic(_docs(spark, sf_dir), providers.HashingEmbedder, providers.ExtractiveModel).query(_asked(spark, sf_dir))
-    return got.answers.select("query_id", F.transform("results", lambda r: r["chunk_id"]).alias("chunk_ids"), "answer")
+    got = _basic(spark, sf_dir).query(_asked(spark, sf_dir))
+    return got.answers.select("query_id", F.array_join(F.transform("results", lambda r: r["chunk_id"]), " ").alias("chunk_ids"), "answer")
 
 
 def hybrid_answers(spark, sf_dir):
-    got = Hybrid(_docs(spark, sf_dir), providers.HashingEmbedder, providers.ExtractiveModel, Config(backend="single")).query(_asked(spark, sf_dir))
-    return got.answers.select("query_id", "answer").join(got.triad, "query_id")
+    got = Hybrid(_docs(spark, sf_dir), providers.LetterEmbedder, providers.ExtractiveModel, Config(**_CONFIG)).query(_asked(spark, sf_dir))
+    return got.answers.select("query_id", F.array_join(F.transform("results", lambda r: r["chunk_id"]), " ").alias("chunk_ids"), "answer").join(got.triad, "query_id")
+
+
+def answer_prompts_basic(spark, sf_dir):
+    """Benchmark items that no chunk answers get the fixed answer, the others a prompt."""
+    ranked = bm25_top5(spark, sf_dir).filter("rank <= 2 AND query_id % 3 <> 0").join(_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    rows = _asked(spark, sf_dir).join(prompts.ordered_texts(ranked), "query_id", "left").withColumn("results", F.coalesce("results", F.array()))
+    return rows.select("query_id", F.coalesce(prompts.answer(F.col("results"), F.col("text")), F.lit(prompts.NO_CONTEXT)).alias("prompt"))
+
+
+def chunk_metadata(spark, sf_dir):
+    """Extra metadata: the fixed keys win over those of the same name."""
+    docs = _table(spark, sf_dir, "documents").withColumn("extra", F.create_map(F.lit("lang"), "lang", F.lit("source"), F.lit("other"), F.lit("chunk_index"), F.lit("-1")))
+    text = F.replace(T.strip(F.col("text")), F.lit("\n"), F.lit("\n\n")).alias("text")
+    rows = chunk(docs.select(F.col("doc_id").cast("string").alias("source"), text, "extra"), extra="extra")
+    return rows.select("chunk_id", "source", F.array_join(F.array_sort(F.map_keys("extra")), " ").alias("extra_keys"), F.col("extra")["lang"].alias("lang"))
+
+
+def stored_vectors(spark, sf_dir):
+    """Vectors through the store: cleared, added in two parts, some of them again with other values."""
+    store = VectorStore(spark, f"{own_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    store.add(rows.select("chunk_id"), rows)
+    store.clear()
+    for part in ("vec_id % 2 = 0", "vec_id % 2 = 1", "vec_id % 10 = 0"):
+        some = _table(spark, sf_dir, "embeddings").filter(part).select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+        if part.startswith("vec_id % 10"):
+            some = some.withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast("float")))
+        store.add(some.select("chunk_id"), some)
+    return store.read().select("chunk_id", F.round("norm", 6).alias("norm"))
+
+
+def counts(spark, sf_dir):
+    """Chunks of each document, for display."""
+    return _chunks(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum("char_length").alias("n_chars"))
 
 
 _LABELLED = """
@@ -276,7 +338,13 @@ QUERIES = {
     "p5_p7_s16_judge_prompts": judge_prompts,
     "p8_chat_prompts": chat_prompts,
     "e1_d8_d9_triad": triad_scores,
+    "p1_p3_basic_prompts": answer_prompts_basic,
+    "c9_chunk_metadata": chunk_metadata,
+    "a7_a10_u1_vector_store": stored_vectors,
+    "d11_counts": counts,
+    "g1_graph_tables": graph_tables,
     "g2_graph_naive": graph_naive,
+    "g3_g4_graph_nearest": graph_nearest,
     "g3_graph_local": graph_local,
     "g4_graph_global": graph_global,
     "g1_g5_graph_hybrid": graph_search,
@@ -311,7 +379,7 @@ SELECT query_id, chunk_id, round(s, 6) AS rerank_score, original_rank, rerank_so
     "s11_s14_s15_scores": """
 WITH s AS (SELECT event_id, round(greatest(0.0, least(1.0, value / 50.0 - 0.5)), 6) AS score FROM events), b AS (SELECT *, round_even(score * 10, 0)::INT AS n FROM s)
 SELECT event_id, score, repeat('█', n) || repeat('░', 10 - n) AS bar, CASE WHEN score >= 0.8 THEN 'pass' WHEN score >= 0.5 THEN 'warn' ELSE 'fail' END AS label FROM b""",
-    "s12_code_fence": "SELECT doc_id, '{\"score\": 0.' || (doc_id % 100) || '}' AS inner_text FROM documents",
+    "s12_code_fence": f"SELECT doc_id, trim(text, {_WS}) AS inner_text FROM documents",
     "s13_s17_reply_scores": """
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN round((doc_id % 100) / 100.0, 6) WHEN 1 THEN round((doc_id % 100) / 100.0, 6) WHEN 2 THEN least(1, doc_id % 10)::DOUBLE WHEN 3 THEN 0.5 WHEN 4 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents""",
     "s18_reply_rankings": "SELECT item_id, 0 AS index, item_id::DOUBLE AS score FROM benchmark UNION ALL SELECT item_id, 1, 2.5::DOUBLE FROM benchmark",
@@ -331,3 +399,54 @@ WITH s AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 3 THEN 0.5::DOUBL
   CASE WHEN item_id % 5 = 4 THEN 0.5::DOUBLE ELSE (item_id % 10) / 10.0 END AS g, CASE WHEN item_id % 5 = 4 THEN 0.5::DOUBLE ELSE 1.0 END AS a FROM benchmark)
 SELECT query_id, round_even(c::DOUBLE, 4) AS context_relevance, round_even(g::DOUBLE, 4) AS groundedness, round_even(a::DOUBLE, 4) AS answer_relevance, round_even(((c + g + a) / 3)::DOUBLE, 4) AS composite FROM s""",
 }
+_GRAPH = f"""{_CHUNKS},
+runs AS (SELECT chunk_id, list_filter(regexp_extract_all(text, '{graph.RUN}'), lambda x: regexp_matches(x, '{graph.NAME}')) AS raw FROM chunks),
+named AS (SELECT chunk_id, list_transform(raw, lambda x: lower(x)) AS names FROM runs),
+nodes AS (SELECT name, chunk_id, count(*) AS n FROM (SELECT chunk_id, unnest(names) AS name FROM named) GROUP BY 1, 2),
+pairs AS (SELECT chunk_id, unnest(list_transform(range(1, len(names)), lambda i: {{'src': least(names[i], names[i + 1]), 'dst': greatest(names[i], names[i + 1])}})) AS p FROM named),
+edges AS (SELECT p.src AS src, p.dst AS dst, chunk_id, count(*) AS n FROM pairs WHERE p.src <> p.dst GROUP BY 1, 2, 3),
+asked AS (SELECT DISTINCT query_id, lower(name) AS name FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_extract_all(text, '{graph.RUN}'), lambda x: regexp_matches(x, '{graph.NAME}'))) AS name FROM benchmark)),
+seeds AS (SELECT query_id, name, 1.0::DOUBLE AS w FROM asked WHERE name IN (SELECT name FROM nodes)),
+ends AS (SELECT DISTINCT src AS name, dst AS other FROM edges UNION SELECT dst, src FROM edges),
+weights AS (SELECT query_id, name, max(w) AS w FROM (SELECT * FROM seeds UNION ALL SELECT query_id, other, 0.5 FROM seeds JOIN ends USING (name)) GROUP BY 1, 2),
+near AS (SELECT query_id, chunk_id, sum(w * n)::DOUBLE AS score FROM weights JOIN nodes USING (name) GROUP BY 1, 2),
+wide AS (SELECT query_id, chunk_id, sum(n)::DOUBLE AS score FROM asked JOIN (SELECT src AS name, chunk_id, n FROM edges UNION ALL SELECT dst, chunk_id, n FROM edges) USING (name) GROUP BY 1, 2),
+mixed AS (SELECT query_id, chunk_id, sum(score)::DOUBLE AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM wide) GROUP BY 1, 2)"""
+_BEST = "SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {} QUALIFY rank <= 5"
+#: Letter counts as vectors, and their cosines to six places.
+_LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (len({0}) - len(replace({0}, c, '')))::DOUBLE)"
+_LOW = f"translate(text, '{_UPPER}', lower('{_UPPER}'))"
+_NEAREST = f"""
+cv AS (SELECT chunk_id, {_LETTERS.format("t")} AS v FROM (SELECT chunk_id, {_LOW} AS t FROM chunks)),
+qv AS (SELECT query_id, {_LETTERS.format("t")} AS v FROM (SELECT item_id AS query_id, {_LOW} AS t FROM benchmark)),
+cn AS (SELECT chunk_id, v, CASE WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN 1e-10 ELSE sqrt(list_sum(list_transform(v, lambda x: x * x))) END AS size FROM cv),
+qn AS (SELECT query_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM qv),
+cos AS (SELECT query_id, chunk_id, floor(list_dot_product(cn.v, qn.v) / (cn.size * qn.size) * 1e6 + 0.5) / 1e6 AS score FROM cn, qn WHERE qn.size > 0),
+near AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM cos QUALIFY rank <= 5)"""
+SQL |= {
+    "p1_p3_basic_prompts": f"""
+WITH {_BM25},
+c AS (SELECT query_id, string_agg('[Chunk ' || rank || ' - ID: ' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS blocks FROM sparse JOIN chunks USING (chunk_id) WHERE rank <= 2 AND query_id % 3 <> 0 GROUP BY 1)
+SELECT item_id AS query_id, CASE WHEN blocks IS NULL THEN {_quoted(prompts.NO_CONTEXT)} ELSE {_prompt_sql(prompts._ANSWER, "blocks", "text")} END AS prompt FROM benchmark LEFT JOIN c ON item_id = query_id""",
+    "c9_chunk_metadata": f"WITH {_CHUNKS} SELECT chunk_id, doc_id::VARCHAR AS source, 'lang' AS extra_keys, d.lang FROM chunks JOIN documents d USING (doc_id)",
+    "a7_a10_u1_vector_store": "SELECT vec_id::VARCHAR AS chunk_id, round(CASE WHEN vec_id % 10 = 0 THEN 2 ELSE 1 END * sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings",
+    "d11_counts": f"WITH {_CHUNKS} SELECT doc_id::VARCHAR AS source, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM chunks GROUP BY 1",
+    "g1_graph_tables": f"""
+WITH {_GRAPH}
+SELECT name, '' AS other, CASE WHEN contains(name, '-') THEN 'code' ELSE 'word' END AS type, sum(n)::BIGINT AS mentions, count(*) AS n_chunks FROM nodes GROUP BY 1
+UNION ALL SELECT src, dst, src || ' ' || dst, sum(n)::BIGINT, count(*) FROM edges GROUP BY 1, 2""",
+    "g2_graph_naive": f"WITH {_CHUNKS}, {_NEAREST} SELECT * FROM near",
+    "g3_graph_local": f"WITH {_GRAPH} {_BEST.format('near')}",
+    "g4_graph_global": f"WITH {_GRAPH} {_BEST.format('wide')}",
+    "g1_g5_graph_hybrid": f"WITH {_GRAPH} {_BEST.format('mixed')}",
+    "q1_q2_basic_answers": f"""
+WITH {_CHUNKS}, {_NEAREST}
+SELECT item_id AS query_id, coalesce(ids, '') AS chunk_ids, coalesce(trim(t, ' '), {_quoted(prompts.NO_CONTEXT)}) AS answer FROM benchmark LEFT JOIN
+  (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY rank) AS ids, arg_min(text, rank) AS t FROM near JOIN chunks USING (chunk_id) WHERE rank <= 3 GROUP BY 1) ON item_id = query_id""",
+    "q3_q4_hybrid_answers": f"""
+WITH {_BM25}, {_NEAREST},
+fused AS (SELECT query_id, chunk_id, coalesce(1.0 / (60 + d.rank), 0.0)::DOUBLE + coalesce(1.0 / (60 + s.rank), 0.0)::DOUBLE AS rrf, coalesce(s.rank, -1) AS sr, coalesce(d.rank, -1) AS dr FROM near d FULL JOIN sparse s USING (query_id, chunk_id)),
+ordered AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr < 0, dr, sr) AS rank FROM fused QUALIFY rank <= 3)
+SELECT item_id AS query_id, coalesce(ids, '') AS chunk_ids, coalesce(trim(t, ' '), {_quoted(prompts.NO_CONTEXT)}) AS answer, 0.5::DOUBLE AS context_relevance, 0.5::DOUBLE AS groundedness, 0.5::DOUBLE AS answer_relevance, 0.5::DOUBLE AS composite FROM benchmark LEFT JOIN
+  (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY rank) AS ids, arg_min(text, rank) AS t FROM ordered JOIN chunks USING (chunk_id) GROUP BY 1) ON item_id = query_id""",
+}

@@ -2,43 +2,64 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.dense import check_dimensions, norm
+from . import tables
 
 SINGLE = "chunk_id string, embedding array<float>, norm double"
 MULTI = "chunk_id string, embeddings array<array<float>>"
 
 
 class VectorStore:
-    """A Parquet table of vectors under a path; ``schema`` is SINGLE or MULTI."""
+    """Parquet parts of vectors under a path, one for each call of ``add``; ``schema`` is SINGLE or MULTI."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str = SINGLE):
         self.spark, self.path, self.schema = spark, path, schema
 
     def add(self, chunks: DataFrame, vectors: DataFrame) -> None:
-        """Adds a vector for each chunk. chunks(chunk_id), vectors(chunk_id, embedding or embeddings): another number of vectors is an error, no chunk is none."""
+        """Adds a vector for each chunk. chunks(chunk_id), vectors(chunk_id, embedding or embeddings).
+
+        A chunk without a vector, a vector without a chunk, another number of them, or a dimension other than that of the
+        vectors there are is an error, before anything is written. No chunk at all adds nothing."""
         n, m = chunks.count(), vectors.count()
         if n != m:
             raise ValueError(f"{n} chunks but {m} vectors")
         if not n:
             return
+        alone = chunks.select("chunk_id").exceptAll(vectors.select("chunk_id")).first() or vectors.select("chunk_id").exceptAll(chunks.select("chunk_id")).first()
+        if alone:
+            raise ValueError(f"chunks and vectors don't match: {alone[0]}")
+        rows = chunks.select("chunk_id").join(vectors.dropDuplicates(["chunk_id"]), "chunk_id")
+        own, there = self._dimension(vectors), self._dimension(self.read())
+        if there is not None and own != there:
+            raise ValueError(f"vectors of {own} dimensions; those in the store have {there}")
+        if self.schema == SINGLE:
+            rows = rows.withColumn("norm", norm(F.col("embedding")))
+        part = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        rows.select(*(F.col(f.split()[0]).cast(f.split(maxsplit=1)[1]) for f in self.schema.split(", "))).write.parquet(f"{self.path}/{part}")
+        tables.mark(self.spark, self.path, part)
+
+    def _dimension(self, vectors: DataFrame) -> int | None:
         if self.schema == SINGLE:
-            check_dimensions(vectors)
-            vectors = vectors.withColumn("norm", norm(F.col("embedding")))
-        rows = chunks.select("chunk_id").join(vectors, "chunk_id")
-        rows.select(*(F.col(f.split()[0]).cast(f.split(maxsplit=1)[1]) for f in self.schema.split(", "))).write.mode("append").parquet(self.path)
+            return check_dimensions(vectors)
+        return check_dimensions(vectors.select(F.explode("embeddings").alias("embedding")))
 
     def read(self) -> DataFrame:
-        """All rows; of a chunk that was added twice, one."""
-        try:
-            rows = self.spark.read.schema(self.schema).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = self.spark.createDataFrame([], self.schema)
-        return rows.dropDuplicates(["chunk_id"])
+        """All rows; of a chunk that was added several times, the one that was added last."""
+        names = tables.parts(self.spark, self.path)
+        if not names:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{n}" for n in names))
+        if len(names) == 1:
+            return rows.dropDuplicates(["chunk_id"])
+        last = W.partitionBy("chunk_id").orderBy(F.desc("part"))
+        return rows.withColumn("part", F.input_file_name()).withColumn("n", F.row_number().over(last)).filter("n = 1").drop("part", "n")
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
+        tables.unmark(self.spark, self.path, tables.parts(self.spark, self.path))

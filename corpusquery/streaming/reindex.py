@@ -1,4 +1,4 @@
-"""Documents that arrive as a stream: chunked as they come, the sparse index renewed after each batch."""
+"""Documents that arrive as a stream: chunked and indexed as they come."""
 
 from __future__ import annotations
 
@@ -10,12 +10,13 @@ from ..operators.chunking import chunk
 
 
 def start(docs: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """docs: a stream of (source, text). Chunks are kept under path/chunks by batch, so a batch that runs again replaces its own;
-    the index under path/index is built anew from all chunks, since its statistics are global."""
+    """docs: a stream of (source, text). Each batch adds its chunks under path/chunks and a part of its own to the index under
+    path/index; statistics are counted from the parts, so a batch costs what it holds. A batch that runs again replaces its
+    own part, and readers see only parts that are whole."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        chunk(rows, **options).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        sparse.index(spark.read.parquet(f"{path}/chunks")).write(f"{path}/index")
+        where = f"{path}/chunks/batch={number}"
+        chunk(rows, **options).write.mode("overwrite").parquet(where)
+        sparse.index(rows.sparkSession.read.parquet(where)).write(f"{path}/index", part=f"batch-{number:012d}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
