@@ -210,7 +210,7 @@ def triad_scores(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    return graph.extract(_chunks(spark, sf_dir).select("chunk_id", "text")).kept()
+    return graph.extract(_chunks(spark, sf_dir).select("chunk_id", "text"))
 
 
 def graph_tables(spark, sf_dir):
