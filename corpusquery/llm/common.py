@@ -1,17 +1,14 @@
-"""Shared helpers: shared folder, folds, sizes, and the batch plan that several operators use."""
+"""Shared helpers: folds, sizes, and the batch plan that several operators use; tables between steps are the engine's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Temporary folders by application, where no shared folder is set (tests on one machine).
-_own_dirs: dict[str, str] = {}
-_registered: set[str] = set()
+from ..sources.tables import drop, materialise, own_dir
+
+__all__ = ["BATCH_BYTES", "MOST_KEYS", "crc_fold", "drop", "even_keys", "materialise", "n_batches", "n_partitions", "own_dir", "read", "with_batch"]
 #: Bytes of text that one batch of documents holds on average.
 BATCH_BYTES = 6 << 20
 #: Keys that are chosen so that they are dealt evenly; more than so many are even enough by chance.
@@ -22,52 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Where neither is set, a temporary folder serves a session on one machine; on a cluster, whose executors would each
-    write to their own disk, that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        own = spark.sparkContext.applicationId
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if own not in _own_dirs:
-            _own_dirs[own] = f"file://{tempfile.mkdtemp(prefix='corpusquery-')}"
-        path = _own_dirs[own]
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: cuts lineage, survives lost executors.
-
-    The application's tables lie in one folder, which goes when the application ends."""
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
-    _gone_at_end(spark, folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _gone_at_end(spark: SparkSession, folder: str) -> None:
-    """Hadoop removes the folder when the driver ends."""
-    if folder not in _registered:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-        _registered.add(folder)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Removes materialised tables that nothing reads any more."""
-    for table in tables:
-        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            jvm = table.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(file)
-            where.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

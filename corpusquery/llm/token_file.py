@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_partitions, read, shared_dir
+from .common import n_partitions, own_dir, read
 from .tokens import Encoder
 
 MAGIC = b"TOKSHRD1"
@@ -198,6 +198,6 @@ def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write(read(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return digest(spark, path)
