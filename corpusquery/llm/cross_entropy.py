@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, n_batches, read, with_batch
 from .exchange import counted, tally
-from .kernels import NON_SPACE, U64, doc_words, mix, segments, text_buffers, word_spans
+from .kernels import NON_SPACE, U64, doc_words, lean, mix, segments, text_buffers, word_spans
 
 #: Weight of the word model inside the bigram model.
 LAMBDA = 4.0
@@ -52,6 +52,7 @@ def _parts(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _vocabulary(docs: DataFrame) -> tuple[int, int]:
     """(distinct words, words): each task sends a distinct word once for each range of rows."""
 
+    @lean
     def each(batches):
         for batch in batches:
             for _, words, _ in doc_words(batch.column(0)):
@@ -65,6 +66,7 @@ def _vocabulary(docs: DataFrame) -> tuple[int, int]:
 def _sizes(docs: DataFrame, targets: DataFrame) -> tuple[int, int, int]:
     """Documents with a word; of the targets, such documents and their words. By ids and counts alone."""
 
+    @lean
     def each(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .kernels import ALNUM, U64, doc_words, ngrams
+from .kernels import ALNUM, U64, doc_words, lean, ngrams
 
 MIN_TILE = 5
 THRESHOLD = 0.5
@@ -164,6 +164,7 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str
     schema, out = "doc_id long, item_id long, coverage double, n_tiles int", None
     for shared in _indexes(docs.sparkSession, items, item_text, item_key, least):
 
+        @lean
         def each(batches, shared=shared):
             for batch in batches:
                 for a, words, first in doc_words(batch.column(1), ALNUM):
@@ -180,6 +181,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
     """The rows of docs in which no item's coverage reaches the threshold, each decided where it stands."""
     for shared in _indexes(docs.sparkSession, items, item_text, item_key, least):
 
+        @lean
         def each(batches, shared=shared):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)

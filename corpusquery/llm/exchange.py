@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import even_keys, n_partitions
-from .kernels import U64, bundle, pack, unbundle, unpack
+from .kernels import U64, bundle, lean, pack, unbundle, unpack
 
 #: Shards that a batch asks directly.
 FAN = 512
@@ -96,12 +96,14 @@ def counted(docs: DataFrame, side: DataFrame | None, items: Callable, answer: Ca
         shard = [k for k, *_ in rows]
         return pa.table({"batch": _ints([batch] * len(rows)), "crowd": _ints([batch % crowds] * len(rows)), "shard": _ints(shard), "place": _ints([places[k] for k in shard]), "items": pa.array([x for _, x, _ in rows], pa.binary()), "counts": pa.array([x for *_, x in rows], pa.binary())})
 
+    @lean
     def merge(table: pa.Table) -> pa.Table:
         found, totals, _ = _summed(table, kinds)
         crowd, k = table["crowd"][0].as_py(), table["shard"][0].as_py()
         rows = list(_cut(found, totals, within, (k, ranges)))
         return pa.table({"batch": _ints([-1] * len(rows)), "crowd": _ints([crowd] * len(rows)), "shard": _ints([j for j, *_ in rows]), "place": _ints([j for j, *_ in rows]), "items": pa.array([x for _, x, _ in rows], pa.binary()), "counts": pa.array([x for *_, x in rows], pa.binary())})
 
+    @lean
     def add_up(table: pa.Table) -> pa.Table:
         _, totals, parts = _summed(table, kinds)
         return pa.table({"batch": table["batch"], "crowd": table["crowd"], "shard": table["shard"], "totals": pa.array([bundle([pack(t[p]) for t in totals]) for p in parts], pa.binary())})
@@ -112,11 +114,13 @@ def counted(docs: DataFrame, side: DataFrame | None, items: Callable, answer: Ca
         blobs = [unbundle(rows["totals"][int(k)].as_py()) for k in order]
         return [np.concatenate([np.zeros(0, np.int64), *(unpack(b[kind], np.int64) for b in blobs)]) for kind in range(kinds)]
 
+    @lean
     def hand_out(table: pa.Table, answers: pa.Table) -> pa.Table:
         totals = gathered(answers)
         _, _, parts = _summed(table, 0)
         return pa.table({"batch": table["batch"], "crowd": table["crowd"], "shard": table["shard"], "totals": pa.array([bundle([pack(t[p]) for t in totals]) for p in parts], pa.binary())})
 
+    @lean
     def reply(table: pa.Table, other: pa.Table) -> pa.Table:
         rows = other.filter(pa.compute.greater_equal(other["shard"], 0))
         mine = other.filter(pa.compute.less(other["shard"], 0)) if has_side else None
@@ -126,9 +130,9 @@ def counted(docs: DataFrame, side: DataFrame | None, items: Callable, answer: Ca
         return answer(table, kept, totals)
 
     if side is None:
-        requests = docs.groupBy("batch").applyInArrow(lambda t: ask(t, None), _REQUEST)
+        requests = docs.groupBy("batch").applyInArrow(lean(lambda t: ask(t, None)), _REQUEST)
     else:
-        requests = docs.groupBy("batch").cogroup(side.groupBy("batch")).applyInArrow(ask, _REQUEST)
+        requests = docs.groupBy("batch").cogroup(side.groupBy("batch")).applyInArrow(lean(ask), _REQUEST)
     if within == 1:
         replies = requests.groupBy("place").applyInArrow(add_up, _REPLY)
     else:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
+
 import numpy as np
 import pyarrow as pa
 
@@ -10,6 +14,36 @@ _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 
 
+def _trim() -> None:
+    """Hands memory that is free back to the system: a worker lives on through later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f):
+    """A function of a group, or a generator of a task, that keeps no free memory behind it."""
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def each(batches):
+            yield from f(batches)
+            _trim()
+
+        return each
+
+    def then(out):
+        _trim()
+        return out
+
+    # Spark counts the arguments
+    if len(inspect.signature(f).parameters) == 1:
+        return lambda table: then(f(table))
+    return lambda table, other: then(f(table, other))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser with full avalanche over 64 bits (the splitmix64 constants)."""
     x = x.astype(U64, copy=True)

@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from .common import crc_fold, read
-from .kernels import text_buffers
+from .kernels import lean, text_buffers
 
 HIDDEN, WINDOW = 8, 64
 PER_LANG, SLICES = 500, 6
@@ -35,7 +35,7 @@ FOLDS, HELD_OUT = 4, 2
 LEAST_SHARE = 1.25
 #: Languages that are learned at most: those of the most rows.
 LANGS = 1000
-_LETTER = regex.compile(r"\p{L}")
+_LETTER = r"\pL"
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -224,6 +224,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, window: int = WINDOW, slice
     order = W.partitionBy("lang").orderBy(place, "doc_id")
     chosen = known.select("doc_id", "lang").filter(near).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("doc_id", "lang")
 
+    @lean
     def each(batches):
         for batch in batches:
             texts, (_, langs, hashes) = batch.column(0).cast(pa.large_binary()).to_pylist(), batch.columns[1:]
@@ -249,10 +250,11 @@ def predict(docs: DataFrame, model: BiGru | None, text: str = "text", spans: boo
     shared = docs.sparkSession.sparkContext.broadcast(model)
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
+    @lean
     def each(batches):
         model = shared.value
         for batch in batches:
-            letters = [x is not None and bool(_LETTER.search(x)) for x in batch[text].to_pylist()]
+            letters = pc.match_substring_regex(batch[text], _LETTER).fill_null(False).to_pylist()
             data, offsets = text_buffers(batch[text])
             labels = np.zeros(len(data), np.int16) if spans else None
             names, scores = [], []

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .kernels import ALNUM
+from .kernels import ALNUM, lean
 
 #: Exact phrases and their labels (fixed by the contract).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -243,6 +243,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases=PHRAS
     span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())]))
     schema = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", span)])
 
+    @lean
     def each(batches):
         scanner = Scanner(phrases, notices)
         for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import BATCH_BYTES, drop, materialise, n_batches, read, with_batch
 from .exchange import counted
 from .graph import components
-from .kernels import NON_SPACE, U64, doc_words, mix, ngrams
+from .kernels import NON_SPACE, U64, doc_words, lean, mix, ngrams
 
 ORDERS = 2
 #: Words of a shingle and the least similarity in percent, for near duplicates.
@@ -66,6 +66,7 @@ def _xors(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 def row_digests(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, and two 64-bit exclusive sums over the set's hashes that stand for it, of each row."""
 
+    @lean
     def each(batches):
         for batch in batches:
             for a, hashes, at in _sets(batch.column(1), width):
@@ -83,6 +84,7 @@ def set_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return rows
     several = materialise(several, "several")
 
+    @lean
     def each(batches):
         for batch in batches:
             for a, hashes, at in _sets(batch.column(1), width):
@@ -170,6 +172,7 @@ def _meeting(pairs: DataFrame, cand: DataFrame, orders: int) -> DataFrame:
 def _verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets meet 100 * intersection >= percent * union."""
 
+    @lean
     def each(batches):
         for batch in batches:
             keep = []

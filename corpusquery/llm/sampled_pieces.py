@@ -27,12 +27,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from .common import read
-from .kernels import U64, mix, powers
+from .kernels import U64, lean, mix, powers
 
 MARK = "▁"
 ALPHA = 2.0
@@ -327,27 +328,29 @@ def parted(text: str) -> list[str]:
     return text.split(" ")
 
 
-def _groups(texts: list[str]):
+def _groups(column: pa.Array):
+    """Runs of rows, of GROUP_CHARS characters or so, with their texts; a null is an empty one."""
     a = size = 0
-    for b, text in enumerate(texts):
-        if b > a and size + len(text) > GROUP_CHARS:
-            yield a, b
+    for b, n in enumerate(pc.utf8_length(column).fill_null(0).to_pylist()):
+        if b > a and size + n > GROUP_CHARS:
+            yield a, b, [x or "" for x in column.slice(a, b - a).to_pylist()]
             a, size = b, 0
-        size += len(text)
-    if a < len(texts):
-        yield a, len(texts)
+        size += n
+    if a < len(column):
+        yield a, len(column), [x or "" for x in column.slice(a).to_pylist()]
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """docs with a column ids (array of int): a segmentation of the whole text, drawn by its key. A null key draws as 0. A column ids is replaced."""
     docs = docs.drop("ids")
 
+    @lean
     def each(batches):
         lattices = Lattices.kept(Vocabulary.get(model), alpha)
         for batch in batches:
-            texts, keys = [x or "" for x in batch[text].to_pylist()], _numbers_of(batch[key].to_pylist())
-            for a, b in _groups(texts):
-                rows = lattices.segment(texts[a:b], keys[a:b], seed)
+            keys = _numbers_of(batch[key].to_pylist())
+            for a, b, texts in _groups(batch[text]):
+                rows = lattices.segment(texts, keys[a:b], seed)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int32()), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, ids], names=[*batch.schema.names, "ids"])
 
@@ -358,6 +361,7 @@ def decode(coded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     """coded with a column decoded, the text that the ids spell, in place of one that it has."""
     coded = coded.drop("decoded")
 
+    @lean
     def each(batches):
         v = Vocabulary.get(model)
         for batch in batches:
@@ -370,14 +374,15 @@ def decode(coded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
 def digested(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and lossless (the ids decode to the text), in one pass."""
 
+    @lean
     def each(batches):
         v = Vocabulary.get(model)
         lattices = Lattices.kept(v, alpha)
         for batch in batches:
-            texts, keys = [x or "" for x in batch.column(1).to_pylist()], _numbers_of(batch.column(0).to_pylist())
-            for a, b in _groups(texts):
-                rows = lattices.segment(texts[a:b], keys[a:b], seed)
-                back = [v.decode(r.tolist()) == t for r, t in zip(rows, texts[a:b], strict=True)]
+            keys = _numbers_of(batch.column(0).to_pylist())
+            for a, b, texts in _groups(batch.column(1)):
+                rows = lattices.segment(texts, keys[a:b], seed)
+                back = [v.decode(r.tolist()) == t for r, t in zip(rows, texts, strict=True)]
                 crcs = [zlib.crc32(r.astype("<u4").tobytes()) for r in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(r) for r in rows], pa.int64()), pa.array(crcs, pa.int64()), pa.array(back, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
 

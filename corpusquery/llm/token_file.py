@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import n_partitions, own_dir, read
+from .kernels import lean
 from .tokens import Encoder
 
 MAGIC = b"TOKSHRD1"
@@ -52,6 +53,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text: str = "
     if not ids:
         return b""
 
+    @lean
     def each(batches):
         encoder = Encoder.get(tokenizer)
         for batch in batches:
@@ -115,6 +117,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
     dictionary = train_dictionary(docs, tokenizer, end_id, text, key)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
+    @lean
     def each(batches):
         encoder, compressor = Encoder.get(tokenizer), _compressor(dictionary)
         width, end = encoder.dtype.itemsize, np.array([end_id], encoder.dtype).tobytes()
@@ -163,6 +166,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     """Reads every document back: doc_id, start (tokens before it), n_tokens, ids_crc32 of its ids as little-endian unsigned 32-bit integers."""
     shards, dictionary = _opened(spark, path)
 
+    @lean
     def each(batches):
         decompressor = _decompressor(dictionary)
         for batch in batches:
@@ -184,6 +188,7 @@ def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     for i in wanted.tolist():
         hit |= (F.col("first_id") <= i) & (F.col("last_id") >= i)
 
+    @lean
     def each(batches):
         decompressor = _decompressor(dictionary)
         for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from .common import crc_fold, read
-from .kernels import ALNUM, U64, mix, segments, text_buffers, word_hashes, word_spans
+from .kernels import ALNUM, U64, lean, mix, segments, text_buffers, word_hashes, word_spans
 
 BITS = 18
 POSITIVES, UNLABELLED = 2000, 6000
@@ -143,6 +143,7 @@ def _sample(docs: DataFrame, ids: DataFrame, most: int) -> list[np.ndarray]:
     """Features of the documents whose ids have the smallest hashes, ``most`` at most. Of the rows of one id, the one whose text has the smallest hash."""
     chosen = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
+    @lean
     def each(batches):
         for batch in batches:
             for a, numbers, at in features(batch.column(1)):
@@ -167,6 +168,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def each(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch[text]))], names=[*batch.schema.names, "score"])
