@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from corpusquery.llm.exchange import shard_slices, tally
 from corpusquery.llm.kernels import ALNUM, NON_SPACE, U64, doc_words, ngrams, pack, segments, text_buffers, unpack, word_spans
+from corpusquery.llm.tokens import Encoder
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(max_size=30), st.text("aB \n\té-", max_size=30)), max_size=8)
 
@@ -54,3 +55,12 @@ def test_packing():
     assert cuts[0] == 0 and cuts[-1] == len(x) and (np.diff(cuts) >= 0).all()
     found, (count,) = tally(np.array([3, 1, 3], U64))
     assert found.tolist() == [1, 3] and count.tolist() == [1, 2]
+
+
+def test_words_round_apostrophes_are_cut_as_by_the_library():
+    import public_tokenizers
+
+    encoder = Encoder.get(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "''", " ", "  ", "\n", "a", "Ab", "é", "9", "²", "s'", ".", "|", "\x85", "'S"]
+    texts = [f"{a}{b}{c}" for a in parts for b in parts for c in parts]
+    assert encoder.encode(texts) == encoder._whole(texts)
