@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cross_entropy, decontaminate, fingerprint, language, license_scan, ngram_join, quotes, sampled_pieces, token_file, toxicity
+from . import backtracking_bpe, cross_entropy, decontaminate, fingerprint, language, license_scan, ngram_join, quotes, sampled_pieces, spelling, token_file, toxicity, whitening
 
 QUERIES = {
     "op1_quotation_linking": quotes.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontamination_tiling": decontaminate.query,
     "op9_sampled_pieces": sampled_pieces.query,
     "op10_license_scan": license_scan.query,
+    "op11_backtracking_bpe": backtracking_bpe.query,
+    "op12_jacobi_whitening": whitening.query,
+    "op13_spelling_variants": spelling.query,
 }
 SQL = {
     "op1_quotation_linking": quotes.SQL,
