@@ -26,7 +26,8 @@ from .common import materialise, read
 
 #: Turns, and first turns of threads, that are counted together for the positions.
 BLOCK_TURNS, RANGE_TURNS = 256, 4096
-_MARKS = r"^[ \t]*(?:>[ \t]*)+"
+#: One character class behind the first mark: a repeated group would be walked by recursion, too deep for a line of many marks.
+_MARKS = r"^[ \t]*>[> \t]*"
 
 
 def parsed(text: Column) -> Column:
