@@ -11,7 +11,7 @@ zero, its gradient is followed upwards instead.
 Only features whose share among the positives differs from that among the unlabelled by Z_CUT standard errors get a weight:
 the sum of very many weights near zero would drown the evidence of one word in a long text.
 
-The prior is the toxic share of the training labels. Both samples are bounded (POSITIVES, UNLABELLED: the rows of the
+The prior is the toxic share of the training labels, whatever it is. Both samples are bounded (POSITIVES, UNLABELLED: the rows of the
 smallest id hashes), and so is the model (2 ** BITS weights): it is what tasks are sent. Scoring reads whole texts.
 
 A text without a word, null or empty, gets the score of the bias alone. Without any positive, all scores are 0. Texts of
@@ -107,7 +107,7 @@ def risk(w: np.ndarray, b: float, positive: Rows, unlabelled: Rows, prior: float
 
 
 def selected(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Numbers of the features that tell the samples apart: found in LEAST positives at least, and Z_CUT standard errors from an even share."""
+    """Numbers of the features that tell the samples apart: found in LEAST texts of the two samples at least, and Z_CUT standard errors from an even share."""
     p, u = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (positive, unlabelled))
     n, m = len(positive), len(unlabelled)
     even = (p + u + 0.5) / (n + m + 1)
@@ -120,13 +120,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     size = 1 << BITS
     if not positive or not unlabelled or not prior:
         return Model(np.zeros(size, np.float32), -60.0)
-    prior = min(prior, 0.95)
     chosen = selected(positive, unlabelled)
     to = np.full(size, -1, np.int64)
     to[chosen] = np.arange(len(chosen))
     some = [Rows.of([(y := to[x])[y >= 0] for x in rows]) for rows in (positive, unlabelled)]
     size = len(chosen)
-    w, b, moments = np.zeros(size), np.log(prior / (1 - prior)), np.zeros((2, size + 1))
+    # the descent begins at the prior's odds, or where every label is toxic at a finite bias
+    w, b, moments = np.zeros(size), np.log(prior / max(1 - prior, 1e-9)), np.zeros((2, size + 1))
     for step in range(1, steps + 1):
         g = risk(w, b, *some, prior)[2]
         g[:-1] += DECAY * w
