@@ -22,19 +22,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
-from .common import crc_fold, read
+from .common import crc_fold, materialise, read
 from .kernels import lean, text_buffers
 
 HIDDEN, WINDOW = 8, 64
 PER_LANG, SLICES = 500, 6
 STEPS, BATCH, RATE = 300, 192, 0.02
-#: Windows that run through the network at once.
-ROWS = 1024
+#: Windows that run through the network at once, fewer beyond 16 languages; probabilities of documents that a task holds.
+ROWS, HELD = 1024, 1 << 21
 FOLDS, HELD_OUT = 4, 2
 #: The filter rejects a document whose best language has less than so many times an even share of the probability: one in which no language stands out.
 LEAST_SHARE = 1.25
-#: Languages that are learned at most: those of the most rows.
-LANGS = 1000
 _LETTER = r"\pL"
 
 
@@ -189,15 +187,16 @@ class BiGru:
         padded = np.concatenate((data, np.zeros(window, np.uint8)))
         out = np.zeros((len(sizes), len(self.langs)))
         step = np.arange(window)
-        for a in range(0, len(rows), ROWS):
-            at, real = begin[a : a + ROWS], length[a : a + ROWS]
+        size = max(16, ROWS * 16 // max(16, len(self.langs)))
+        for a in range(0, len(rows), size):
+            at, real = begin[a : a + size], length[a : a + size]
             windows = padded[at[:, None] + step]
             inside = step < real[:, None]
             windows[~inside] = 0
             prob = self.labelled(windows)
             if labels is not None:
                 labels[(at[:, None] + step)[inside]] = prob.argmax(1).T[inside]
-            np.add.at(out, rows[a : a + ROWS], np.einsum("tkn,nt->nk", prob, inside.astype(np.float32)))
+            np.add.at(out, rows[a : a + size], np.einsum("tkn,nt->nk", prob, inside.astype(np.float32)))
         return out / np.maximum(1, sizes)[:, None]
 
 
@@ -218,11 +217,11 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, window: int = WINDOW, slice
     """docs(doc_id, text, lang): rows to learn from. Rows without id, text or language are left out; None where none is left."""
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     # the smallest hashes of each language; a first cut by its count leaves a few times per_lang rows, so that no language meets in one task
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    near = F.coalesce(*(F.when(F.col("lang") == r.lang, place < F.lit(((1 << 40) * (3 * per_lang + 50)) // r.n)) for r in counts), F.lit(False))
+    cuts = materialise(counts.select("lang", F.floor(F.lit((1 << 40) * (3 * per_lang + 50)) / F.col("n")).alias("cut")), "languages")
     order = W.partitionBy("lang").orderBy(place, "doc_id")
-    chosen = known.select("doc_id", "lang").filter(near).distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("doc_id", "lang")
+    chosen = known.select("doc_id", "lang").join(cuts, "lang").filter(place < F.col("cut")).select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("doc_id", "lang")
 
     @lean
     def each(batches):
@@ -253,7 +252,8 @@ def predict(docs: DataFrame, model: BiGru | None, text: str = "text", spans: boo
     @lean
     def each(batches):
         model = shared.value
-        for batch in batches:
+        most = HELD // (len(model.langs) if model else 1)
+        for batch in (whole.slice(a, most) for whole in batches for a in range(0, max(1, whole.num_rows), max(1, most))):
             letters = pc.match_substring_regex(batch[text], _LETTER).fill_null(False).to_pylist()
             data, offsets = text_buffers(batch[text])
             labels = np.zeros(len(data), np.int16) if spans else None
