@@ -201,13 +201,13 @@ class Scanner:
         """text: words joined by single spaces. (label, first byte, end, edits, notice's length) of each notice found, in order."""
         found = [span for notice in self.notices for span in notice.spans(text)]
         if len({label for label, *_ in found}) > 1:
-            taken: list[tuple[int, int, str]] = []  # by start; those of one label don't overlap, but for notices of one label
-            kept = []
+            taken: list[tuple[int, int, str]] = []  # by start
+            longest, kept = max(b - a for _, a, b, *_ in found), []
             for span in sorted(found, key=lambda x: (x[3] / x[4], -x[4], x[1], x[0])):
                 label, a, b, *_ = span
-                k = bisect.bisect_left(taken, (a,))
-                if not any(x < b and a < y and other != label for x, y, other in taken[max(0, k - 4) : k + 4]):
-                    taken.insert(k, (a, b, label))
+                near = taken[bisect.bisect_left(taken, (a - longest,)) : bisect.bisect_left(taken, (b,))]
+                if not any(a < y and other != label for _, y, other in near):
+                    bisect.insort(taken, (a, b, label))
                     kept.append(span)
             found = kept
         return sorted(found, key=lambda x: (x[1], x[2], x[0]))
