@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .kernels import ALNUM, U64, doc_words, lean, ngrams
+from .kernels import ALNUM, U64, doc_words, lean, mix, ngrams
 
 MIN_TILE = 5
 THRESHOLD = 0.5
@@ -54,8 +54,35 @@ def _rolled(words: np.ndarray, length: int) -> np.ndarray:
     return out[: len(words) - length + 1]
 
 
+def _meeting(text: np.ndarray, item: np.ndarray, places: np.ndarray, spots: np.ndarray, behind: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of each place i and spot j whose windows' hashes are equal and whose words in front (behind, before) are not."""
+    order = np.lexsort((before, item))
+    item, spots, before = item[order], spots[order], before[order]
+    low, high = np.searchsorted(item, text), np.searchsorted(item, text, "right")
+    kept = np.flatnonzero(high > low)
+    text, places, behind, low, high = text[kept], places[kept], behind[kept], low[kept], high[kept]
+    # of the spots with one hash, those of one word in front lie together
+    pairs = item ^ mix(before)
+    runs = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (before[1:] != before[:-1]))))
+    ends = np.append(runs[1:], len(item))
+    by = np.argsort(pairs[runs], kind="stable")
+    at = np.minimum(np.searchsorted(pairs[runs][by], text ^ mix(behind)), len(by) - 1)
+    hit = by[at]
+    same = (item[runs[hit]] == text) & (before[runs[hit]] == behind)
+    skip_low, skip_high = np.where(same, runs[hit], high), np.where(same, ends[hit], high)
+    i, j = [], []
+    for a, b in ((low, skip_low), (skip_high, high)):
+        n = b - a
+        i.append(np.repeat(places, n))
+        j.append(spots[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+    return np.concatenate(i), np.concatenate(j)
+
+
 def tiles(text: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
-    """(place in the text, place in the item, words) of the greedy tiles, longest first; of equal length, the earliest in the item, then in the text."""
+    """(place in the text, place in the item, words) of the greedy tiles, longest first; of equal length, the earliest in the item, then in the text.
+
+    Only windows of unmarked words are looked for, and only pairs that can't be extended to the front; those that are left are
+    extended together, a word at a time. It ends as soon as the item has no unmarked window left."""
     n, m = len(text), len(item)
     least = min(least, m)
     if not least:
@@ -63,31 +90,50 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tup
     free_t, free_i = np.ones(n + 1, bool), np.ones(m + 1, bool)
     free_t[n] = free_i[m] = False
     found, search = [], m
-    while True:
-        hits = {}
-        for j, h in enumerate(_rolled(item, search).tolist()):
-            hits.setdefault(h, []).append(j)
-        windows = _rolled(text, search)
-        matches = []
-        for i in np.flatnonzero(np.isin(windows, np.fromiter(hits, U64, len(hits)))).tolist():
-            for j in hits[int(windows[i])]:
-                if i and j and free_t[i - 1] and free_i[j - 1] and text[i - 1] == item[j - 1]:
-                    continue
-                k = 0
-                while free_t[i + k] and free_i[j + k] and text[i + k] == item[j + k]:
-                    k += 1
-                if k >= search:
-                    matches.append((-k, j, i))
-        if matches:
-            longest = -min(matches)[0]
-            for k, j, i in sorted(x for x in matches if -x[0] == longest):
-                if free_t[i : i - k].all() and free_i[j : j - k].all():
-                    free_t[i : i - k] = free_i[j : j - k] = False
-                    found.append((i, j, -k))
+    windows, spots = _rolled(text, search), _rolled(item, search)
+
+    def open_(free: np.ndarray, length: int) -> np.ndarray:
+        """Where windows of unmarked words begin."""
+        marked = np.concatenate(([0], np.cumsum(~free[:-1])))
+        return np.flatnonzero(marked[length:] == marked[: len(marked) - length]) if len(free) > length else np.zeros(0, np.int64)
+
+    while len(open_(free_i, least)):
+        at_t, at_i = open_(free_t, search), open_(free_i, search)
+        at_t = at_t[np.isin(windows[at_t], spots[at_i])]
+        i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(at_t):
+            # what isn't free in front, or not there, is like no word of the other side
+            behind, before = np.full(len(at_t), U64(1)), np.full(len(at_i), U64(2))
+            for at, free, words, out in ((at_t, free_t, text, behind), (at_i, free_i, item, before)):
+                inner = np.flatnonzero((at > 0) & free[at - 1])
+                out[inner] = words[at[inner] - 1]
+            i, j = _meeting(windows[at_t], spots[at_i], at_t, at_i, behind, before)
+        if len(i):
+            size, alive = np.zeros(len(i), np.int64), np.arange(len(i))
+            while len(alive):
+                x, y = i[alive] + size[alive], j[alive] + size[alive]
+                on = free_t[x] & free_i[y]
+                on[on] = text[x[on]] == item[y[on]]
+                alive = alive[on]
+                size[alive] += 1
+            i, j, size = (x[size >= search] for x in (i, j, size))
+        if len(i):
+            longest = int(size.max())
+            i, j = i[size == longest], j[size == longest]
+            order = np.lexsort((i, j))
+            i, j = i[order], j[order]
+            while len(i):
+                x, y = int(i[0]), int(j[0])
+                free_t[x : x + longest] = free_i[y : y + longest] = False
+                found.append((x, y, longest))
+                apart = (np.abs(i - x) >= longest) & (np.abs(j - y) >= longest)
+                i, j = i[apart], j[apart]
         elif search == least:
-            return found
+            break
         else:
             search = max(least, search // 2)
+            windows, spots = _rolled(text, search), _rolled(item, search)
+    return found
 
 
 class Index:
