@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tokens: ASCII letters and digits with inner hyphens, at word boundaries by Unicode's notion of a word.
-TOKEN = r"(?U)\b[a-z0-9]+(?:-[a-z0-9]+)*\b"
+#: Words (by Unicode's notion of one) with another character than ASCII letters and digits, and several hyphens in a row: both end a token.
+NO_TOKEN = r"(?U)\b[a-z0-9]*+[\w&&[^a-z0-9]]\w*|--+"
+#: Tokens of what is left: ASCII letters and digits with single hyphens between them. No pattern repeats a group, which java.util.regex walks by recursion, one level for each time.
+TOKEN = r"[a-z0-9][a-z0-9-]*(?<!-)"
 #: White space as Python's str.strip() has it (fixed values).
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -24,7 +26,8 @@ def lines(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Array of lower-case tokens. A word with an underscore or a letter beyond ASCII gives none; codes with hyphens stay whole."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    words = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), NO_TOKEN, " ")
+    return F.regexp_extract_all(words, F.lit(TOKEN), F.lit(0))
 
 
 def universal_newlines(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 Queries are a stated set: they are read a block at a time, of a checked number of values, and broadcast; a task keeps the k
 best of each query from every batch of rows that it reads, k whatever ties. So the rows that are shuffled grow with tasks, not
-with pairs.
+with pairs. Of several blocks, each is finished before the next one is read.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import best, blocks, checked_k, id_type, ids_of, top_k
+from .ranking import best, blocks, checked_k, id_type, ids_of, in_turn, top_k
 
 #: Values of query vectors, and queries, that are sent to a task at once; cells of a matrix of scores.
 BLOCK_VALUES, BLOCK_QUERIES, CELLS = 1 << 22, 1 << 12, 1 << 22
@@ -99,22 +99,23 @@ def maxsim_search(token_vectors: DataFrame, query_tokens: DataFrame, k: int | No
 
 def _searched(vectors: DataFrame, asked: DataFrame, prepared: Callable, score: Callable, size: Callable, k: int, digits: int | None) -> DataFrame:
     """The k best of each query. prepared(block of queries) is broadcast; score(column of vectors, that) gives scores (rows, queries)."""
-    schema, out = f"query_id {id_type(asked, 'query_id')}, chunk_id {id_type(vectors, 'chunk_id')}, score double", None
-    for block in blocks(asked.toLocalIterator(), size, BLOCK_VALUES, BLOCK_QUERIES):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids_of(asked, block), prepared(block)))
+    schema, spark = f"query_id {id_type(asked, 'query_id')}, chunk_id {id_type(vectors, 'chunk_id')}, score double", vectors.sparkSession
+    ranked = lambda rows: top_k(rows, k, F.desc("score"), F.col("chunk_id"))
 
-        def each(batches, shared=shared):
-            ids, block = shared.value
+    def search(block):
+        shared = spark.sparkContext.broadcast((ids_of(asked, block), prepared(block)))
+
+        def each(batches):
+            ids, queries = shared.value
             step = max(1, CELLS // len(ids))
             for batch in batches:
                 for a in range(0, batch.num_rows, step):
                     part = batch.slice(a, step)
-                    yield best(part.column(0), score(part.column(1), block), ids, k, digits)
+                    yield best(part.column(0), score(part.column(1), queries), ids, k, digits)
+
+        return ranked(vectors.mapInArrow(each, schema)), shared.destroy
 
-        found = vectors.mapInArrow(each, schema)
-        out = found if out is None else out.union(found)
-    out = vectors.sparkSession.createDataFrame([], schema) if out is None else out
-    return top_k(out, k, F.desc("score"), F.col("chunk_id"))
+    return in_turn(blocks(asked.toLocalIterator(), size, BLOCK_VALUES, BLOCK_QUERIES), search, lambda: ranked(spark.createDataFrame([], schema)), "nearest")
 
 
 def token_arrays(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.tables import own_dir
+
 
 def checked_k(k: int | None, default: int) -> int:
     """None and 0 mean the default; a negative k is an error."""
@@ -48,6 +52,26 @@ def blocks(rows: Iterable, size: Callable, most: int, most_rows: int) -> Iterato
         yield out
 
 
+def in_turn(runs: Iterator[list], search: Callable, empty: Callable, name: str) -> DataFrame:
+    """The rows that search(block) -> (rows, release) finds for each block of queries.
+
+    One block alone is left to Spark as a plan. Of several, each is finished and written before the next one is read, and what it needed is released, so that the driver and the tasks hold one block however many there are."""
+    first = next(runs, None)
+    if first is None:
+        return empty()
+    then = next(runs, None)
+    if then is None:
+        return search(first)[0]
+    path, schema = None, None
+    for block in itertools.chain((first, then), runs):
+        rows, release = search(block)
+        path, schema = path or f"{own_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}", rows.schema
+        rows.write.mode("append").parquet(path)
+        session = rows.sparkSession
+        release()
+    return session.read.schema(schema).parquet(path)
+
+
 def best(ids: pa.Array, scores: np.ndarray, query_ids: pa.Array, k: int, digits: int | None = None, positive: bool = False) -> pa.RecordBatch:
     """query_id, chunk_id, score of each query's k best rows in scores (rows, queries): of equal scores those of the smallest ids, so k rows at most, however many tie. positive: only scores above 0."""
     if digits is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources import tables
-from .ranking import best, blocks, checked_k, id_type, ids_of, top_k
+from .ranking import best, blocks, checked_k, id_type, ids_of, in_turn, top_k
 
 K1, B, DELTA = 1.5, 0.75, 0.5
-#: Distinct terms, and queries, that tasks score at once; cells of a matrix of weights or scores.
-BLOCK_TERMS, BLOCK_QUERIES, CELLS = 1 << 16, 1 << 12, 1 << 21
+#: Terms of queries, and queries, that tasks score at once; cells of a matrix of scores, and shares of scores that are added up at once.
+BLOCK_TERMS, BLOCK_QUERIES, CELLS, EXPANDED = 1 << 16, 1 << 12, 1 << 21, 1 << 22
 _SCHEMA = "chunk_id {}, dl long, terms array<string>"
 
 
@@ -35,7 +36,7 @@ class SparseIndex:
     @property
     def terms(self) -> DataFrame:
         """term, df (chunks that have it) and cf (times that it stands in them), by one shuffle of partial sums."""
-        ordered = self.documents.select(F.array_sort("terms").alias("t"))
+        ordered = self.documents.select(F.sort_array("terms").alias("t"))
         firsts = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).cast("long").alias("first")))
         return ordered.select(F.explode(firsts).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.sum("x.first").alias("df"), F.count("*").alias("cf"))
 
@@ -129,48 +130,67 @@ def _counted(hits: DataFrame, size: int) -> tuple[int, float, np.ndarray]:
 def search(ix: SparseIndex, queries: DataFrame, k: int | None = None, delta_on_missing: bool = False, digits: int | None = None, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best chunks (5 by default) with a positive score; of equal scores the smaller chunk id goes first.
 
-    queries(query_id, text) are a stated set, in blocks of a checked size. The corpus is gone through once for each block,
-    for the tokens that the block asks for; these are counted, then scored where they lie, and each batch of chunks hands on
-    the k best of each query. Nothing is shuffled by term. A term counts as often as a query has it.
+    queries(query_id, text) are a stated set, in blocks of a checked size, each finished before the next. The corpus is gone
+    through once for each block, for the tokens that the block asks for; these are counted, then scored where they lie, and each
+    batch of chunks hands on the k best of each query. Nothing is shuffled by term. A term counts as often as a query has it.
+    ``inverted`` searches an index of postings instead, and reads what the queries ask for.
 
     delta_on_missing: every known query term gives all chunks the share that a chunk without it has."""
     k = checked_k(k, 5)
-    kind, query_kind = id_type(ix.documents, "chunk_id"), id_type(queries, "query_id")
+    spark, kind, query_kind = ix.documents.sparkSession, id_type(ix.documents, "chunk_id"), id_type(queries, "query_id")
     asked = queries.select("query_id", tokens(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
-    out, schema = None, f"query_id {query_kind}, chunk_id {kind}, score double"
-    for block in blocks(asked.toLocalIterator(), lambda r: len(set(r.terms)), BLOCK_TERMS, BLOCK_QUERIES):
+    schema = f"query_id {query_kind}, chunk_id {kind}, score double"
+    ranked = lambda rows: top_k(rows, k, F.desc("score"), F.col("chunk_id"))
+
+    def scored(block):
         vocabulary = sorted({t for r in block for t in r.terms})
         hits = tables.materialise(_hits(ix.documents, vocabulary), "hits")
         n, avgdl, df = _counted(hits, len(vocabulary))
         place = {t: j for j, t in enumerate(vocabulary)}
-        known = np.flatnonzero(df)
-        column = np.full(len(vocabulary), -1)
-        column[known] = np.arange(len(known))
-        times = np.zeros((len(known), len(block)))
-        for q, r in enumerate(block):
-            for t in r.terms:
-                if column[place[t]] >= 0:
-                    times[column[place[t]], q] += 1
-        weight = np.log(n + 1) - np.log(df[known] + 0.5)
+        # of each term, the queries that ask for it and how often, one after the other: as many entries as the block has terms
+        times = sorted((place[t], q, m) for q, r in enumerate(block) for t, m in Counter(r.terms).items() if df[place[t]])
+        of, by, often = (np.array([x[c] for x in times], t) for c, t in enumerate((np.int64, np.int64, float)))
+        first = np.searchsorted(of, np.arange(len(vocabulary) + 1))
+        weight = np.log(n + 1) - np.log(df + 0.5)
         missing = weight * (k1 + 1) * delta / (k1 + delta) * delta_on_missing
-        shared = ix.documents.sparkSession.sparkContext.broadcast((ids_of(asked, block), column, times, weight, missing))
+        base = np.bincount(by, missing[of] * often, minlength=len(block))
+        shared = spark.sparkContext.broadcast((ids_of(asked, block), first, by, often, weight, missing, base))
 
-        def each(batches, shared=shared, avgdl=avgdl):
-            ids, column, times, weight, missing = shared.value
-            step = max(1, CELLS // max(1, *times.shape))
+        def each(batches):
+            ids, first, by, often, weight, missing, base = shared.value
+            step = max(1, CELLS // len(ids))
             for batch in batches:
                 for a in range(0, batch.num_rows, step):
                     part = batch.slice(a, step)
                     rows, codes, tf = _flat(part.column(2))
-                    of = column[codes]
                     dl = part.column(1).to_numpy(zero_copy_only=False)[rows]
                     ctd = tf / (1 - b + b * dl / max(1.0, avgdl))
-                    matrix = np.zeros((part.num_rows, len(weight)))
-                    matrix[rows, of] = weight[of] * (k1 + 1) * (ctd + delta) / (k1 + ctd + delta) - missing[of]
-                    yield best(part.column(0), matrix @ times + missing @ times, ids, k, digits, positive=True)
-
-        found = hits.mapInArrow(each, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = queries.sparkSession.createDataFrame([], schema)
-    return top_k(out, k, F.desc("score"), F.col("chunk_id"))
+                    gain = weight[codes] * (k1 + 1) * (ctd + delta) / (k1 + ctd + delta) - missing[codes]
+                    scores = np.tile(base, (part.num_rows, 1))
+                    many = first[codes + 1] - first[codes]
+                    ends = np.cumsum(many)
+                    for x, y in _runs(ends, EXPANDED):
+                        times = many[x:y]
+                        at = np.repeat(first[codes[x:y]] - (ends[x:y] - times), times) + np.arange(ends[x] - many[x], ends[y - 1])
+                        cells = np.repeat(rows[x:y], times) * len(ids) + by[at]
+                        scores += np.bincount(cells, np.repeat(gain[x:y], times) * often[at], minlength=scores.size).reshape(scores.shape)
+                    yield best(part.column(0), scores, ids, k, digits, positive=True)
+
+        def release():
+            shared.destroy()
+            tables.drop(hits)
+
+        return ranked(hits.mapInArrow(each, schema)), release
+
+    runs = blocks(asked.toLocalIterator(), lambda r: len(set(r.terms)), BLOCK_TERMS, BLOCK_QUERIES)
+    return in_turn(runs, scored, lambda: ranked(spark.createDataFrame([], schema)), "sparse")
+
+
+def _runs(ends: np.ndarray, most: int):
+    """Ranges [x, y) of entries that are ``most`` together, given where each ends, or one entry."""
+    x = 0
+    while x < len(ends):
+        before = int(ends[x - 1]) if x else 0
+        y = max(x + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield x, y
+        x = y

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import providers
 from .functions import scores as score_functions
 from .functions import text as T
-from .operators import dense, fusion, graph, prompts, rerank, sparse, triad
+from .operators import dense, fusion, graph, inverted, prompts, rerank, sparse, triad
 from .operators.chunking import chunk
 from .operators.ranking import top_k
 from .plans.config import Config
@@ -29,6 +29,8 @@ _LINE_OR_QUOTE = r"""[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"']"""
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words with an underscore or a Latin-1 letter go as a whole before tokens are taken.
 _TOKENS = r"regexp_extract_all(regexp_replace(lower({0}), '[a-z0-9_]*[_ßà-öø-ÿ][a-z0-9_ßà-öø-ÿ]*', ' ', 'g'), '\b[a-z0-9]+(?:-[a-z0-9]+)*\b')"
+#: Runs of letters and digits with hyphens between them.
+_RUN = r"[\p{L}\p{Nd}_]+(?:-[\p{L}\p{Nd}_]+)*"
 _CHUNKS = f"""
 para AS (SELECT doc_id, pi, trim(p, {_WS}) AS p FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS pi FROM
   (SELECT doc_id, string_split(replace(trim(text, {_WS}), chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS ps FROM documents)) WHERE trim(p, {_WS}) <> ''),
@@ -112,6 +114,15 @@ def bm25_top5(spark, sf_dir):
     return sparse.search(sparse.index(_chunks(spark, sf_dir)), _asked(spark, sf_dir), 5, digits=6)
 
 
+def inverted_top5(spark, sf_dir):
+    """The same from an index of postings on disk, in two parts."""
+    ix = sparse.index(_chunks(spark, sf_dir)).kept()
+    stored = inverted.InvertedIndex(spark, f"{own_dir(spark)}/postings-{uuid.uuid4().hex}")
+    for odd in (0, 1):
+        stored.add(sparse.SparseIndex(ix.documents.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == odd)))
+    return stored.search(_asked(spark, sf_dir), 5, digits=6)
+
+
 def vector_norms(spark, sf_dir):
     return dense.indexed(_vectors(spark, sf_dir)).select("chunk_id", F.round("norm", 6).alias("norm"))
 
@@ -324,6 +335,7 @@ QUERIES = {
     "d1_corpus_stats": corpus_stats,
     "d2_d3_s4_term_stats": term_stats,
     "k1_d4_j3_bm25_top5": bm25_top5,
+    "a9_k1_j3_inverted_top5": inverted_top5,
     "s7_a7_vector_norms": vector_norms,
     "k2_j1_s8_cosine_top5": cosine_top5,
     "k3_j2_d5_d6_maxsim_top5": maxsim_top5,
@@ -364,6 +376,7 @@ SELECT printf('%d#chunk-%04d', doc_id, row_number() OVER (PARTITION BY doc_id OR
     "d1_corpus_stats": f"WITH {_SPARSE} SELECT n, round(avgdl, 6) AS avgdl FROM stats",
     "d2_d3_s4_term_stats": f"WITH {_SPARSE} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(ln(any_value(n) + 1) - ln(count(*) + 0.5), 6) AS idf FROM posts, stats GROUP BY 1",
     "k1_d4_j3_bm25_top5": f"WITH {_BM25} SELECT * FROM sparse",
+    "a9_k1_j3_inverted_top5": f"WITH {_BM25} SELECT * FROM sparse",
     "s7_a7_vector_norms": "SELECT vec_id AS chunk_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings",
     "k2_j1_s8_cosine_top5": f"WITH {_COSINE.format(k=5)} SELECT * FROM dense",
     "k3_j2_d5_d6_maxsim_top5": """
@@ -400,12 +413,12 @@ WITH s AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 = 3 THEN 0.5::DOUBL
 SELECT query_id, round_even(c::DOUBLE, 4) AS context_relevance, round_even(g::DOUBLE, 4) AS groundedness, round_even(a::DOUBLE, 4) AS answer_relevance, round_even(((c + g + a) / 3)::DOUBLE, 4) AS composite FROM s""",
 }
 _GRAPH = f"""{_CHUNKS},
-runs AS (SELECT chunk_id, list_filter(regexp_extract_all(text, '{graph.RUN}'), lambda x: regexp_matches(x, '{graph.NAME}')) AS raw FROM chunks),
+runs AS (SELECT chunk_id, list_filter(regexp_extract_all(text, '{_RUN}'), lambda x: regexp_matches(x, '{graph.NAME}')) AS raw FROM chunks),
 named AS (SELECT chunk_id, list_transform(raw, lambda x: lower(x)) AS names FROM runs),
 nodes AS (SELECT name, chunk_id, count(*) AS n FROM (SELECT chunk_id, unnest(names) AS name FROM named) GROUP BY 1, 2),
 pairs AS (SELECT chunk_id, unnest(list_transform(range(1, len(names)), lambda i: {{'src': least(names[i], names[i + 1]), 'dst': greatest(names[i], names[i + 1])}})) AS p FROM named),
 edges AS (SELECT p.src AS src, p.dst AS dst, chunk_id, count(*) AS n FROM pairs WHERE p.src <> p.dst GROUP BY 1, 2, 3),
-asked AS (SELECT DISTINCT query_id, lower(name) AS name FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_extract_all(text, '{graph.RUN}'), lambda x: regexp_matches(x, '{graph.NAME}'))) AS name FROM benchmark)),
+asked AS (SELECT DISTINCT query_id, lower(name) AS name FROM (SELECT item_id AS query_id, unnest(list_filter(regexp_extract_all(text, '{_RUN}'), lambda x: regexp_matches(x, '{graph.NAME}'))) AS name FROM benchmark)),
 seeds AS (SELECT query_id, name, 1.0::DOUBLE AS w FROM asked WHERE name IN (SELECT name FROM nodes)),
 ends AS (SELECT DISTINCT src AS name, dst AS other FROM edges UNION SELECT dst, src FROM edges),
 weights AS (SELECT query_id, name, max(w) AS w FROM (SELECT * FROM seeds UNION ALL SELECT query_id, other, 0.5 FROM seeds JOIN ends USING (name)) GROUP BY 1, 2),
