@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bar, label, snippet
-from ..operators import graph
+from ..operators import answers, graph
+from ..sources.graph_store import GraphStore
 from ..sources.textfile import check_chunks, read_text
 from .config import BACKENDS, Config
 from .pipelines import Basic, Hybrid
@@ -43,8 +44,15 @@ def ask(spark: SparkSession, args, built, question: str) -> list[str]:
     queries = spark.createDataFrame([(0, question)], "query_id long, text string")
     if args.kind == "graph":
         chunks, g, basic = built
-        found = graph.search(g, queries, args.mode, args.top_k, naive=basic.retrieve, embedder=basic.embedder if basic.config.model_url else None)
-        return _shown(f"Chunks ({args.mode})", found, chunks, "score")
+        remote = basic.config.model_url
+        embedder = basic.embedder if remote else None
+        keywords = graph.levels(queries, lambda: graph.ModelKeywords(basic.model())) if remote else None
+        found = graph.search(g, queries, args.mode, args.top_k, naive=basic.retrieve, embedder=embedder, keywords=keywords)
+        out = _shown(f"Chunks ({args.mode})", found, chunks, "score") if args.debug else []
+        if args.mode == "naive":
+            return [*out, "Answer:", basic.query(queries, args.top_k).answers.first()["answer"]]
+        context = answers.contexts(g, queries, chunks, args.mode, args.top_k or 5, embedder, keywords=keywords)
+        return [*out, "Answer:", answers.answered(context, basic.model).first()["answer"]]
     if args.kind == "basic":
         got = built.query(queries, args.top_k)
         out = _shown("Nearest chunks", got.dense, built.chunks, "score") if args.debug else []
@@ -71,8 +79,10 @@ def main(argv: list[str] | None = None) -> None:
         basic = Basic(docs, config=config)
         chunks, model = basic.chunks, config.model()
         check_chunks(chunks, args.data)
-        found = graph.extract(chunks.select("chunk_id", "text"), (lambda: graph.ModelExtractor(model())) if config.model_url else None)
-        built = chunks, found.write(config.graph_dir), basic
+        store = GraphStore(spark, config.graph_dir)
+        store.insert(docs, (lambda: graph.ModelExtractor(model())) if config.model_url else None, config.chunk_size, config.chunk_overlap)
+        g = store.graph((lambda: graph.ModelSummariser(model())) if config.model_url else None).kept()
+        built = store.chunks(), g.embedded(basic.embedder) if config.model_url else g, basic
     else:
         built = {"basic": Basic, "hybrid": Hybrid}[args.kind](docs, config=config)
         chunks = built.chunks

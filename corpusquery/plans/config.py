@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from .. import providers, remote
@@ -49,6 +50,10 @@ class Config:
     max_tokens: int = _number("EMBEDDING_MAX_TOKENS", providers.MAX_TOKENS)
     multi_model: str = _text("MULTI_MODEL", "default")
     multi_device: str = _text("MULTI_DEVICE", "auto")
+    #: load(name, device) of a local model of one vector for each token (``providers.LateInteraction``).
+    multi_load: Callable | None = None
+    #: Folder in which models' replies are kept, so that a prompt is asked about once; empty: none are kept.
+    reply_dir: str = _text("REPLY_DIR", "")
     graph_dir: str = _text("GRAPH_WORKING_DIR", "./graph_storage")
 
     def __post_init__(self):
@@ -65,8 +70,13 @@ class Config:
         return lambda: remote.HttpEmbedder(url, key, name, dim, max_tokens=most)
 
     def multi_embedder(self, load=None):
-        """A factory of embedders with a vector for each token; load(name, device) brings a local model."""
+        """A factory of embedders with a vector for each token; load(name, device) brings a local model.
+
+        Without a loader the stand-in serves, unless a model is named: then it is an error."""
+        load = load or self.multi_load
         if load is None:
+            if self.multi_model != "default":
+                raise ValueError(f"MULTI_MODEL is {self.multi_model}, but nothing loads it: give Config a multi_load")
             return providers.HashingEmbedder
         name, device = self.multi_model, self.multi_device
         return lambda: providers.LateInteraction(load, name, device)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import providers
 from ..operators import dense, fusion, prompts, rerank, sparse, triad
 from ..operators.chunking import chunk
 from ..operators.ranking import checked_k
+from ..sources.replies import Replies
 from ..sources.tables import materialise
 from .config import Config
 
@@ -32,11 +33,20 @@ def _with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     return ranked.join(chunks.select("chunk_id", "text"), "chunk_id")
 
 
-def _answered(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, model: Callable, title: str) -> DataFrame:
+def _told(rows: DataFrame, prompt: Column, model: Callable, config: Config, reply: str, judge: bool = False) -> DataFrame:
+    """rows with the model's replies, a table; from the ledger of replies where one is kept."""
+    if config.reply_dir:
+        name = judge and config.judge_model or config.llm_model
+        return materialise(Replies(rows.sparkSession, config.reply_dir).told(rows, prompt, model, name, reply), "replies")
+    return materialise(rows.withColumn(reply, providers.completed(prompt, model)), "replies")
+
+
+def _answered(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, model: Callable, title: str, config: Config) -> DataFrame:
     """query_id, text, results, prompt, answer: a table, so that the answer that is judged or shown is the one that was given."""
     rows = queries.select("query_id", "text").join(prompts.ordered_texts(_with_text(ranked, chunks)), "query_id", "left").withColumn("results", F.coalesce("results", F.array()))
     rows = rows.withColumn("prompt", prompts.answer(F.col("results"), F.col("text"), title))
-    return materialise(rows.withColumn("answer", F.when(F.col("prompt").isNull(), prompts.NO_CONTEXT).otherwise(F.trim(providers.completed(F.col("prompt"), model)))), "answers")
+    rows = _told(rows, F.col("prompt"), model, config, "answer")
+    return rows.withColumn("answer", F.when(F.col("prompt").isNull(), prompts.NO_CONTEXT).otherwise(F.trim("answer")))
 
 
 class Basic:
@@ -54,7 +64,7 @@ class Basic:
 
     def query(self, queries: DataFrame, k: int | None = None) -> Results:
         found = materialise(self.retrieve(queries, k), "dense")
-        return Results(found, _answered(queries, found, self.chunks, self.model, "Chunk"))
+        return Results(found, _answered(queries, found, self.chunks, self.model, "Chunk", self.config))
 
 
 class Hybrid:
@@ -84,20 +94,21 @@ class Hybrid:
         fused = materialise(fusion.fuse(near, words, checked_k(rrf_k, c.rrf_k)), "fused")
         lists = prompts.ordered_texts(_with_text(fused, self.chunks)).join(queries.select("query_id", "text"), "query_id")
         ask = F.when(F.size("results") > 1, prompts.rerank(F.col("results"), F.col("text")))
-        replies = materialise(lists.select("query_id", providers.completed(ask, self.model).alias("reply")), "rerank-replies")
+        replies = _told(lists.select("query_id", ask.alias("ask")), F.col("ask"), self.model, c, "reply").select("query_id", "reply")
         return Results(near, queries.select("query_id"), words, fused, materialise(rerank.rerank(fused, replies, checked_k(top_n, c.top_n_rerank)), "reranked"))
 
     def query(self, queries: DataFrame, **numbers) -> Results:
         got = self.retrieve(queries, **numbers)
-        got.answers = _answered(queries, got.reranked, self.chunks, self.model, "Document Chunk")
+        got.answers = _answered(queries, got.reranked, self.chunks, self.model, "Document Chunk", self.config)
         if self.config.evaluate:
-            ask = lambda prompt: providers.completed(prompt, self.judge)
+            ask = lambda rows, prompt, reply: _told(rows, prompt, self.judge, self.config, reply, judge=True)
             each = got.answers.select("query_id", "text", F.explode("results").alias("r"))
-            relevance = materialise(each.select("query_id", ask(prompts.context_relevance(F.col("text"), F.col("r.text"))).alias("reply")), "relevance-replies")
+            relevance = ask(each.select("query_id", prompts.context_relevance(F.col("text"), F.col("r.text")).alias("ask")), F.col("ask"), "reply").select("query_id", "reply")
             texts = F.transform("results", lambda r: r["text"])
             answered = F.coalesce("answer", F.lit("")) != ""
             grounded = F.when(answered & (F.size("results") > 0), prompts.groundedness(texts, F.col("answer")))
             relevant = F.when(answered, prompts.answer_relevance(F.col("text"), F.col("answer")))
-            both = materialise(got.answers.select("query_id", ask(grounded).alias("grounded_reply"), ask(relevant).alias("relevant_reply")), "answer-replies")
+            both = ask(got.answers.select("query_id", grounded.alias("grounded"), relevant.alias("relevant")), F.col("grounded"), "grounded_reply")
+            both = ask(both, F.col("relevant"), "relevant_reply").select("query_id", "grounded_reply", "relevant_reply")
             got.triad = triad.evaluate(queries, relevance, both)
         return got

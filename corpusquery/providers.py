@@ -12,6 +12,7 @@ marked as not deterministic, and the pipelines write them to a table first.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable
 
@@ -102,6 +103,40 @@ class ExtractiveModel:
         return ['{"score": 0.5}' if '"score": <' in p else "[]" if "JSON array" in p else (p.split("]\n", 1) + [""])[1].split("\n\n", 1)[0] for p in prompts]
 
 
+class OverlapModel(ExtractiveModel):
+    """A stand-in that reads: it answers as the other one, rates a text by the share of its words that the other text has, and
+    ranks passages by the share of the query's words that stand in them. Words are runs of letters a to z and digits, in either case; a text without one has
+    the share 0. Scores have two decimal places, those of passages are ten times the share."""
+
+    @staticmethod
+    def words(text: str) -> set[str]:
+        return set(re.findall("[a-z0-9]+", text.translate(_LOWER)))
+
+    @classmethod
+    def share(cls, of: str, text: str) -> int:
+        """Hundredths of the first text's words that the second has, rounded down."""
+        own = cls.words(of)
+        return 100 * len(own & cls.words(text)) // len(own) if own else 0
+
+    def complete(self, prompts: list[str]) -> list[str | None]:
+        return [self._rated(p) if '"score": <' in p else self._ranked(p) if "JSON array" in p else x for p, x in zip(prompts, super().complete(prompts), strict=True)]
+
+    def _rated(self, prompt: str) -> str:
+        body = prompt.rpartition("\n\nReply with nothing but JSON")[0]
+        if "\n\nContext: " in body:  # how much of the answer the context bears out
+            context, _, answer = body.partition("\n\nContext: ")[2].rpartition("\n\nAnswer: ")
+            n = self.share(answer, context)
+        else:
+            question, _, text = body.partition("\n\nQuestion: ")[2].partition("\n\nPassage: " if "\n\nPassage: " in body else "\n\nAnswer: ")
+            n = self.share(question, text)
+        return f'{{"score": {n / 100:.2f}}}'
+
+    def _ranked(self, prompt: str) -> str:
+        query, _, rest = prompt.partition('Query: "')[2].rpartition('"\n\nPassages:\n')
+        passages = re.findall(r"^\[(\d+)\] (.*)$", rest.rpartition("\n\nReply with")[0], re.MULTILINE)
+        return json.dumps([{"index": int(i), "score": self.share(query, text) / 10} for i, text in passages])
+
+
 def pick_device(wanted: str = "auto") -> str:
     """The device named, or for auto the first there is of cuda, mps and cpu."""
     if wanted != "auto":

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from . import providers
 from .functions import scores as score_functions
 from .functions import text as T
-from .operators import dense, fusion, graph, inverted, prompts, rerank, sparse, triad
+from .operators import answers, dense, fusion, graph, inverted, prompts, rerank, sparse, triad
 from .operators.chunking import chunk
 from .operators.ranking import top_k
 from .plans.config import Config
 from .plans.pipelines import Basic, Hybrid
+from .sources.graph_store import GraphStore
 from .sources.stores import VectorStore
 from .sources.tables import own_dir
 
@@ -243,8 +244,26 @@ def graph_global(spark, sf_dir):
 
 
 def graph_nearest(spark, sf_dir):
-    """Both ways, by the nearest entities and relations. No SQL: the vectors are those of a stand-in."""
-    return graph.search(_graph(spark, sf_dir), _asked(spark, sf_dir), "hybrid", 5, embedder=providers.HashingEmbedder, digits=6)
+    """Both ways, by the nearest entities and relations."""
+    return graph.search(_graph(spark, sf_dir), _asked(spark, sf_dir), "hybrid", 5, embedder=providers.LetterEmbedder, digits=6)
+
+
+def graph_keywords(spark, sf_dir):
+    """Entities by the questions' names, relations by their other words, from stored vectors."""
+    asked = _asked(spark, sf_dir)
+    g = _graph(spark, sf_dir).embedded(providers.LetterEmbedder).write(f"{own_dir(spark)}/graph-{uuid.uuid4().hex}")
+    return graph.search(g, asked, "hybrid", 5, embedder=providers.LetterEmbedder, digits=6, keywords=graph.levels(asked))
+
+
+def graph_answers(spark, sf_dir):
+    """Answers from entities, relations and passages, each under a budget of words, from a graph that documents were added to in two parts."""
+    store, asked = GraphStore(spark, f"{own_dir(spark)}/graph-{uuid.uuid4().hex}"), _asked(spark, sf_dir)
+    docs = _docs(spark, sf_dir)
+    for odd in (0, 1):
+        store.insert(docs.filter(F.pmod(F.xxhash64("source"), F.lit(2)) == odd))
+    found = answers.contexts(store.graph().kept(), asked, store.chunks(), "hybrid", 8, providers.LetterEmbedder, 10, 6, graph.levels(asked), answers.Budget(60, 60, 300, 40))
+    got = answers.answered(found, providers.ExtractiveModel)
+    return got.select("query_id", "n_entities", "n_relations", "n_passages", F.md5("entities").alias("entities"), F.md5("relations").alias("relations"), F.md5("prompt").alias("prompt"), "answer")
 
 
 #: Scores to six places, so that equal ones are equal in SQL as well.
@@ -269,6 +288,14 @@ def hybrid_answers(spark, sf_dir):
     return got.answers.select("query_id", F.array_join(F.transform("results", lambda r: r["chunk_id"]), " ").alias("chunk_ids"), "answer").join(got.triad, "query_id")
 
 
+def judged_answers(spark, sf_dir):
+    """Reranked, answered and judged by a model that reads: it rates by shared words."""
+    got = Hybrid(_docs(spark, sf_dir), providers.LetterEmbedder, providers.OverlapModel, Config(**_CONFIG)).query(_asked(spark, sf_dir))
+    ranked = got.reranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.round("rerank_score", 6).alias("s"), "original_rank"))).alias("r"))
+    told = F.array_join(F.transform("r", lambda x: F.format_string("%s:%.1f:%d", x["chunk_id"], x["s"], x["original_rank"])), " ").alias("ranked")
+    return got.answers.select("query_id", "answer").join(ranked.select("query_id", told), "query_id", "left").join(triad.rounded(got.triad), "query_id")
+
+
 def answer_prompts_basic(spark, sf_dir):
     """Benchmark items that no chunk answers get the fixed answer, the others a prompt."""
     ranked = bm25_top5(spark, sf_dir).filter("rank <= 2 AND query_id % 3 <> 0").join(_chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
@@ -357,11 +384,14 @@ QUERIES = {
     "g1_graph_tables": graph_tables,
     "g2_graph_naive": graph_naive,
     "g3_g4_graph_nearest": graph_nearest,
+    "g3_g4_graph_keywords": graph_keywords,
+    "g6_graph_answers": graph_answers,
     "g3_graph_local": graph_local,
     "g4_graph_global": graph_global,
     "g1_g5_graph_hybrid": graph_search,
     "q1_q2_basic_answers": basic_answers,
     "q3_q4_hybrid_answers": hybrid_answers,
+    "q4_r1_e1_judged_answers": judged_answers,
 }
 SQL = {
     "c1_c9_chunks": f"WITH {_CHUNKS} SELECT chunk_id, doc_id::VARCHAR AS source, idx AS chunk_index, length(text) AS char_length, text FROM chunks",
@@ -436,6 +466,59 @@ cn AS (SELECT chunk_id, v, CASE WHEN list_sum(list_transform(v, lambda x: x * x)
 qn AS (SELECT query_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM qv),
 cos AS (SELECT query_id, chunk_id, floor(list_dot_product(cn.v, qn.v) / (cn.size * qn.size) * 1e6 + 0.5) / 1e6 AS score FROM cn, qn WHERE qn.size > 0),
 near AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM cos QUALIFY rank <= 5)"""
+#: The ten nearest entities (by {low}) and relations (by {high}) of each query by letter counts, and what they lead to, in halves of a millionth.
+_VECTOR = "{0} AS v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size"
+_TEN = "floor(list_dot_product({0}.v, q.v) / (CASE WHEN {0}.size = 0 THEN 1e-10 ELSE {0}.size END * q.size) * 1e6 + 0.5) / 1e6"
+_NEAR_GRAPH = f"""
+kind AS (SELECT name, CASE WHEN contains(name, '-') THEN 'code' ELSE 'word' END AS type, sum(n)::BIGINT AS mentions FROM nodes GROUP BY 1),
+rel AS (SELECT src, dst, sum(n)::BIGINT AS mentions FROM edges GROUP BY 1, 2),
+env AS (SELECT name, {_VECTOR.format(_LETTERS.format("t"))} FROM (SELECT name, translate(name || ' ' || type, '{_UPPER}', lower('{_UPPER}')) AS t FROM kind)),
+rev AS (SELECT src, dst, {_VECTOR.format(_LETTERS.format("t"))} FROM (SELECT src, dst, src || dst || src || dst AS t FROM rel)),
+lowv AS (SELECT query_id, {_VECTOR.format(_LETTERS.format("t"))} FROM (SELECT query_id, translate(low, '{_UPPER}', lower('{_UPPER}')) AS t FROM levels)),
+highv AS (SELECT query_id, {_VECTOR.format(_LETTERS.format("t"))} FROM (SELECT query_id, translate(high, '{_UPPER}', lower('{_UPPER}')) AS t FROM levels)),
+nearest AS (SELECT query_id, name, {_TEN.format("env")} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_TEN.format("env")} DESC, name) AS rank FROM env, lowv q WHERE q.size > 0 QUALIFY rank <= 10),
+first AS (SELECT query_id, name, round(score * 1e6)::BIGINT AS w FROM nearest WHERE score > 0),
+hood AS (SELECT query_id, name, max(w2) AS w2 FROM (SELECT query_id, name, 2 * w AS w2 FROM first UNION ALL SELECT query_id, other, w FROM first JOIN ends USING (name)) GROUP BY 1, 2),
+closest AS (SELECT query_id, src, dst, {_TEN.format("rev")} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_TEN.format("rev")} DESC, '["' || src || '","' || dst || '"]') AS rank FROM rev, highv q WHERE q.size > 0 QUALIFY rank <= 10),
+tied AS (SELECT query_id, src, dst, round(score * 1e6)::BIGINT AS w FROM closest WHERE score > 0),
+tips AS (SELECT query_id, name, max(w) AS w FROM (SELECT query_id, src AS name, w FROM tied UNION ALL SELECT query_id, dst, w FROM tied) GROUP BY 1, 2),
+shares AS (SELECT query_id, chunk_id, w2 * n AS s FROM hood JOIN nodes USING (name) UNION ALL SELECT query_id, chunk_id, 2 * w * n FROM tied JOIN edges USING (src, dst) UNION ALL SELECT query_id, chunk_id, w * n FROM tips JOIN nodes USING (name)),
+by_graph AS (SELECT query_id, chunk_id, sum(s)::DOUBLE / 2e6 AS score FROM shares GROUP BY 1, 2)"""
+_QUESTION = "levels AS (SELECT item_id AS query_id, text AS low, text AS high FROM benchmark)"
+#: Names of a question as the low level, its tokens that aren't in a name as the high one; the question itself where a level is empty.
+_LEVELS = f"""
+said AS (SELECT item_id AS query_id, text, list_transform(list_filter(regexp_extract_all(text, '{_RUN}'), lambda x: regexp_matches(x, '{graph.NAME}')), lambda x: lower(x)) AS names, {_TOKENS.format("text")} AS ts FROM benchmark),
+levels AS (SELECT query_id, CASE WHEN len(names) > 0 THEN array_to_string(names, ' ') ELSE text END AS low, CASE WHEN len(rest) > 0 THEN array_to_string(rest, ' ') ELSE text END AS high FROM
+  (SELECT *, list_filter(ts, lambda t: NOT list_contains(names, t) AND NOT list_contains(flatten(list_transform(names, lambda x: regexp_split_to_array(x, '[-_]'))), t)) AS rest FROM said))"""
+_WORDS = "len(regexp_extract_all({0}, '[^ \\t\\n\\r]+'))"
+_GRAPH_ANSWERS = f"""
+el AS (SELECT query_id, name || ' (' || type || ')' AS line, row_number() OVER (PARTITION BY query_id ORDER BY w2 DESC, mentions DESC, name) AS rank FROM hood JOIN kind USING (name) QUALIFY rank <= 40),
+eb AS (SELECT query_id, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS t FROM (SELECT *, sum({_WORDS.format("line")}) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM el) WHERE so_far <= 60 GROUP BY 1),
+rw AS (SELECT query_id, src, dst, max(w) AS w FROM (SELECT query_id, src, dst, w FROM first JOIN rel ON name = src UNION ALL SELECT query_id, src, dst, w FROM first JOIN rel ON name = dst UNION ALL SELECT * FROM tied) GROUP BY 1, 2, 3),
+rl AS (SELECT query_id, src || ' -- ' || dst || ' (' || src || ', ' || dst || ')' AS line, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, mentions DESC, src, dst) AS rank FROM rw JOIN rel USING (src, dst) QUALIFY rank <= 40),
+rb AS (SELECT query_id, count(*) AS n, string_agg(line, chr(10) ORDER BY rank) AS t FROM (SELECT *, sum({_WORDS.format("line")}) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM rl) WHERE so_far <= 60 GROUP BY 1),
+pl AS (SELECT query_id, chunk_id, text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM by_graph JOIN chunks USING (chunk_id) QUALIFY rank <= 8),
+pb AS (SELECT query_id, count(*) AS n, string_agg('[Chunk ' || rank || ' - ID: ' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS t, arg_min(text, rank) AS best FROM
+  (SELECT *, sum({_WORDS.format("text")}) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM pl) WHERE so_far <= 300 GROUP BY 1),
+al AS (SELECT item_id AS query_id, b.text, coalesce(eb.n, 0) AS n_entities, coalesce(rb.n, 0) AS n_relations, coalesce(pb.n, 0) AS n_passages, coalesce(eb.t, '') AS e, coalesce(rb.t, '') AS r, coalesce(pb.t, '') AS p, best
+  FROM benchmark b LEFT JOIN eb ON eb.query_id = item_id LEFT JOIN rb ON rb.query_id = item_id LEFT JOIN pb ON pb.query_id = item_id)
+SELECT query_id, n_entities, n_relations, n_passages, md5(e) AS entities, md5(r) AS relations, CASE WHEN n_entities + n_relations + n_passages > 0 THEN md5({_prompt_sql(answers._ANSWER, "e", "r", "p", "text")}) END AS prompt,
+  CASE WHEN n_entities + n_relations + n_passages = 0 THEN {_quoted(prompts.NO_CONTEXT)} ELSE trim(coalesce(best, ''), ' ') END AS answer FROM al"""
+#: Words of a text in small letters, and how many hundredths of the first text's the second has.
+_SET = "list_distinct(regexp_extract_all(translate({0}, '" + _UPPER + "', lower('" + _UPPER + "')), '[a-z0-9]+'))"
+_SHARE = "(CASE WHEN len({0}) = 0 THEN 0 ELSE 100 * len(list_intersect({0}, {1})) // len({0}) END)"
+_JUDGED = f"""
+fused AS (SELECT query_id, chunk_id, coalesce(1.0 / (60 + d.rank), 0.0)::DOUBLE + coalesce(1.0 / (60 + s.rank), 0.0)::DOUBLE AS rrf, coalesce(s.rank, -1) AS sr, coalesce(d.rank, -1) AS dr FROM near d FULL JOIN sparse s USING (query_id, chunk_id)),
+ordered AS (SELECT query_id, chunk_id, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr < 0, dr, sr) AS original_rank, count(*) OVER (PARTITION BY query_id) AS many FROM fused),
+met AS (SELECT query_id, chunk_id, original_rank, many, rrf, c.text AS t, b.text AS q, {_SET.format("c.text")} AS ct, {_SET.format("b.text")} AS qt FROM ordered JOIN chunks c USING (chunk_id) JOIN benchmark b ON item_id = query_id),
+rated AS (SELECT *, CASE WHEN many = 1 THEN rrf ELSE {_SHARE.format("qt", "ct")} / 10.0 END::DOUBLE AS s FROM met),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, original_rank) AS rank FROM rated QUALIFY rank <= 3),
+told AS (SELECT query_id, any_value(q) AS q, any_value(qt) AS qt, string_agg(printf('%s:%.1f:%d', chunk_id, s, original_rank), ' ' ORDER BY rank) AS ranked, trim(arg_min(t, rank), ' ') AS answer,
+  {_strip_sql("substr(string_agg(t, chr(10) || chr(10) ORDER BY rank), 1, 3000)")} AS context FROM best GROUP BY 1),
+relevance AS (SELECT query_id, avg({_SHARE.format("qt", "ct")} / 100.0) AS c FROM (SELECT query_id, {_SET.format("trim(q, " + _WS + ")")} AS qt, {_SET.format("substr(trim(t, " + _WS + "), 1, 1500)")} AS ct FROM best) GROUP BY 1),
+judged AS (SELECT query_id, ranked, answer, c, {_SHARE.format("a", "x")} / 100.0 AS g, {_SHARE.format("qt", "a")} / 100.0 AS r FROM (SELECT *, {_SET.format("answer")} AS a, {_SET.format("context")} AS x FROM told) JOIN relevance USING (query_id))
+SELECT item_id AS query_id, coalesce(answer, {_quoted(prompts.NO_CONTEXT)}) AS answer, ranked, round_even(coalesce(c, 0.5)::DOUBLE, 4) AS context_relevance, round_even(coalesce(g, 0.5)::DOUBLE, 4) AS groundedness, round_even(coalesce(r, 0.5)::DOUBLE, 4) AS answer_relevance,
+  round_even(((coalesce(c, 0.5) + coalesce(g, 0.5) + coalesce(r, 0.5)) / 3)::DOUBLE, 4) AS composite FROM benchmark LEFT JOIN judged ON item_id = query_id"""
 SQL |= {
     "p1_p3_basic_prompts": f"""
 WITH {_BM25},
@@ -449,6 +532,9 @@ WITH {_GRAPH}
 SELECT name, '' AS other, CASE WHEN contains(name, '-') THEN 'code' ELSE 'word' END AS type, sum(n)::BIGINT AS mentions, count(*) AS n_chunks FROM nodes GROUP BY 1
 UNION ALL SELECT src, dst, src || ' ' || dst, sum(n)::BIGINT, count(*) FROM edges GROUP BY 1, 2""",
     "g2_graph_naive": f"WITH {_CHUNKS}, {_NEAREST} SELECT * FROM near",
+    "g3_g4_graph_nearest": f"WITH {_GRAPH}, {_QUESTION}, {_NEAR_GRAPH} {_BEST.format('by_graph')}",
+    "g3_g4_graph_keywords": f"WITH {_GRAPH}, {_LEVELS}, {_NEAR_GRAPH} {_BEST.format('by_graph')}",
+    "g6_graph_answers": f"WITH {_GRAPH}, {_LEVELS}, {_NEAR_GRAPH}, {_GRAPH_ANSWERS}",
     "g3_graph_local": f"WITH {_GRAPH} {_BEST.format('near')}",
     "g4_graph_global": f"WITH {_GRAPH} {_BEST.format('wide')}",
     "g1_g5_graph_hybrid": f"WITH {_GRAPH} {_BEST.format('mixed')}",
@@ -456,6 +542,7 @@ UNION ALL SELECT src, dst, src || ' ' || dst, sum(n)::BIGINT, count(*) FROM edge
 WITH {_CHUNKS}, {_NEAREST}
 SELECT item_id AS query_id, coalesce(ids, '') AS chunk_ids, coalesce(trim(t, ' '), {_quoted(prompts.NO_CONTEXT)}) AS answer FROM benchmark LEFT JOIN
   (SELECT query_id, string_agg(chunk_id, ' ' ORDER BY rank) AS ids, arg_min(text, rank) AS t FROM near JOIN chunks USING (chunk_id) WHERE rank <= 3 GROUP BY 1) ON item_id = query_id""",
+    "q4_r1_e1_judged_answers": f"WITH {_BM25}, {_NEAREST}, {_JUDGED}",
     "q3_q4_hybrid_answers": f"""
 WITH {_BM25}, {_NEAREST},
 fused AS (SELECT query_id, chunk_id, coalesce(1.0 / (60 + d.rank), 0.0)::DOUBLE + coalesce(1.0 / (60 + s.rank), 0.0)::DOUBLE AS rrf, coalesce(s.rank, -1) AS sr, coalesce(d.rank, -1) AS dr FROM near d FULL JOIN sparse s USING (query_id, chunk_id)),
