@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import providers
 from .functions import scores as score_functions
 from .functions import text as T
-from .operators import answers, dense, fusion, graph, inverted, prompts, rerank, sparse, triad
+from .operators import answers, clustered, dense, fusion, graph, inverted, prompts, rerank, sparse, triad
 from .operators.chunking import chunk
 from .operators.ranking import top_k
 from .plans.config import Config
@@ -132,6 +132,12 @@ def cosine_top5(spark, sf_dir):
     return dense.cosine_search(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 5, digits=6)
 
 
+def pruned_top5(spark, sf_dir):
+    """The same from vectors stored in clusters, of which only those are read that can hold one of the nearest."""
+    stored = clustered.Clusters.write(_vectors(spark, sf_dir), f"{own_dir(spark)}/clusters-{uuid.uuid4().hex}")
+    return stored.search(_vector_queries(spark, sf_dir), 5, digits=6)
+
+
 def maxsim_top5(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("chunk_id"), (F.col("vec_id") % 8).cast("int").alias("token_pos"), "embedding")
     docs = dense.token_arrays(rows)
@@ -365,6 +371,7 @@ QUERIES = {
     "a9_k1_j3_inverted_top5": inverted_top5,
     "s7_a7_vector_norms": vector_norms,
     "k2_j1_s8_cosine_top5": cosine_top5,
+    "k2_j1_pruned_top5": pruned_top5,
     "k3_j2_d5_d6_maxsim_top5": maxsim_top5,
     "f1_j4_k4_d7_a13_rrf_fusion": rrf_fusion,
     "r1_j5_k5_s18_rerank": rerank_replies,
@@ -409,6 +416,7 @@ SELECT printf('%d#chunk-%04d', doc_id, row_number() OVER (PARTITION BY doc_id OR
     "a9_k1_j3_inverted_top5": f"WITH {_BM25} SELECT * FROM sparse",
     "s7_a7_vector_norms": "SELECT vec_id AS chunk_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings",
     "k2_j1_s8_cosine_top5": f"WITH {_COSINE.format(k=5)} SELECT * FROM dense",
+    "k2_j1_pruned_top5": f"WITH {_COSINE.format(k=5)} SELECT * FROM dense",
     "k3_j2_d5_d6_maxsim_top5": """
 WITH v AS (SELECT vec_id // 8 AS d, vec_id % 8 AS pos, embedding::DOUBLE[] AS e FROM embeddings),
 m AS (SELECT q.d AS query_id, v.d AS chunk_id, q.pos, max(list_cosine_similarity(q.e, v.e)) AS s FROM v q JOIN v ON q.d % 20 = 0 GROUP BY 1, 2, 3),
