@@ -38,7 +38,7 @@ from .kernels import lean
 LEAST_LENGTH, LEAST_COUNT, TIMES = 5, 3, 2
 #: Of the words with their document, one in so many loses a code point (the variants that the contract asks for).
 SLIPS = 97
-Q = 3
+Q = 4
 #: Distinct words that a task counts before it hands them on; characters of a text that are cut at once.
 COUNTED, SEGMENT = 400_000, 1 << 22
 #: Entries of a shard on average, and words with one half from which on it is in blocks.
@@ -113,50 +113,65 @@ def one_edit(a: str, b: str) -> bool:
 
 
 class Index:
-    """Positional q-grams of words of one class and side: (length, position, gram) -> places in the list of words, in order."""
+    """Positional q-grams of words of one class and side: for each length and position, from gram to places in the list of words, in order."""
 
     def __init__(self, q: int = Q):
-        self.q, self.words, self.lists = q, [], defaultdict(list)
+        self.q, self.words, self.places = q, [], {}
+        self.lists: dict[int, list[dict[str, list[int]]]] = {}
 
     def grams(self, word: str) -> list[str]:
         padded = "\x00" * (self.q - 1) + word + "\x01" * (self.q - 1)
         return [padded[i : i + self.q] for i in range(len(word) + self.q - 1)]
 
     def add(self, word: str) -> None:
-        place, length = len(self.words), len(word)
+        place = self.places[word] = len(self.words)
         self.words.append(word)
-        for at, gram in enumerate(self.grams(word)):
-            self.lists[length, at, gram].append(place)
+        grams = self.grams(word)
+        for lists, gram in zip(self.lists.setdefault(len(word), [{} for _ in grams]), grams, strict=True):
+            if gram in lists:
+                lists[gram].append(place)
+            else:
+                lists[gram] = [place]
 
     def candidates(self, word: str, grams: list[str], more: int) -> Iterator[int]:
-        """Places of words of ``more`` (0 or 1) code points more that have as many grams of the word, at the same position or up to ``more`` behind, as one edit leaves."""
-        length, get, n = len(word) + more, self.lists.get, len(grams)
+        """Places of other words of ``more`` (0 or 1) code points more that have as many grams of the word, at the same position or up to ``more`` behind, as one edit leaves."""
+        by, n = self.lists.get(len(word) + more), len(grams)
+        if by is None:
+            return
         needed = n + more - self.q
-        found = []
-        for at, gram in enumerate(grams):
-            lists = [x for shift in range(more + 1) if (x := get((length, at + shift, gram)))]
-            found.append((sum(map(len, lists)), lists))
-        found.sort(key=lambda x: x[0])
+        if more:
+            found = [[x for x in (here.get(gram), behind.get(gram)) if x] for here, behind, gram in zip(by, by[1:], grams)]
+        else:
+            found = [[x] if (x := here.get(gram)) else [] for here, gram in zip(by, grams)]
+        found.sort(key=lambda lists: sum(map(len, lists)))
         short, long = found[: n - needed + 1], found[n - needed + 1 :]
-        merged = [zip(x, [k] * len(x)) for k, (_, lists) in enumerate(short) for x in lists]
-        place, seen = -1, set()
-        for p, k in [*heapq.merge(*merged), (-2, -1)]:
-            if p != place:
-                if place >= 0 and self._enough(place, len(seen), long, needed):
-                    yield place
-                place, seen = p, set()
-            seen.add(k)
+        own = self.places.get(word, -1)
+        if all(len(x) == 1 and x[0] == own for lists in short for x in lists):
+            return  # the word itself, or nothing
+        merged = [zip(x, [k] * len(x)) for k, lists in enumerate(short) for x in lists]
+        place = have = last = -1
+        for p, k in heapq.merge(*merged, [(len(self.words), -1)]):
+            if p == place:
+                have += k != last
+                last = k
+                continue
+            if place >= 0 and place != own and self._enough(place, have - 1, long):
+                yield place
+            place, have, last = p, 1, k
 
     @staticmethod
-    def _enough(place: int, have: int, long: list, needed: int) -> bool:
-        """Whether the place stands in so many of the long lists that there are enough."""
-        left = len(long)
-        for _, lists in long:
-            if have >= needed or have + left < needed:
-                break
-            left -= 1
-            have += any((i := bisect_left(x, place)) < len(x) and x[i] == place for x in lists)
-        return have >= needed
+    def _enough(place: int, misses: int, long: list) -> bool:
+        """Whether the place stands in all of the long lists but so many: there are needed - 1 of them, and one in the short lists is counted."""
+        for lists in long:
+            for x in lists:
+                i = bisect_left(x, place)
+                if i < len(x) and x[i] == place:
+                    break
+            else:
+                misses -= 1
+                if misses < 0:
+                    return False
+        return True
 
 
 def _halves(word: str, shorter: int) -> tuple[str, str]:
