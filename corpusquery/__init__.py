@@ -10,10 +10,12 @@ _WHERE = {
     "chunk": "operators.chunking", "SparseIndex": "operators.sparse", "bm25_index": "operators.sparse", "bm25_search": "operators.sparse",
     "cosine_search": "operators.dense", "maxsim_search": "operators.dense", "fuse": "operators.fusion", "rerank": "operators.rerank", "evaluate": "operators.triad",
     "Graph": "operators.graph", "extract_graph": "operators.graph", "graph_search": "operators.graph", "ModelExtractor": "operators.graph", "VectorStore": "sources.stores", "read_text": "sources.textfile",
+    "GraphStore": "sources.graph_store", "graph_contexts": "operators.answers", "graph_answers": "operators.answers", "ModelSummariser": "operators.graph", "ModelKeywords": "operators.graph",
+    "InvertedIndex": "operators.inverted", "Clusters": "operators.clustered", "Replies": "sources.replies", "conversations": "streaming.conversations", "OverlapModel": "providers",
     "HashingEmbedder": "providers", "LetterEmbedder": "providers", "ExtractiveModel": "providers", "LateInteraction": "providers", "HttpEmbedder": "remote", "HttpModel": "remote",
     "Config": "plans.config", "Basic": "plans.pipelines", "Hybrid": "plans.pipelines", "Results": "plans.pipelines", "register": "functions.scores",
 }
-_CALLED = {"bm25_index": "index", "bm25_search": "search", "extract_graph": "extract", "graph_search": "search"}
+_CALLED = {"bm25_index": "index", "bm25_search": "search", "extract_graph": "extract", "graph_search": "search", "graph_contexts": "contexts", "graph_answers": "answered", "conversations": "answered"}
 __all__ = sorted(_WHERE)
 
 
