@@ -35,6 +35,8 @@ def few(spark, tmp_path_factory, odd):
     spark.createDataFrame([(3, 1, 0), (4, 0, 1), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(0, "three small words"), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(0, 0, "u", None), (0, 1, "a", "> x\ny")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    vectors = [(0, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (2, None, 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, component int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
@@ -42,7 +44,7 @@ def few(spark, tmp_path_factory, odd):
 def none(spark, tmp_path_factory, few):
     """Empty tables."""
     d = str(tmp_path_factory.mktemp("none"))
-    for t in ("documents", "labels", "benchmark", "conversations"):
+    for t in ("documents", "labels", "benchmark", "conversations", "embeddings"):
         spark.read.parquet(f"{few}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
@@ -61,7 +63,7 @@ def against_sql(frame, sql, folder, tables):
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_odd_rows(spark, few, name):
     rows = registry.QUERIES[name](spark, few).collect()
-    by_row = {"op1": 2, "op8": None}.get(name.split("_")[0], len(ODD) + 1)
+    by_row = {"op1": 2, "op8": None, "op12": 4, "op13": 0}.get(name.split("_")[0], len(ODD) + 1)
     assert by_row is None or len(rows) == by_row
 
 
