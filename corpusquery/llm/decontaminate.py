@@ -62,11 +62,11 @@ def _meeting(text: np.ndarray, item: np.ndarray, places: np.ndarray, spots: np.n
     kept = np.flatnonzero(high > low)
     text, places, behind, low, high = text[kept], places[kept], behind[kept], low[kept], high[kept]
     # of the spots with one hash, those of one word in front lie together
-    pairs = item ^ mix(before)
+    pairs = item ^ mix(before.view(U64))
     runs = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (before[1:] != before[:-1]))))
     ends = np.append(runs[1:], len(item))
     by = np.argsort(pairs[runs], kind="stable")
-    at = np.minimum(np.searchsorted(pairs[runs][by], text ^ mix(behind)), len(by) - 1)
+    at = np.minimum(np.searchsorted(pairs[runs][by], text ^ mix(behind.view(U64))), len(by) - 1)
     hit = by[at]
     same = (item[runs[hit]] == text) & (before[runs[hit]] == behind)
     skip_low, skip_high = np.where(same, runs[hit], high), np.where(same, ends[hit], high)
@@ -102,11 +102,10 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> list[tup
         at_t = at_t[np.isin(windows[at_t], spots[at_i])]
         i, j = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(at_t):
-            # what isn't free in front, or not there, is like no word of the other side
-            behind, before = np.full(len(at_t), U64(1)), np.full(len(at_i), U64(2))
-            for at, free, words, out in ((at_t, free_t, text, behind), (at_i, free_i, item, before)):
-                inner = np.flatnonzero((at > 0) & free[at - 1])
-                out[inner] = words[at[inner] - 1]
+            # words in front as numbers; what isn't free in front, or not there, is like no word of the other side
+            numbers = np.unique(np.concatenate((text[at_t - 1], item[at_i - 1])), return_inverse=True)[1].astype(np.int64)
+            behind = np.where((at_t > 0) & free_t[at_t - 1], numbers[: len(at_t)], -1)
+            before = np.where((at_i > 0) & free_i[at_i - 1], numbers[len(at_t) :], -2)
             i, j = _meeting(windows[at_t], spots[at_i], at_t, at_i, behind, before)
         if len(i):
             size, alive = np.zeros(len(i), np.int64), np.arange(len(i))
