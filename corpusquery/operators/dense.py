@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import best, blocks, checked_k, id_type, ids_of, in_turn, top_k
+from .ranking import best, blocks, checked_k, id_type, ids_of, in_turn, runs, top_k
 
-#: Values of query vectors, and queries, that are sent to a task at once; cells of a matrix of scores.
+#: Values of query vectors, and queries, that are sent to a task at once; cells of a matrix of scores, of chunks or of tokens.
 BLOCK_VALUES, BLOCK_QUERIES, CELLS = 1 << 22, 1 << 12, 1 << 22
 EPS = 1e-10
 TOKEN_EPS = 1e-12
@@ -89,9 +89,19 @@ def maxsim_search(token_vectors: DataFrame, query_tokens: DataFrame, k: int | No
         first, tokens = block
         if not len(column):
             return np.zeros((0, len(first)))
-        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-        sims = unit(_matrix(column.flatten())) @ tokens.T
-        return np.add.reduceat(np.maximum.reduceat(sims, np.cumsum(sizes) - sizes, axis=0), first, axis=1)
+        ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+        flat, most, out = column.flatten(), max(1, CELLS // len(tokens)), np.empty((len(column), len(first)))
+        for x, y in runs(ends, most):
+            begin = int(ends[x - 1]) if x else 0
+            # a chunk of more tokens than go at once stands alone
+            near = None
+            for a in range(begin, int(ends[y - 1]), most):
+                sims = unit(_matrix(flat.slice(a, min(most, int(ends[y - 1]) - a)))) @ tokens.T
+                near = sims if near is None else np.maximum(near.max(axis=0, keepdims=True), sims.max(axis=0, keepdims=True))
+            if near.shape[0] > 1:
+                near = np.maximum.reduceat(near, np.concatenate(([0], ends[x : y - 1] - begin)), axis=0)
+            out[x:y] = np.add.reduceat(near, first, axis=1)
+        return out
 
     rows = token_vectors.select("chunk_id", "embeddings").filter(F.size("embeddings") > 0)
     return _searched(rows, asked, prepared, score, lambda r: sum(map(len, r.embeddings)), k, digits)

@@ -85,3 +85,13 @@ def best(ids: pa.Array, scores: np.ndarray, query_ids: pa.Array, k: int, digits:
         keep &= above | level & (np.cumsum(level, axis=0) <= k - above.sum(axis=0))
     rows, cols = np.nonzero(keep)
     return pa.RecordBatch.from_arrays([query_ids.take(pa.array(cols)), ids.take(pa.array(order[rows])), pa.array(scores[rows, cols])], names=["query_id", "chunk_id", "score"])
+
+
+def runs(ends: np.ndarray, most: int):
+    """Ranges [x, y) of entries that are ``most`` together, given where each ends, or one entry."""
+    x = 0
+    while x < len(ends):
+        before = int(ends[x - 1]) if x else 0
+        y = max(x + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield x, y
+        x = y

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources import tables
-from .ranking import best, blocks, checked_k, id_type, ids_of, in_turn, top_k
+from .ranking import best, blocks, checked_k, id_type, ids_of, in_turn, runs, top_k
 
 K1, B, DELTA = 1.5, 0.75, 0.5
 #: Terms of queries, and queries, that tasks score at once; cells of a matrix of scores, and shares of scores that are added up at once.
@@ -169,7 +169,7 @@ def search(ix: SparseIndex, queries: DataFrame, k: int | None = None, delta_on_m
                     scores = np.tile(base, (part.num_rows, 1))
                     many = first[codes + 1] - first[codes]
                     ends = np.cumsum(many)
-                    for x, y in _runs(ends, EXPANDED):
+                    for x, y in runs(ends, EXPANDED):
                         times = many[x:y]
                         at = np.repeat(first[codes[x:y]] - (ends[x:y] - times), times) + np.arange(ends[x] - many[x], ends[y - 1])
                         cells = np.repeat(rows[x:y], times) * len(ids) + by[at]
@@ -182,15 +182,5 @@ def search(ix: SparseIndex, queries: DataFrame, k: int | None = None, delta_on_m
 
         return ranked(hits.mapInArrow(each, schema)), release
 
-    runs = blocks(asked.toLocalIterator(), lambda r: len(set(r.terms)), BLOCK_TERMS, BLOCK_QUERIES)
-    return in_turn(runs, scored, lambda: ranked(spark.createDataFrame([], schema)), "sparse")
-
-
-def _runs(ends: np.ndarray, most: int):
-    """Ranges [x, y) of entries that are ``most`` together, given where each ends, or one entry."""
-    x = 0
-    while x < len(ends):
-        before = int(ends[x - 1]) if x else 0
-        y = max(x + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield x, y
-        x = y
+    in_blocks = blocks(asked.toLocalIterator(), lambda r: len(set(r.terms)), BLOCK_TERMS, BLOCK_QUERIES)
+    return in_turn(in_blocks, scored, lambda: ranked(spark.createDataFrame([], schema)), "sparse")

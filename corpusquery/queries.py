@@ -22,7 +22,7 @@ from .plans.config import Config
 from .plans.pipelines import Basic, Hybrid
 from .sources.graph_store import GraphStore
 from .sources.stores import VectorStore
-from .sources.tables import own_dir
+from .sources.tables import materialise, own_dir
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31)"
 #: Line ends of any kind and quotes, which would end a value assigned on one line.
@@ -140,7 +140,7 @@ def pruned_top5(spark, sf_dir):
 
 def maxsim_top5(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("chunk_id"), (F.col("vec_id") % 8).cast("int").alias("token_pos"), "embedding")
-    docs = dense.token_arrays(rows)
+    docs = materialise(dense.token_arrays(rows), "token_arrays")
     return dense.maxsim_search(docs, docs.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), 5, digits=6)
 
 
