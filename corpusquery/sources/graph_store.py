@@ -71,11 +71,13 @@ class GraphStore:
         new = tables.materialise(rows.join(self.ledger().select("source", "digest"), ["source", "digest"], "left_anti"), "new")
         count = new.count()
         if not count:
+            tables.drop(rows, new)
             return 0
         chunks = tables.materialise(chunk(new.select("source", "text"), size=size, overlap=overlap, assignments=assignments).select("source", "chunk_id", "text"), "chunks")
         nodes, edges = graph.parted(chunks.select("chunk_id", "text"), extractor)
         source = F.regexp_replace("chunk_id", r"#chunk-[0-9]+\z", "").alias("source")
         self._write({"ledger": new.select("source", "digest"), "chunks": chunks, "nodes": nodes.select("*", source), "edges": edges.select("*", source)})
+        tables.drop(rows, new, chunks, nodes, edges)
         return count
 
     def withdraw(self, sources: DataFrame) -> int:

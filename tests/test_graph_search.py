@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusquery import providers
+from corpusquery import providers, queries
 from corpusquery.operators import graph
+from corpusquery.sources import tables
+from corpusquery.sources.graph_store import GraphStore
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +73,25 @@ def test_names_follow_their_definition(spark):
     rows = [("".join(r.choice("aBÉé1_- -.٣") for _ in range(r.randint(0, 30))),) for _ in range(3000)]
     for row in spark.createDataFrame(rows, "t string").select("t", graph.named(F.col("t")).alias("n")).collect():
         assert row.n == [x.lower() for x in regex.findall(r"[\p{L}\p{Nd}_]+(?:-[\p{L}\p{Nd}_]+)*", row.t) if regex.search(graph.NAME, x)], row.t
+
+
+def left(spark, *names):
+    """Tables of these names that hold a file."""
+    files, where = tables.hadoop_path(spark, tables.own_dir(spark))
+    folders = [s.getPath() for s in files.listStatus(where)] if files.exists(where) else []
+    return {f.getName() for f in folders if f.getName().rpartition("-")[0].split("-")[0] in names}
+
+
+def test_a_store_leaves_no_second_copy(spark, tmp_path, chunks):
+    names = ("inserted", "new", "chunks", "names", "extracted", "nodes", "edges")
+    docs = chunks.select(F.col("chunk_id").alias("source"), "text")
+    before, store = left(spark, *names), GraphStore(spark, str(tmp_path / "g"))
+    assert store.insert(docs) == 300 and store.insert(docs) == 0
+    assert left(spark, *names) == before
+    assert store.graph().entities.count() == graph.extract(chunks).entities.count()
+
+
+def test_tokens_go_once_the_postings_stand(spark):
+    before = left(spark, "tokens")
+    assert queries.inverted_top5(spark, "/root/testdata/sf0.001").count() > 0
+    assert left(spark, "tokens") == before
