@@ -22,7 +22,7 @@ from .plans.config import Config
 from .plans.pipelines import Basic, Hybrid
 from .sources.graph_store import GraphStore
 from .sources.stores import VectorStore
-from .sources.tables import materialise, own_dir
+from .sources.tables import drop, materialise, own_dir
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31)"
 #: Line ends of any kind and quotes, which would end a value assigned on one line.
@@ -121,6 +121,7 @@ def inverted_top5(spark, sf_dir):
     stored = inverted.InvertedIndex(spark, f"{own_dir(spark)}/postings-{uuid.uuid4().hex}")
     for odd in (0, 1):
         stored.add(sparse.SparseIndex(ix.documents.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == odd)))
+    drop(ix.documents)
     return stored.search(_asked(spark, sf_dir), 5, digits=6)
 
 
