@@ -127,6 +127,17 @@ def _counted(hits: DataFrame, size: int) -> tuple[int, float, np.ndarray]:
     return n, got.get(-1, 0) / max(1, n), df
 
 
+def add_up(scores: np.ndarray, rows: np.ndarray, codes: np.ndarray, gain: np.ndarray, first: np.ndarray, by: np.ndarray, often: np.ndarray) -> None:
+    """Adds to scores (rows, queries) the gain of each (row, term) for the queries that ask for the term: those in by and often from first[term] on."""
+    many = first[codes + 1] - first[codes]
+    ends = np.cumsum(many)
+    for x, y in runs(ends, EXPANDED):
+        times = many[x:y]
+        at = np.repeat(first[codes[x:y]] - (ends[x:y] - times), times) + np.arange(ends[x] - many[x], ends[y - 1])
+        cells = np.repeat(rows[x:y], times) * scores.shape[1] + by[at]
+        scores += np.bincount(cells, np.repeat(gain[x:y], times) * often[at], minlength=scores.size).reshape(scores.shape)
+
+
 def search(ix: SparseIndex, queries: DataFrame, k: int | None = None, delta_on_missing: bool = False, digits: int | None = None, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best chunks (5 by default) with a positive score; of equal scores the smaller chunk id goes first.
 
@@ -167,13 +178,7 @@ def search(ix: SparseIndex, queries: DataFrame, k: int | None = None, delta_on_m
                     ctd = tf / (1 - b + b * dl / max(1.0, avgdl))
                     gain = weight[codes] * (k1 + 1) * (ctd + delta) / (k1 + ctd + delta) - missing[codes]
                     scores = np.tile(base, (part.num_rows, 1))
-                    many = first[codes + 1] - first[codes]
-                    ends = np.cumsum(many)
-                    for x, y in runs(ends, EXPANDED):
-                        times = many[x:y]
-                        at = np.repeat(first[codes[x:y]] - (ends[x:y] - times), times) + np.arange(ends[x] - many[x], ends[y - 1])
-                        cells = np.repeat(rows[x:y], times) * len(ids) + by[at]
-                        scores += np.bincount(cells, np.repeat(gain[x:y], times) * often[at], minlength=scores.size).reshape(scores.shape)
+                    add_up(scores, rows, codes, gain, first, by, often)
                     yield best(part.column(0), scores, ids, k, digits, positive=True)
 
         def release():
